@@ -206,6 +206,72 @@ SELECT c_custkey AS request_id,
 FROM customer
 """
 
+# Unchecked loads: the tables with the raw requests added, so constraint scans have something to find.
+
+VIEWS["staged_users"] = """
+SELECT id, username, email, full_name, role FROM users
+UNION ALL
+SELECT request_id + 10000000000, CASE WHEN request_id % 71 = 0 THEN NULL ELSE username END, email, full_name,
+       CASE WHEN request_id % 61 = 0 THEN 'guest' ELSE 'user' END FROM user_requests
+"""
+
+VIEWS["staged_clients"] = """
+SELECT id, name, legal_name, mb, pib, address, cast(NULL AS bigint) AS created_by FROM clients
+UNION ALL
+SELECT request_id + 10000000000, nullif(trim(name), ''), legal_name, CASE WHEN request_id % 53 = 0 THEN concat(mb, mb, mb) ELSE mb END, pib, address,
+       request_id FROM client_requests
+"""
+
+VIEWS["staged_products"] = """
+SELECT id, code, name, price, weight, category FROM products
+UNION ALL
+SELECT request_id + 10000000000, code, nullif(name, ''), try_cast(price AS decimal(10,2)), try_cast(weight AS decimal(8,2)), NULL FROM product_requests
+"""
+
+VIEWS["staged_invoices"] = """
+SELECT id, number, date, due_date, client_id, vat_rate, subtotal, vat_amount, total, status FROM invoices
+UNION ALL
+SELECT request_id + 10000000000, number, try_cast(date AS date), try_cast(due_date AS date), client_id, try_cast(vat_rate AS decimal(5,2)),
+       cast(request_id % 7 - 1 AS decimal(12,2)), cast(0 AS decimal(12,2)), cast(0 AS decimal(12,2)),
+       CASE WHEN request_id % 59 = 0 THEN 'sent' ELSE 'draft' END FROM invoice_requests
+"""
+
+VIEWS["staged_invoice_items"] = """
+SELECT id, invoice_id, product_id, quantity, unit_price, total_price FROM invoice_items
+UNION ALL
+SELECT (request_id + 10000000000) * 100 + line_no, request_id + 10000000000, product_id, cast(quantity AS int), cast(unit_price AS decimal(10,2)),
+       cast(cast(unit_price AS decimal(10,2)) * cast(quantity AS int) + CASE WHEN line_no % 5 = 0 THEN 1 ELSE 0 END AS decimal(12,2)) FROM invoice_request_lines
+"""
+
+VIEWS["staged_deliveries"] = """
+SELECT id, number, date, due_date, client_id, status FROM deliveries
+UNION ALL
+SELECT request_id + 10000000000, number, try_cast(date AS date), try_cast(due_date AS date), client_id, 'draft' FROM delivery_requests
+"""
+
+VIEWS["staged_delivery_items"] = """
+SELECT id, delivery_id, product_id, quantity, unit FROM delivery_items
+UNION ALL
+SELECT (request_id + 10000000000) * 100 + line_no, request_id + 10000000000, product_id, cast(quantity AS int), unit FROM invoice_request_lines
+"""
+
+VIEWS["staged_product_groups"] = """
+SELECT cast(id AS bigint) AS id, name, quantity_type, original_quantity, current_quantity, shipment_date, reservation_type, reservation_amount FROM product_groups
+UNION ALL
+SELECT request_id + 10000000000, nullif(name, ''), quantity_type, cast(original_quantity AS decimal(12,2)), cast(0 AS decimal(12,2)),
+       try_cast(shipment_date AS date), reservation_type, try_cast(reservation_amount AS decimal(12,2)) FROM group_requests
+"""
+
+VIEWS["staged_product_group_items"] = """
+SELECT id, cast(group_id AS bigint) AS group_id, product_id FROM product_group_items
+UNION ALL
+SELECT request_id + 10000000000, group_id, product_id FROM group_product_requests
+"""
+
+VIEWS["staged_activity_logs"] = """
+SELECT id, CASE WHEN id % 101 = 0 THEN -5 ELSE user_id END AS user_id, CASE WHEN id % 103 = 0 THEN NULL ELSE action END AS action, entity_type FROM activity_logs
+"""
+
 _NAMES = DRIVER_TABLES + tuple(VIEWS)
 
 

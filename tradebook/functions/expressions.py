@@ -60,7 +60,7 @@ def is_date(c: Column | str) -> Column:
 
 
 def is_boolean(c: Column | str) -> Column:
-    return col(c).isin(*BOOLEAN)
+    return col(c).cast("string").isin(*BOOLEAN)
 
 
 def is_email(c: Column | str) -> Column:
@@ -72,14 +72,19 @@ def is_url(c: Column | str) -> Column:
     return col(c).rlike(URL)
 
 
+def trimmed(c: Column | str) -> Column:
+    """Text without white space at its ends."""
+    return F.btrim(col(c), F.lit(" \t\r\n\f\u000b\u00a0\ufeff"))
+
+
 def trimmed_length(c: Column | str) -> Column:
     """Length after trimming; NULL counts as empty."""
-    return F.length(F.coalesce(F.trim(col(c)), F.lit("")))
+    return F.length(F.coalesce(trimmed(c), F.lit("")))
 
 
 def normalized_email(c: Column | str) -> Column:
     """Lower case; Google addresses lose dots and '+tag', other large hosts lose the tag."""
-    lower = F.lower(F.trim(col(c)))
+    lower = F.lower(trimmed(c))
     local, host = F.split_part(lower, F.lit("@"), F.lit(1)), F.split_part(lower, F.lit("@"), F.lit(2))
     untagged = F.split_part(local, F.lit("+"), F.lit(1))
     return (
