@@ -146,9 +146,9 @@ def removed(base: DataFrame, keys: DataFrame, column: str = "id") -> DataFrame:
 
 def entries(
     accepted: DataFrame, action: Column | str, entity_type: str, entity_id: Column | str | None,
-    now: dt.datetime, details: Sequence[Column] = (),
+    now: dt.datetime, details: Sequence[Column] = (), marks: Sequence[Column] = (),
 ) -> DataFrame:
-    """Activity rows of accepted requests.
+    """Activity rows of accepted requests; ``marks`` follow the time stamp in the details.
 
     The actor comes from the optional request columns actor_id, ip_address, user_agent.
     """
@@ -164,7 +164,7 @@ def entries(
         (F.lit(action) if isinstance(action, str) else action).alias("action"),
         F.lit(entity_type).alias("entity_type"),
         target.alias("entity_id"),
-        F.to_json(F.struct(*details, stamp)).alias("details"),
+        F.to_json(F.struct(*details, stamp, *marks)).alias("details"),
         clean_ip(optional("ip_address")).alias("ip_address"),
         optional("user_agent").alias("user_agent"),
         F.lit(now).alias("created_at"),
@@ -185,5 +185,5 @@ def system_entry(
     frame: DataFrame, action: str, entity_type: str, now: dt.datetime, details: Sequence[Column]
 ) -> DataFrame:
     """Activity rows without a user, marked ``system``; one per row of ``frame(request_id, ...)``."""
-    marked = entries(frame, action, entity_type, None, now, [*details, F.lit(True).alias("system")])
+    marked = entries(frame, action, entity_type, None, now, details, [F.lit(True).alias("system")])
     return marked.withColumn("user_id", F.lit(None).cast("string"))

@@ -22,7 +22,7 @@ def expired_snapshots(manifest: DataFrame, now: dt.datetime, days: int = 30) ->
 
     ``remaining`` repeats the number of snapshots that stay.
     """
-    age = F.floor((F.lit(now).cast("timestamp").cast("double") - F.col("taken_at").cast("timestamp").cast("double")) / 86400)
-    flagged = manifest.select("snapshot", "taken_at", (age > days).alias("expired"))
+    limit = F.lit(now - dt.timedelta(days=days + 1))
+    flagged = manifest.select("snapshot", "taken_at", (F.col("taken_at") <= limit).alias("expired"))
     kept = flagged.agg(F.count_if(~F.col("expired")).alias("remaining")).scalar()
     return flagged.withColumn("remaining", kept)
