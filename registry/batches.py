@@ -21,11 +21,12 @@ BIG = 10_000_000_000
 
 
 def ids(table: str):
-    """Numeric ids for new rows, so the fixture's id type is kept."""
+    """Ids for new rows in the id type of the views."""
     if table == "product_groups":
         return F.col("request_id") + 1000
-    new = F.col("request_id") + BIG
-    return new * 100 + F.col("line_no") if table.endswith("e_items") or table == "delivery_items" else new
+    if table in ("invoice_items", "delivery_items"):
+        return F.concat_ws(":", "request_id", "line_no")
+    return F.col("request_id") + BIG
 
 
 def change(name: str, run, parts: dict[str, tuple]) -> None:
@@ -90,7 +91,7 @@ change("create_invoices", _create_invoices, {
               f"""WITH {_INVOICE_VERDICT}
         SELECT id, invoice_id, product_id, quantity, unit_price, total_price, created_at FROM invoice_items
         UNION ALL
-        SELECT (l.request_id + {BIG}) * 100 + l.line_no, l.request_id + {BIG}, l.product_id, cast(l.quantity AS int), cast(l.unit_price AS decimal(10,2)),
+        SELECT l.request_id || ':' || l.line_no, l.request_id + {BIG}, l.product_id, cast(l.quantity AS int), cast(l.unit_price AS decimal(10,2)),
                cast(cast(l.unit_price AS decimal(10,2)) * cast(l.quantity AS int) AS decimal(12,2)), {NOW_SQL}
         FROM invoice_request_lines l JOIN good g ON g.request_id = l.request_id"""),
     "rejected": (refused, f"WITH {_INVOICE_VERDICT} SELECT request_id, reason FROM verdict WHERE reason IS NOT NULL"),
@@ -115,7 +116,7 @@ change("create_deliveries", _create_deliveries, {
     "items": (state("delivery_items", "id", "delivery_id", "product_id", "quantity", "unit"), f"""WITH {_DELIVERY_VERDICT}
         SELECT id, delivery_id, product_id, quantity, unit FROM delivery_items
         UNION ALL
-        SELECT (l.request_id + {BIG}) * 100 + l.line_no, l.request_id + {BIG}, l.product_id, cast(l.quantity AS int), coalesce(l.unit, 'ком')
+        SELECT l.request_id || ':' || l.line_no, l.request_id + {BIG}, l.product_id, cast(l.quantity AS int), coalesce(l.unit, 'ком')
         FROM invoice_request_lines l JOIN good g ON g.request_id = l.request_id"""),
     "rejected": (refused, f"WITH {_DELIVERY_VERDICT} SELECT request_id, reason FROM verdict WHERE reason IS NOT NULL"),
 })

@@ -14,7 +14,21 @@ from pyspark.sql import DataFrame, SparkSession
 from tradebook.session import configure
 from tradebook.sources.model import SCHEMAS, ensure_columns
 
-DRIVER_TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
+# Declared, so that no job has to look into the files for the columns.
+DRIVER_SCHEMAS = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "part": "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double",
+    "orders": """o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz,
+        o_orderpriority string""",
+    "lineitem": """l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double,
+        l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string,
+        l_shipdate timestamp_ntz""",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+DRIVER_TABLES = tuple(DRIVER_SCHEMAS)
 
 VIEWS: dict[str, str] = {}
 
@@ -53,8 +67,10 @@ FROM (SELECT o_orderkey AS id, concat('INV-', lpad(cast(o_orderkey AS string), 8
       FROM orders) t
 """
 
+# The five columns together name a line, so ids need no numbering of the lines of an order.
 VIEWS["invoice_items"] = """
-SELECT l_orderkey * 100 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS id,
+SELECT concat_ws('-', cast(l_orderkey AS string), cast(l_linenumber AS string), cast(l_partkey AS string), cast(l_suppkey AS string),
+                 cast(cast(l_extendedprice AS decimal(10,2)) AS string)) AS id,
        l_orderkey AS invoice_id, l_partkey AS product_id, cast(l_quantity AS int) AS quantity,
        cast(l_extendedprice AS decimal(10,2)) AS unit_price,
        cast(cast(l_extendedprice AS decimal(10,2)) * cast(l_quantity AS int) AS decimal(12,2)) AS total_price,
@@ -152,11 +168,11 @@ FROM orders
 """
 
 VIEWS["invoice_request_lines"] = """
-SELECT invoice_id AS request_id, id - invoice_id * 100 AS line_no,
-       CASE WHEN id % 47 = 0 THEN -1 ELSE product_id END AS product_id,
-       CASE WHEN id % 31 = 0 THEN '0' ELSE cast(quantity AS string) END AS quantity,
-       CASE WHEN id % 37 = 0 THEN '-5' ELSE cast(unit_price AS string) END AS unit_price,
-       CASE WHEN id % 2 = 0 THEN NULL ELSE 'kg' END AS unit
+SELECT invoice_id AS request_id, id AS line_no,
+       CASE WHEN (product_id + invoice_id) % 47 = 0 THEN -1 ELSE product_id END AS product_id,
+       CASE WHEN (product_id + invoice_id) % 31 = 0 THEN '0' ELSE cast(quantity AS string) END AS quantity,
+       CASE WHEN (product_id + invoice_id) % 37 = 0 THEN '-5' ELSE cast(unit_price AS string) END AS unit_price,
+       CASE WHEN product_id % 2 = 0 THEN NULL ELSE 'kg' END AS unit
 FROM invoice_items
 """
 
@@ -239,8 +255,8 @@ SELECT request_id + 10000000000, number, try_cast(date AS date), try_cast(due_da
 VIEWS["staged_invoice_items"] = """
 SELECT id, invoice_id, product_id, quantity, unit_price, total_price FROM invoice_items
 UNION ALL
-SELECT (request_id + 10000000000) * 100 + line_no, request_id + 10000000000, product_id, cast(quantity AS int), cast(unit_price AS decimal(10,2)),
-       cast(cast(unit_price AS decimal(10,2)) * cast(quantity AS int) + CASE WHEN line_no % 5 = 0 THEN 1 ELSE 0 END AS decimal(12,2)) FROM invoice_request_lines
+SELECT concat('new-', line_no), request_id + 10000000000, product_id, cast(quantity AS int), cast(unit_price AS decimal(10,2)),
+       cast(cast(unit_price AS decimal(10,2)) * cast(quantity AS int) + CASE WHEN product_id % 5 = 0 THEN 1 ELSE 0 END AS decimal(12,2)) FROM invoice_request_lines
 """
 
 VIEWS["staged_deliveries"] = """
@@ -252,7 +268,7 @@ SELECT request_id + 10000000000, number, try_cast(date AS date), try_cast(due_da
 VIEWS["staged_delivery_items"] = """
 SELECT id, delivery_id, product_id, quantity, unit FROM delivery_items
 UNION ALL
-SELECT (request_id + 10000000000) * 100 + line_no, request_id + 10000000000, product_id, cast(quantity AS int), unit FROM invoice_request_lines
+SELECT concat('new-', line_no), request_id + 10000000000, product_id, cast(quantity AS int), unit FROM invoice_request_lines
 """
 
 VIEWS["staged_product_groups"] = """
@@ -306,28 +322,31 @@ class Data:
         self.spark = configure(spark)
         self.sf_dir = sf_dir
         self._ready: dict[str, DataFrame] = {}
+        self._named: set[str] = set()
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._ready:
-            if name in VIEWS:
-                sources = {n: self._raw(n) for n in reads(VIEWS[name])}
-                df = self.spark.sql(_braced(VIEWS[name], sources), **sources)
-                self._ready["raw " + name] = df
-                self._ready[name] = ensure_columns(df, name) if name in SCHEMAS else df
-            else:
-                self._ready[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+            df = self._plain(name)
+            self._ready[name] = ensure_columns(df, name) if name in SCHEMAS else df
         return self._ready[name]
 
-    def _raw(self, name: str) -> DataFrame:
-        full = self[name]
-        return self._ready.get("raw " + name, full)
-
     __getattr__ = __getitem__
 
-
-def _braced(sql: str, names: dict[str, DataFrame]) -> str:
-    """Turn the table names of a view text into the placeholders ``spark.sql`` fills in."""
-    sql = sql.replace("{", "{{").replace("}", "}}")
-    for name in names:
-        sql = re.sub(rf"\b(FROM|JOIN)\s+{name}\b", rf"\1 {{{name}}}", sql)
-    return sql
+    def _plain(self, name: str) -> DataFrame:
+        """The table or view as its text gives it."""
+        if name not in VIEWS:
+            reader = self.spark.read
+            if name in DRIVER_SCHEMAS:
+                reader = reader.schema(DRIVER_SCHEMAS[name])
+            return reader.parquet(f"{self.sf_dir}/{name}.parquet")
+        sql = VIEWS[name]
+        for source in reads(sql):
+            sql = re.sub(rf"\b(FROM|JOIN)\s+{source}\b", rf"\1 {self._view(source)}", sql)
+        return self.spark.sql(sql)
+
+    def _view(self, name: str) -> str:
+        """Register a source under a name of its own, once."""
+        if name not in self._named:
+            self._plain(name).createOrReplaceTempView(f"tradebook_{name}")
+            self._named.add(name)
+        return f"tradebook_{name}"

@@ -10,29 +10,68 @@ from pyspark.sql import functions as F
 
 from tradebook.functions.expressions import MONEY, trimmed
 from tradebook.operators.changes import (
-    Change, Ids, Tables, also, compose, entries, inserted, invalid, not_in, rejections, removed,
-    repeats, replaced, string_ids, without,
+    Change, Ids, Tables, compose, entries, inserted, not_in, rejections, removed, repeats, replaced,
+    string_ids, without,
 )
-from tradebook.operators.merge import first_come, taken
 from tradebook.operators.ordered import previous
-from tradebook.operators.quality import request_violations
+from tradebook.operators.quality import (
+    breaks, delivery_line_rules, delivery_rules, invoice_line_rules, invoice_rules, with_fields,
+)
 from tradebook.operators.stock import stock_balance, stock_update_log, stock_walk
+from tradebook.session import pinned
 
 EXACT = "decimal(24,6)"
 
 
+def _known(frame: DataFrame, column: str, alias: str, mark: str) -> DataFrame:
+    """The distinct values of a key column, marked for a left join."""
+    return frame.select(F.col(column).alias(alias)).distinct().withColumn(mark, F.lit(True))
+
+
+def _line_facts(lines: DataFrame, products: DataFrame, priced: bool) -> DataFrame:
+    """What the verdict needs to know of the lines of each request, in one pass over them."""
+    rules = invoice_line_rules() if priced else delivery_line_rules()
+    full = with_fields(lines, rules)
+    exact = (F.col("quantity").try_cast("int") * F.col("unit_price").try_cast("decimal(18,6)")).cast(EXACT)
+    judged = full.join(_known(products, "id", "product_id", "_product"), "product_id", "left").select(
+        "request_id", breaks(rules).alias("_bad"), F.col("_product").isNull().alias("_stray"),
+        (exact if priced else F.lit(None).cast(EXACT)).alias("_exact"))
+    return judged.groupBy("request_id").agg(
+        F.bool_or("_bad").alias("_bad"), F.bool_or("_stray").alias("_stray"),
+        F.sum("_exact").cast(EXACT).alias("_sum"), F.count(F.lit(1)).alias("item_count"))
+
+
 def _verdict(t: Tables, table: str, requests: DataFrame, lines: DataFrame) -> DataFrame:
-    """Accepted numbers: valid, new, with a known client and known products, first in the batch."""
-    bad_lines = lines.select("request_id", "product_id").join(
-        t["products"].select(F.col("id").alias("product_id")), "product_id", "left_anti")
-    rejected = rejections(
-        ("invalid", invalid(request_violations(table, requests, lines))),
-        ("duplicate_number", taken(requests, t[table], ["number"])),
-        ("unknown_client", not_in(requests, t["clients"], "client_id")),
-        ("unknown_product", bad_lines.select("request_id")),
+    """request_id, reason (NULL when accepted), exact sum and number of lines.
+
+    Accepted are valid requests with a new number, a known client and known products; of several
+    with one number the first. Pinned, since headers, items, rejections and log all start from it.
+    """
+    priced = table == "invoices"
+    rules = invoice_rules() if priced else delivery_rules()
+    judged = (
+        with_fields(requests, rules).withColumn("_head", breaks(rules))
+        .join(_line_facts(lines, t["products"], priced), "request_id", "left")
+        .join(_known(t[table], "number", "number", "_taken"), "number", "left")
+        .join(_known(t["clients"], "id", "client_id", "_client"), "client_id", "left")
+    )
+    reason = (
+        F.when(F.col("_head") | F.col("_bad") | F.col("item_count").isNull(), F.lit("invalid"))
+        .when(F.col("_taken"), F.lit("duplicate_number"))
+        .when(F.col("_client").isNull(), F.lit("unknown_client"))
+        .when(F.col("_stray"), F.lit("unknown_product"))
     )
-    passed = first_come(without(requests, rejected), ["number"])
-    return also(rejected, requests, passed, "duplicate_number")
+    judged = judged.select("request_id", "number", reason.alias("reason"), "_sum", "item_count")
+    first = judged.filter(F.col("reason").isNull()).groupBy("number").agg(F.min("request_id").alias("_first"))
+    late = F.col("reason").isNull() & (F.col("request_id") != F.col("_first"))
+    final = F.when(late, F.lit("duplicate_number")).otherwise(F.col("reason"))
+    return pinned(judged.join(first, "number", "left").select(
+        "request_id", final.alias("reason"), "_sum", "item_count"))
+
+
+def _split(verdict: DataFrame) -> tuple[DataFrame, DataFrame]:
+    ok = F.col("reason").isNull()
+    return verdict.filter(ok).drop("reason"), verdict.filter(~ok).select("request_id", "reason")
 
 
 def create_invoices(
@@ -43,19 +82,16 @@ def create_invoices(
     Amounts are summed exactly and each is rounded once, half up.
     """
     requests = requests.withColumn("number", trimmed("number"))
-    rejected = _verdict(t, "invoices", requests, lines)
-    accepted = without(requests, rejected)
-    priced = lines.join(accepted.select("request_id"), "request_id", "left_semi").withColumns({
+    passed, rejected = _split(_verdict(t, "invoices", requests, lines))
+    items = lines.join(passed.select("request_id"), "request_id", "left_semi").withColumns({
         "quantity": F.col("quantity").try_cast("int"),
         "unit_price": F.col("unit_price").try_cast("decimal(18,6)"),
     })
     exact = (F.col("quantity") * F.col("unit_price")).cast(EXACT)
-    items = priced.withColumn("invoice_id", ids("invoices")).withColumn("total_price", F.round(exact, 2))
-    sums = priced.groupBy("request_id").agg(
-        F.sum(exact).cast(EXACT).alias("_sum"), F.count(F.lit(1)).alias("item_count"))
+    items = items.withColumns({"invoice_id": ids("invoices"), "total_price": F.round(exact, 2)})
     rate = F.col("vat_rate").try_cast("decimal(9,6)")
     vat = F.col("_sum") * rate / F.lit(100)
-    heads = accepted.join(sums, "request_id").withColumns({
+    heads = requests.join(passed, "request_id").withColumns({
         "subtotal": F.round("_sum", 2).cast(MONEY),
         "vat_amount": F.round(vat, 2).cast(MONEY),
         "total": F.round(F.col("_sum") + vat, 2).cast(MONEY),
@@ -77,15 +113,13 @@ def create_deliveries(
     t: Tables, requests: DataFrame, lines: DataFrame, now: dt.datetime, ids: Ids = string_ids
 ) -> Change:
     requests = requests.withColumn("number", trimmed("number"))
-    rejected = _verdict(t, "deliveries", requests, lines)
-    accepted = without(requests, rejected)
-    kept = lines.join(accepted.select("request_id"), "request_id", "left_semi").withColumns({
+    passed, rejected = _split(_verdict(t, "deliveries", requests, lines))
+    items = lines.join(passed.select("request_id"), "request_id", "left_semi").withColumns({
         "quantity": F.col("quantity").try_cast("int"),
         "unit": F.nullif(F.col("unit"), F.lit("")),
+        "delivery_id": ids("deliveries"),
     })
-    items = kept.withColumn("delivery_id", ids("deliveries"))
-    counts = kept.groupBy("request_id").agg(F.count(F.lit(1)).alias("item_count"))
-    heads = accepted.join(counts, "request_id").withColumns({
+    heads = requests.join(passed, "request_id").withColumns({
         "date": F.substring("date", 1, 10).try_cast("date"),
         "due_date": F.substring("due_date", 1, 10).try_cast("date"),
     })

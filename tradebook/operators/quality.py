@@ -7,6 +7,7 @@ together in one pass; only uniqueness and foreign keys shuffle.
 from __future__ import annotations
 
 import functools
+import operator
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -113,23 +114,26 @@ class Rule:
     ok: Column
 
 
+def breaks(rules: Sequence[Rule]) -> Column:
+    """True when a row breaks any of the rules; NULL or false otherwise."""
+    return ~functools.reduce(operator.and_, [r.ok for r in rules])
+
+
 def violations(
     df: DataFrame, table: str, rules: Sequence[Rule], row_id: Column | str = "id", keep: Sequence[str] = ()
 ) -> DataFrame:
-    """All rules over one scan: each row yields one struct per broken rule, most rows none.
+    """All rules over one scan; only rows that break one are expanded, to one row per broken rule.
 
     ``keep`` names columns to carry along.
     """
+    row_id = F.col(row_id) if isinstance(row_id, str) else row_id
     marks = [
-        F.when(~F.coalesce(r.ok, F.lit(True)), F.struct(
-            F.lit(r.name).alias("rule"), F.col(r.column).cast("string").alias("value")))
+        F.when(~r.ok, F.expr(f"named_struct('rule', '{r.name}', 'value', cast({r.column} AS string))"))
         for r in rules
     ]
-    row_id = F.col(row_id) if isinstance(row_id, str) else row_id
-    broken = df.select(row_id.cast("string").alias("row_id"), *keep,
-                       F.explode(F.array_compact(F.array(*marks))).alias("_v"))
-    return broken.select(F.lit(table).alias("table"), F.col("_v.rule").alias("rule"), "row_id",
-                         F.col("_v.value").alias("value"), *keep)
+    found = df.filter(breaks(rules)).select(
+        row_id.cast("string").alias("row_id"), *keep, F.inline(F.array_compact(F.array(*marks))))
+    return found.select(F.lit(table).alias("table"), "rule", "row_id", "value", *keep)
 
 
 def _union(parts: Sequence[DataFrame]) -> DataFrame:
@@ -283,14 +287,14 @@ def group_patch_rules() -> list[Rule]:
     ]
 
 
-def _with_columns(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
+def with_fields(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     """Add the fields the rules read and the requests lack, as NULL."""
     missing = {r.column for r in rules} - set(df.columns)
     return df.select("*", *[F.lit(None).cast("string").alias(c) for c in sorted(missing)])
 
 
 def _requests(df: DataFrame, table: str, rules: Sequence[Rule]) -> DataFrame:
-    return violations(_with_columns(df, rules), table, rules, "request_id", ["request_id"])
+    return violations(with_fields(df, rules), table, rules, "request_id", ["request_id"])
 
 
 def unnest_items(requests: DataFrame) -> DataFrame:
@@ -309,7 +313,7 @@ def _documents(
         F.lit(table).alias("table"), F.lit("items_required").alias("rule"),
         F.col("request_id").cast("string").alias("row_id"), F.lit(None).cast("string").alias("value"),
         "request_id")
-    each = violations(_with_columns(lines, line_rules), table, line_rules,
+    each = violations(with_fields(lines, line_rules), table, line_rules,
                       F.concat_ws(":", "request_id", "line_no"), ["request_id"])
     return _union([heads, bare, each])
 

@@ -28,22 +28,27 @@ def shared_folder(spark: SparkSession) -> str:
     Only a local master may run without the setting; it then gets a folder of its own.
     """
     context = spark.sparkContext
-    folder = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not folder:
         if not context.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         folder = tempfile.mkdtemp(prefix="tradebook-")
-    if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
     return folder
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/tradebook-{name}-{uuid.uuid4().hex}"
 
 
 def pinned(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder once, so every later reader sees the same rows."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder once, so every later reader sees the same rows.
+
+    A written table needs one pass over ``df`` and gives later readers single columns;
+    ``checkpoint()`` computes its input twice and keeps whole rows.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, "pinned")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
