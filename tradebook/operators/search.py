@@ -27,7 +27,8 @@ def search_any(df: DataFrame, cols: Sequence[Column | str], term: str | None) ->
     """
     if not term:
         return df
-    pattern = "%" + re.sub(r"\\([^\\%_])", r"\1", term) + "%"
+    literal = re.sub(r"\\(.)", lambda m: m[0] if m[1] in "\\%_" else m[1], term, flags=re.DOTALL)
+    pattern = f"%{literal}%"
     return df.filter(functools.reduce(operator.or_, [col(c).ilike(pattern) for c in cols]))
 
 
