@@ -209,7 +209,7 @@ SELECT p_partkey AS request_id,
        CASE WHEN p_partkey % 11 = 0 THEN p_partkey + 100000000 ELSE p_partkey END AS product_id
 FROM part
 UNION ALL
-SELECT p_partkey + 10000000000, 1, p_partkey FROM part WHERE p_type = 'PROMO'
+SELECT p_partkey + 10000000000, cast(substring(p_brand, 7) AS int) % 25 + 1, p_partkey FROM part WHERE p_type = 'PROMO'
 """
 
 VIEWS["user_requests"] = """
