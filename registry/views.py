@@ -11,7 +11,7 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradebook.session import configure
+from tradebook.session import configure, size_shuffles
 from tradebook.sources.model import SCHEMAS, ensure_columns
 
 # Declared, so that no job has to look into the files for the columns.
@@ -323,6 +323,7 @@ class Data:
         self.sf_dir = sf_dir
         self._ready: dict[str, DataFrame] = {}
         self._named: set[str] = set()
+        self._read: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
         if name not in self._ready:
@@ -338,7 +339,10 @@ class Data:
             reader = self.spark.read
             if name in DRIVER_SCHEMAS:
                 reader = reader.schema(DRIVER_SCHEMAS[name])
-            return reader.parquet(f"{self.sf_dir}/{name}.parquet")
+            df = reader.parquet(f"{self.sf_dir}/{name}.parquet")
+            self._read[name] = df
+            size_shuffles(self.spark, *self._read.values())
+            return df
         sql = VIEWS[name]
         for source in reads(sql):
             sql = re.sub(rf"\b(FROM|JOIN)\s+{source}\b", rf"\1 {self._view(source)}", sql)

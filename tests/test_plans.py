@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from registry.views import Data
-from tradebook.operators import search, stock
+from tradebook import session
+from tradebook.operators import joins, search, stock
 from tradebook.plans import reports, stats
+from tradebook.sources import layout
 
 SF = "/root/testdata/sf0.001"
 
@@ -51,3 +53,25 @@ def test_no_hinted_broadcast_but_the_page(spark):
     root = pathlib.Path(__file__).resolve().parent.parent / "tradebook"
     uses = [str(p) for p in root.rglob("*.py") if "broadcast(" in p.read_text()]
     assert [u for u in uses if not u.endswith("reports.py")] == []
+
+
+def test_bucketed_documents_join_and_count_without_a_shuffle(spark, tmp_path):
+    d = Data(spark, SF)
+    spark.sql(f"CREATE DATABASE IF NOT EXISTS books LOCATION '{tmp_path}/books'")
+    layout.store_bucketed({n: d[n] for n in ("invoices", "invoice_items", "activity_logs")}, "books", 4, f"{tmp_path}/data")
+    t = layout.open_bucketed(spark, "books")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    counted = joins.with_counts(t["invoices"].select("id"), t["invoice_items"], "invoice_id")
+    text = physical(counted)
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Exchange" not in text and counted.count() == d.invoices.count()
+    assert t["activity_logs"].count() == d.activity_logs.count()
+
+
+def test_shuffle_partitions_grow_with_the_input_only(spark):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    lines = Data(spark, SF).lineitem
+    assert session.size_shuffles(spark, lines) == int(before)
+    assert session.size_shuffles(spark, lines, per_task=4096) > 20
+    assert int(spark.conf.get("spark.sql.shuffle.partitions")) > 20
+    spark.conf.set("spark.sql.shuffle.partitions", before)

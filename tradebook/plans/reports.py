@@ -15,6 +15,7 @@ from tradebook.operators.ordered import nest
 from tradebook.operators.search import (
     active_only, between_dates, by_ids, newest_first, non_blank, page_of, search_any, where_all,
 )
+from tradebook.session import pinned
 
 Tables = Mapping[str, DataFrame]
 
@@ -73,8 +74,11 @@ def documents_found(
 def _document_page(
     found: DataFrame, items: DataFrame, key: str, fields: Iterable[str], page: int, limit: int
 ) -> DataFrame:
-    """Take the page first, then count lines of its at most 100 documents only."""
-    rows = page_of(found, newest_first(), page, limit)
+    """Take the page first, then count lines of its at most 100 documents only.
+
+    The page is pinned: it is read twice, and finding it may mean joining whole tables.
+    """
+    rows = pinned(page_of(found, newest_first(), page, limit))
     ids = F.broadcast(rows.select(F.col("id").alias(key)))  # at most 100 rows
     lines = items.select(key).join(ids, key, "left_semi")
     return with_counts(rows, lines, key).select(*fields).orderBy(*newest_first())

@@ -22,6 +22,21 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def size_shuffles(spark: SparkSession, *inputs: DataFrame, per_task: int = 128 << 20) -> int:
+    """Raise the number of shuffle partitions so that the inputs split into pieces of ``per_task`` bytes.
+
+    Sizes come from the optimizer's estimate, for files their length. The number is never lowered;
+    AQE merges partitions that turn out small.
+    """
+    sizes = [int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) for df in inputs]
+    known = sum(s for s in sizes if s < 1 << 60)  # an unknown size is given as a huge one
+    wanted = min(-(-known // per_task), 100_000)
+    current = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    if wanted > current:
+        spark.conf.set("spark.sql.shuffle.partitions", str(wanted))
+    return max(wanted, current)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, taken from ``spark.checkpoint.dir``.
 
