@@ -17,7 +17,7 @@ from tradebook.operators.ordered import previous
 from tradebook.operators.quality import (
     breaks, delivery_line_rules, delivery_rules, invoice_line_rules, invoice_rules, with_fields,
 )
-from tradebook.operators.stock import stock_balance, stock_update_log, stock_walk
+from tradebook.operators.stock import balance_after, stock_update_log, stock_walk
 from tradebook.session import pinned
 
 EXACT = "decimal(24,6)"
@@ -171,8 +171,8 @@ def set_invoice_status(t: Tables, requests: DataFrame, now: dt.datetime) -> Chan
     change, steps = _set_status(t, "invoices", "INVOICE", requests, now)
     entered = confirmations(steps)
     stock = (t["invoice_items"], t["products"], t["product_group_items"], t["product_groups"])
-    groups = stock_balance(entered, *stock)
     walk = stock_walk(entered, *stock)
+    groups = balance_after(walk, t["product_groups"])
     moved = stock_update_log(walk).select("request_id", "action", "entity_type", "details")
     actors = requests.drop("id", "status")
     moved = moved.join(actors, "request_id")

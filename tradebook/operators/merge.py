@@ -87,19 +87,27 @@ def _leads(pending: DataFrame, key: str) -> DataFrame:
     )
 
 
+def _sharing(slim: DataFrame, key: str) -> DataFrame:
+    """Ids of requests whose key occurs more than once."""
+    often = slim.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return slim.join(often.filter("_n > 1").select(key), key, "left_semi").select("request_id")
+
+
 def first_come(requests: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Ids of the requests that get through when taken one by one in ``request_id`` order.
 
     A request passes unless an earlier one that passed holds one of its keys. With one key that is
-    the first request of each key. With several, a request beaten on one key frees its other keys,
-    so rounds repeat until nobody is left: each round passes those that lead on every key and drops
-    those that share a key with them. The lowest pending request always leads, so it ends.
+    the first request of each key. With several, a request beaten on one key frees its other keys.
+    Requests that share no key pass at once. For the rest rounds repeat until nobody is left: each
+    round passes those that lead on every key and drops those that share a key with them. The lowest
+    pending request always leads, so it ends.
     """
     slim = requests.select("request_id", *keys)
     if len(keys) == 1:
         return _leads(slim, keys[0])
-    passed: list[DataFrame] = []
-    pending = pinned(slim)
+    shared = functools.reduce(DataFrame.unionByName, [_sharing(slim, key) for key in keys]).distinct()
+    passed = [slim.select("request_id").join(shared, "request_id", "left_anti")]
+    pending = pinned(slim.join(shared, "request_id", "left_semi"))
     while not pending.isEmpty():
         leading = functools.reduce(
             lambda a, b: a.join(b, "request_id", "left_semi"), [_leads(pending, k) for k in keys]
@@ -109,6 +117,4 @@ def first_come(requests: DataFrame, keys: Sequence[str]) -> DataFrame:
         for key in keys:
             pending = pending.join(winners.select(key), key, "left_anti")
         pending = pinned(pending.join(winners.select("request_id"), "request_id", "left_anti"))
-    if not passed:
-        return slim.select("request_id").limit(0)
     return functools.reduce(DataFrame.unionByName, passed)

@@ -91,6 +91,13 @@ def stock_balance(
     return _closing(confirmed_lines(transitions, items, products, bridge, groups), groups)
 
 
+def balance_after(walk: DataFrame, groups: DataFrame) -> DataFrame:
+    """Groups with their balance after a walk: stock only falls, so the lowest is the last."""
+    last = walk.groupBy(F.col("group_id").alias("id")).agg(F.min("new_stock").alias("_last"))
+    left = F.coalesce("_last", "current_quantity")
+    return groups.join(last, "id", "left").withColumn("current_quantity", left).select(*groups.columns)
+
+
 def apply_stock(
     lines: DataFrame, products: DataFrame, bridge: DataFrame, groups: DataFrame,
     order: Sequence[str] = ("line_no",),
