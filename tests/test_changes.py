@@ -277,3 +277,13 @@ def test_by_ids_takes_lists_and_frames(spark, t):
 def test_touch(spark, t):
     got = changes.touch(t["products"], F.col("id") == "p1", NOW)
     assert rows(got, "id", "updated_at") == [("p1", NOW), ("p2", None), ("p3", None)]
+
+
+def test_one_number_owning_a_third_of_a_batch(spark, t):
+    data = [(f"r{n:04}", "HOT" if n % 3 == 0 else f"N{n}", "2024-01-01", "2024-02-01", "c1", "20", None, None) for n in range(600)]
+    heads = requests(spark, HEAD, *data).repartition(6)
+    lines = requests(spark, LINE, *[(r[0], "1", "p1", "1", "1", None) for r in data])
+    made = documents.create_invoices(t, heads, lines, NOW)
+    assert made.rows["invoices"].count() == 401 and made.rejected.count() == 199
+    assert rows(made.rows["invoices"].filter("number = 'HOT'"), "total") == [(Decimal("1.20"),)]
+    assert "r0000" not in reasons(made)

@@ -293,3 +293,33 @@ def test_first_come_equals_the_loop(spark):
             seen_b |= {b} - {None}
         df = spark.createDataFrame(data, "request_id int, a string, b string")
         assert sorted(r[0] for r in merge.first_come(df, ["a", "b"]).collect()) == want
+
+
+def test_log_details_can_be_parsed(spark):
+    t = seed(spark)
+    t["activity_logs"] = frame(spark, "activity_logs", [
+        {"id": "1", "user_id": "u1", "action": "A", "details": '{"k":{"n":7}}', "created_at": NOW},
+        {"id": "2", "user_id": "u1", "action": "B", "details": "not json", "created_at": NOW}])
+    got = reports.list_logs(t, parsed=True).select("id", F.try_variant_get("details", "$.k.n", "int").alias("n"))
+    assert rows(got) == [("1", 7), ("2", None)]
+
+
+def test_viewers_see_what_the_rule_lets_them(spark):
+    users = frame(spark, "users", [{"id": "a", "username": "a", "role": "admin"}, {"id": "b", "username": "b", "role": "user"},
+                                   {"id": "c", "username": "c", "role": "user"}])
+    logs = frame(spark, "activity_logs", [{"id": str(i), "user_id": u, "action": "x"} for i, u in enumerate(["a", "b", "b", None])])
+    assert rows(search.visible_log_counts(logs, users), "id", "visible") == [("a", 4), ("b", 2), ("c", 0)]
+    for viewer, role, seen in (("a", "admin", 4), ("b", "user", 2), ("c", "user", 0)):
+        assert search.visible_logs(logs, viewer, role).count() == seen
+    assert search.visible_logs(logs, "a", "admin", "b").count() == 2
+    assert search.visible_logs(logs, "c", "user", "b").count() == 0
+
+
+def test_pages_count_lines_of_documents_with_and_without_lines(spark):
+    t = seed(spark)
+    t["invoices"] = frame(spark, "invoices", [
+        {"id": f"v{i}", "number": f"N{i}", "client_id": "c1", "status": "draft", "date": dt.date(2024, 1, 1), "created_at": NOW} for i in range(5)])
+    t["invoice_items"] = frame(spark, "invoice_items", [{"id": str(i), "invoice_id": "v1", "product_id": "p1", "quantity": 1} for i in range(3)])
+    assert [(r["id"], r["item_count"]) for r in reports.list_invoices(t, page=1, limit=2).collect()] == [("v0", 0), ("v1", 3)]
+    assert [r["id"] for r in reports.list_invoices(t, search="sample", page=3, limit=2).collect()] == ["v4"]
+    assert reports.list_invoices(t, client_id="zz").count() == 0

@@ -49,7 +49,7 @@ def activity_windows(
     """Counts of distinct log rows per window and key, for a batch or a stream.
 
     As a stream in append mode a window comes out once the watermark has passed its end; rows older
-    than the watermark are dropped, so a batch recount is the reference.
+    than the watermark are dropped, so a batch recount is what counts.
     """
     counts = deduplicated(df, watermark).groupBy(F.window("created_at", window), *keys).agg(
         F.count(F.lit(1)).alias("actions"))
