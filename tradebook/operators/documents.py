@@ -61,12 +61,12 @@ def _verdict(t: Tables, table: str, requests: DataFrame, lines: DataFrame) -> Da
         .when(F.col("_client").isNull(), F.lit("unknown_client"))
         .when(F.col("_stray"), F.lit("unknown_product"))
     )
-    judged = judged.select("request_id", "number", reason.alias("reason"), "_sum", "item_count")
+    judged = pinned(judged.select("request_id", "number", reason.alias("reason"), "_sum", "item_count"))
     first = judged.filter(F.col("reason").isNull()).groupBy("number").agg(F.min("request_id").alias("_first"))
     late = F.col("reason").isNull() & (F.col("request_id") != F.col("_first"))
     final = F.when(late, F.lit("duplicate_number")).otherwise(F.col("reason"))
-    return pinned(judged.join(first, "number", "left").select(
-        "request_id", final.alias("reason"), "_sum", "item_count"))
+    return judged.join(first, "number", "left").select(
+        "request_id", final.alias("reason"), "_sum", "item_count")
 
 
 def _split(verdict: DataFrame) -> tuple[DataFrame, DataFrame]:
