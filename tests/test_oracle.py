@@ -7,6 +7,7 @@ import pytest
 
 import __spark_entry__ as entry
 from registry import check
+from registry.book import QUERIES
 
 SF = "/root/testdata/sf0.001"
 ORACLES = entry.oracle_sql()
@@ -17,7 +18,7 @@ def con():
     return check.duck(SF)
 
 
-@pytest.mark.parametrize("name", list(entry.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_oracle(spark, con, name):
     df = entry.queries()[name](spark, SF)
     plan = df._jdf.queryExecution().toString()

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
+import contextlib
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[str] = []
+
 
 def configure(spark: SparkSession) -> SparkSession:
     """Runtime settings every operator relies on.
@@ -39,23 +43,47 @@ def size_shuffles(spark: SparkSession, *inputs: DataFrame, per_task: int = 128 <
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach, taken from ``spark.checkpoint.dir``.
-
-    Only a local master may run without the setting; it then gets a folder of its own.
-    """
-    context = spark.sparkContext
-    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not folder:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-        folder = tempfile.mkdtemp(prefix="tradebook-")
-        context.setCheckpointDir(folder)
-    return folder
+    """The folder all executors can reach: ``spark.checkpoint.dir``, else the catalog's warehouse."""
+    return (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getCheckpointDir()
+        or spark.conf.get("spark.sql.warehouse.dir")
+    )
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/tradebook-{name}-{uuid.uuid4().hex}"
+    """A fresh path under the shared folder; removed by ``scratch_scope`` or at the end of the program."""
+    if not _WRITTEN:
+        atexit.register(remove_written, 0)
+    path = f"{shared_folder(spark).rstrip('/')}/tradebook-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through the file system it lives in."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(target, True)
+
+
+def remove_written(since: int = 0) -> None:
+    """Delete the scratch folders made after the first ``since`` ones; without a live session do nothing."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext._jsc is not None:
+        for path in _WRITTEN[since:]:
+            remove_path(spark, path)
+        del _WRITTEN[since:]
+
+
+@contextlib.contextmanager
+def scratch_scope() -> Iterator[None]:
+    """Remove on leaving what was written inside; results must have been consumed by then."""
+    before = len(_WRITTEN)
+    try:
+        yield
+    finally:
+        remove_written(before)
 
 
 def pinned(df: DataFrame) -> DataFrame:
