@@ -2,6 +2,8 @@
 
 from tradebook.llm import (  # noqa: F401  (importing files the queries)
     chat,
+    langid,
     sharding,
+    simhash,
 )
 from tradebook.llm.book import ORACLES, QUERIES  # noqa: F401
