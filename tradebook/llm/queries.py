@@ -5,5 +5,6 @@ from tradebook.llm import (  # noqa: F401  (importing files the queries)
     langid,
     sharding,
     simhash,
+    suffixdedup,
 )
 from tradebook.llm.book import ORACLES, QUERIES  # noqa: F401
