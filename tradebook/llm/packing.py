@@ -9,6 +9,7 @@ the counts allow. Pieces are then numbered inside their length and look their pl
 
 from __future__ import annotations
 
+import functools
 import re
 import zlib
 from collections.abc import Iterator
@@ -105,6 +106,12 @@ class Encoder:
             self.known[word] = self.known[core] + self.marks[marks]
 
 
+@functools.lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """Kept by a worker for all its tasks."""
+    return Encoder(path)
+
+
 def cuts(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of ``n`` ids: only the first may be shorter than ``capacity``."""
     first = n % capacity or capacity
@@ -119,10 +126,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
     small_batches(docs.sparkSession)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder, end = Encoder(path), np.array([END], "<u4").tobytes()
+        end = np.array([END], "<u4").tobytes()
         for batch in batches:
             out = []
-            for doc, ids in zip(batch["doc_id"], encoder.encode([t or "" for t in batch["text"]])):
+            for doc, ids in zip(batch["doc_id"], encoder(path).encode([t or "" for t in batch["text"]])):
                 ids += end
                 for piece, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
                     out.append((doc, piece, start, length, zlib.crc32(ids[4 * start:4 * (start + length)])))

@@ -8,5 +8,6 @@ from tradebook.llm import (  # noqa: F401  (importing files the queries)
     sharding,
     simhash,
     suffixdedup,
+    tokencount,
 )
 from tradebook.llm.book import ORACLES, QUERIES  # noqa: F401
