@@ -3,6 +3,7 @@
 from tradebook.llm import (  # noqa: F401  (importing files the queries)
     chat,
     langid,
+    lzprint,
     neighbours,
     packing,
     sharding,
