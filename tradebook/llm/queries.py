@@ -1,6 +1,7 @@
 """Importing this module files all queries of the subpackage."""
 
 from tradebook.llm import (  # noqa: F401  (importing files the queries)
+    bytebpe,
     chat,
     langid,
     lzprint,

@@ -259,12 +259,12 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> Da
     return rows.join(labels, rows["fp"] == labels["_fp"]).select("doc_id", "fp", "component_id")
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
     """``docs`` with one row of each near-duplicate group: the smallest doc_id, its first text if it is repeated.
 
     Rows without doc_id are kept: nothing names them. All columns stay.
     """
-    groups = near_groups(docs)
+    groups = near_groups(docs, shingle, most)
     keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
     kept = docs.join(keep, docs["doc_id"] == keep["_kept"], "left_semi")
     order = Window.partitionBy("doc_id").orderBy("text")
