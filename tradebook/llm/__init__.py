@@ -1 +1,4 @@
-"""Operators for preparing training data: deduplication, packing, tokenizing, formatting, search."""
+"""Operators for preparing training data: deduplication, packing, tokenizing, formatting, search.
+
+They pass further columns through or ignore them; names that begin with ``_llm_`` are their own.
+"""

@@ -119,10 +119,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def judged(docs: DataFrame, learning: DataFrame) -> DataFrame:
-    """All rows and columns of ``docs`` plus one struct column ``_language`` (lang_pred, score), from the
+    """All rows and columns of ``docs`` plus one struct column ``_llm_language`` (lang_pred, score), from the
     text alone, by a model of ``learning`` (text, lang). An empty table gives an empty one."""
     langs, matrix = fit(learning)
-    return docs.withColumn("_language", scorer(docs.sparkSession, langs, matrix)(F.col("text")))
+    return docs.withColumn("_llm_language", scorer(docs.sparkSession, langs, matrix)(F.col("text")))
 
 
 def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
@@ -133,15 +133,15 @@ def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
     langs, matrix = fit(docs.where(~held_out(F.col("doc_id"))))
     if not langs:
         return docs.where(F.col("text").rlike(r"\p{L}"))
-    told = docs.withColumn("_language", scorer(docs.sparkSession, langs, matrix)(F.col("text")))
-    return told.where((F.col("_language.lang_pred") != UNKNOWN) & (F.col("_language.score") >= least)).select(*docs.columns)
+    told = docs.withColumn("_llm_language", scorer(docs.sparkSession, langs, matrix)(F.col("text")))
+    return told.where((F.col("_llm_language.lang_pred") != UNKNOWN) & (F.col("_llm_language.score") >= least)).select(*docs.columns)
 
 
 def op10_language(spark, sf_dir: str) -> DataFrame:
     """Every document's language, learned from those whose id's checksum is not 2 modulo 4."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", held_out(F.col("doc_id")).alias("held_out"))
     told = judged(docs.select("doc_id", "held_out", "text"), docs.where(~F.col("held_out")))
-    return told.select("doc_id", "held_out", "_language.lang_pred", "_language.score")
+    return told.select("doc_id", "held_out", "_llm_language.lang_pred", "_llm_language.score")
 
 
 register("op10_language", op10_language)

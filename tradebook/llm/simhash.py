@@ -265,10 +265,10 @@ def one_of_each(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> Da
     Rows without doc_id are kept: nothing names them. All columns stay.
     """
     groups = near_groups(docs, shingle, most)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["_kept"], "left_semi")
+    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_llm_kept")).distinct()
+    kept = docs.join(keep, docs["doc_id"] == keep["_llm_kept"], "left_semi")
     order = Window.partitionBy("doc_id").orderBy("text")
-    first = kept.withColumn("_n", F.row_number().over(order)).where("_n = 1").select(*docs.columns)
+    first = kept.withColumn("_llm_n", F.row_number().over(order)).where("_llm_n = 1").select(*docs.columns)
     return first.unionByName(docs.where("doc_id is null"))
 
 

@@ -271,29 +271,30 @@ def covered(starts: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 def with_keys(docs: DataFrame) -> DataFrame:
-    """``docs`` plus ``_doc`` and ``_key``, which name a row up to equal ones."""
+    """``docs`` plus ``_llm_doc`` and ``_llm_key``, which name a row up to equal ones."""
     @F.pandas_udf("long")
     def key(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in parts:
             yield pd.Series([row_key((t or "").encode()) for t in texts], dtype="int64")
 
     small_batches(docs.sparkSession)
-    return docs.withColumn("_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_key", key("text"))
+    return docs.withColumn("_llm_doc", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))).withColumn("_llm_key", key("text"))
 
 
 def with_places(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kinds: int = KINDS) -> DataFrame:
-    """All rows and columns of ``docs`` plus ``_starts`` and ``_stops`` of what repeats in the text's bytes (null: nothing).
+    """All rows and columns of ``docs`` plus ``_llm_starts`` and ``_llm_stops`` of what repeats in the text's bytes (null: nothing).
 
     A null text counts as empty. Rows equal in doc_id and text are copies of each other. Extra columns stay.
     """
     keyed = with_keys(docs)
-    plain = keyed.select(F.col("_doc").alias("doc"), F.col("_key").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
-    places = repeated_places(plain, length, gram, kinds).groupBy("doc", "key").agg(
-        F.collect_list(F.struct("start", "stop")).alias("_places")
+    plain = keyed.select(F.col("_llm_doc").alias("doc"), F.col("_llm_key").alias("key"), F.coalesce("text", F.lit("")).alias("text"))
+    found = repeated_places(plain, length, gram, kinds)
+    places = found.groupBy(F.col("doc").alias("_llm_own_doc"), F.col("key").alias("_llm_own_key")).agg(
+        F.collect_list(F.struct("start", "stop")).alias("_llm_places")
     )
-    match = (keyed["_doc"] == places["doc"]) & (keyed["_key"] == places["key"])
+    match = (keyed["_llm_doc"] == places["_llm_own_doc"]) & (keyed["_llm_key"] == places["_llm_own_key"])
     return keyed.join(places, match, "left").select(
-        *docs.columns, F.col("_places.start").alias("_starts"), F.col("_places.stop").alias("_stops")
+        *docs.columns, F.col("_llm_places.start").alias("_llm_starts"), F.col("_llm_places.stop").alias("_llm_stops")
     )
 
 
@@ -327,9 +328,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     empty text; null texts stay null. All rows and columns stay.
     """
     cut = cut_column("text string, n long", lambda raw, kept, n: (kept.decode(errors="ignore"), n))
-    done = with_places(docs).withColumn("_cut", cut("text", "_starts", "_stops"))
-    text = F.when(F.col("text").isNotNull(), F.col("_cut.text"))
-    changed = {"text": text, "n_chars": F.when(F.col("_cut.n") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))} \
+    done = with_places(docs).withColumn("_llm_cut", cut("text", "_llm_starts", "_llm_stops"))
+    text = F.when(F.col("text").isNotNull(), F.col("_llm_cut.text"))
+    changed = {"text": text, "n_chars": F.when(F.col("_llm_cut.n") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))} \
         if "n_chars" in docs.columns else {"text": text}
     return done.select(*(changed[c].alias(c) if c in changed else F.col(c) for c in docs.columns))
 
@@ -341,7 +342,7 @@ def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
         "n_bytes long, n_removed long, n_spans long, kept_sha256 string",
         lambda raw, kept, n: (len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest()),
     )
-    return docs.withColumn("_cut", cut("text", "_starts", "_stops")).select("doc_id", "_cut.*")
+    return docs.withColumn("_llm_cut", cut("text", "_llm_starts", "_llm_stops")).select("doc_id", "_llm_cut.*")
 
 
 register("op3_suffix_dedup", op3_suffix_dedup)
