@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from registry.book import register
 from registry.lists import nulls
 from registry.rules import CLIENTS_SQL, DELIVERIES_SQL, GROUPS_SQL, INVOICES_SQL, PRODUCTS_SQL, USERS_SQL, union
-from registry.warehouse import ASSIGN_SQL, BALANCE_SQL, STEPS_SQL, lines_sql
+from registry.warehouse import ASSIGN_SQL, BALANCE_SQL, STEPS_SQL, WALK_ORDER, lines_sql, updates_sql, walk_sql
 from tradebook.operators import changes, documents, merge, registers
 from tradebook.session import scratch_path
 from tradebook.sources import model, snapshots
@@ -135,9 +135,10 @@ change("set_invoice_status", _set_invoice_status, {
         FROM invoices i LEFT JOIN last l ON l.id = i.id"""),
     "stock": (state("product_groups", "id", "name", "current_quantity"), f"WITH {STEPS_SQL}, {lines_sql('entered')} {BALANCE_SQL}"),
     "rejected": (refused, _UNKNOWN.format(t="invoices")),
-    "activity": (lambda c: logged(c).filter("entity_type = 'invoices'"), f"""WITH {STEPS_SQL}
+    "activity": (logged, f"""WITH {STEPS_SQL}, {lines_sql('entered')}, {walk_sql(WALK_ORDER)}
         SELECT request_id, 'UPDATE_INVOICE_STATUS_' || upper(status) AS action, 'invoices' AS entity_type, cast(id AS varchar) AS entity_id,
-               '{{"old_status":"' || old_status || '","new_status":"' || status || '",{STAMP}}}' AS details, {NOW_SQL} AS created_at FROM steps"""),
+               '{{"old_status":"' || old_status || '","new_status":"' || status || '",{STAMP}}}' AS details, {NOW_SQL} AS created_at FROM steps
+        UNION ALL SELECT request_id, 'UPDATE_STOCK_ON_INVOICE_CONFIRMATION', 'product_groups', NULL, details, {NOW_SQL} FROM ({updates_sql('walk')}) u"""),
 })
 change("set_delivery_status", lambda d: documents.set_delivery_status(d, d.status_requests.select("request_id", "id", "status"), NOW), {
     "": (state("deliveries", "id", "status", "updated_at"), f"""WITH {_LAST_STATUS.format(t='deliveries')}

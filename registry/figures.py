@@ -133,18 +133,19 @@ register(
     """SELECT g.name AS "Group Name", g.quantity_type AS "Quantity Type", g.original_quantity AS "Original Quantity",
               g.current_quantity AS "Current Quantity", g.shipment_date AS "Shipment Date", g.reservation_type AS "Reservation Type",
               g.reservation_amount AS "Reservation Amount",
-              coalesce(string_agg(p.name, '; ' ORDER BY p.name) FILTER (WHERE p.name <> ''), '') AS "Products", g.created_at AS "Created At"
+              1 AS "Part", coalesce(string_agg(p.name, '; ' ORDER BY p.name) FILTER (WHERE p.name <> ''), '') AS "Products", g.created_at AS "Created At"
        FROM product_groups g LEFT JOIN product_group_items b ON g.id = b.group_id LEFT JOIN products p ON b.product_id = p.id
        GROUP BY g.id, g.name, g.quantity_type, g.original_quantity, g.current_quantity, g.shipment_date, g.reservation_type, g.reservation_amount, g.created_at""",
 )
 _LOGS = """SELECT strftime(created_at, '%Y-%m-%dT%H:%M:%S.%gZ') AS "Date", coalesce(username, 'System') AS "User", action AS "Action",
     entity_type AS "Entity Type", entity_id AS "Entity ID", ip_address AS "IP Address", details AS "Details" FROM (
     SELECT l.*, u.username FROM activity_logs l LEFT JOIN users u ON l.user_id = u.id {where}
-    ORDER BY l.created_at DESC NULLS FIRST, l.id LIMIT 10000) t"""
-register("export_logs", lambda d: export.export_logs(d), _LOGS.format(where=""))
+    ORDER BY l.created_at DESC NULLS FIRST, l.id {limit}) t"""
+register("export_logs", lambda d: export.export_logs(d), _LOGS.format(where="", limit=""))
+register("export_logs_newest", lambda d: export.export_logs(d, cap=500), _LOGS.format(where="", limit="LIMIT 500"))
 register(
     "export_logs_search", lambda d: export.export_logs(d, start=_START, search="user_2"),
-    _LOGS.format(where="WHERE l.created_at >= TIMESTAMP '2024-01-03' AND (l.action ILIKE '%user_2%' OR u.username ILIKE '%user_2%')"),
+    _LOGS.format(where="WHERE l.created_at >= TIMESTAMP '2024-01-03' AND (l.action ILIKE '%user_2%' OR u.username ILIKE '%user_2%')", limit=""),
 )
 
 

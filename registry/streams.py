@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from registry.warehouse import BALANCE_SQL, lines_sql
 from tradebook.session import scratch_path
 from tradebook.sources.model import ensure_columns
 from tradebook.streaming.activity import (
-    activity_stream, activity_windows, append_sink, file_stream, keep_state_on_disk, request_rate,
+    activity_stream, activity_windows, file_stream, rate_stream, request_rate, windows_stream,
 )
 from tradebook.streaming.confirmations import stock_stream
 
@@ -34,30 +35,25 @@ def log_stream(d: Data):
     return ensure_columns(rows, "activity_logs")
 
 
-def _drained(d: Data, df, name: str):
-    keep_state_on_disk(d.spark)
-    path = scratch_path(d.spark, name)
-    append_sink(df, path, scratch_path(d.spark, f"{name}-checkpoint")).start().awaitTermination()
-    return d.spark.read.schema(df.schema).parquet(path)
+def _kept_up(d: Data, start, count, name: str):
+    """What a counting stream has under its folder once all files are worked off."""
+    store, out, checkpoint = (scratch_path(d.spark, f"{name}-{part}") for part in ("log", "out", "checkpoint"))
+    start(log_stream(d), store, out, checkpoint).awaitTermination()
+    schema = count(d.activity_logs.limit(0)).schema
+    return d.spark.read.schema(schema).parquet(out).select(*schema.names)
 
 
-_CLOSED = "window_end <= (SELECT max(created_at) - INTERVAL 1 DAY FROM activity_logs)"
 register(
-    "activity_windows_stream", lambda d: _drained(d, activity_windows(log_stream(d)), "windows"),
-    f"SELECT * FROM ({_WINDOWS}) w WHERE {_CLOSED}",
-)
+    "activity_windows_stream", lambda d: _kept_up(d, windows_stream, activity_windows, "windows"), _WINDOWS)
 register(
-    "request_rate_stream", lambda d: _drained(d, request_rate(log_stream(d), limit=1), "rates"),
-    f"SELECT * FROM ({_RATE}) w WHERE {_CLOSED}",
-)
+    "request_rate_stream",
+    lambda d: _kept_up(d, functools.partial(rate_stream, limit=1), functools.partial(request_rate, limit=1), "rates"), _RATE)
 
 
 def _stored_log(d: Data):
-    keep_state_on_disk(d.spark)
     path = scratch_path(d.spark, "log")
     activity_stream(log_stream(d), path, scratch_path(d.spark, "log-checkpoint")).awaitTermination()
-    rows = d.spark.read.parquet(path)
-    return rows.select("id", "user_id", "action", F.col("created_at").cast("timestamp_ntz").alias("created_at"), "day")
+    return d.spark.read.parquet(path).select("id", "user_id", "action", "created_at", "day")
 
 
 register(

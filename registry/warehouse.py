@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from registry.book import register
@@ -27,7 +29,7 @@ def walk_sql(order: str) -> str:
       JOIN product_groups g ON g.id = w.group_id)"""
 
 
-WALK_ORDER = "date, invoice_id, request_id, item_id"
+WALK_ORDER = "request_id, item_id"
 BALANCE_SQL = """SELECT g.id, g.name, cast(greatest(0, g.current_quantity - coalesce(u.used, 0)) AS decimal(12,2)) AS current_quantity
     FROM product_groups g LEFT JOIN (SELECT group_id, sum(weight_used) AS used FROM lines GROUP BY group_id) u ON u.group_id = g.id"""
 
@@ -92,13 +94,24 @@ register(
         SELECT invoice_id, 1 AS part, string_agg(concat_ws('|', group_id, product_code, quantity, weight_used, old_stock, new_stock), ';' ORDER BY item_id) AS updates
         FROM walk GROUP BY invoice_id""",
 )
+NOW = dt.datetime(2024, 2, 1)
+
+
+def updates_sql(walk: str) -> str:
+    """Rows (request_id, invoice_id, details): the log of each confirmation, all its updates in one part."""
+    one = """'{"group_id":' || group_id || ',"product_code":' || to_json(product_code) || ',"product_name":' || to_json(product_name) ||
+      ',"quantity_used":' || quantity || ',"weight_used":' || weight_used || ',"old_stock":' || old_stock || ',"new_stock":' || new_stock || '}'"""
+    return f"""SELECT request_id, invoice_id, count(*) AS update_count, '{{"invoice_id":' || invoice_id || ',"updates":[' ||
+      string_agg({one}, ',' ORDER BY item_id) || '],"part":1,"timestamp":"2024-02-01T00:00:00.000Z"}}' AS details FROM {walk} GROUP BY request_id, invoice_id"""
+
+
 register(
     "stock_update_log",
-    lambda d: stock.stock_update_log(stock.stock_walk(drafts(d), *stores(d))).select(
-        "invoice_id", "action", "entity_type", "update_count", F.get_json_object("details", "$.invoice_id").alias("logged_invoice")),
-    f"""WITH {DRAFTS_SQL}, {lines_sql('drafts')}
-        SELECT invoice_id, 'UPDATE_STOCK_ON_INVOICE_CONFIRMATION' AS action, 'product_groups' AS entity_type, count(*) AS update_count,
-               cast(invoice_id AS varchar) AS logged_invoice FROM lines GROUP BY invoice_id""",
+    lambda d: stock.stock_update_log(stock.stock_walk(drafts(d), *stores(d)), NOW).select(
+        "invoice_id", "part", "action", "entity_type", "update_count", "details"),
+    f"""WITH {DRAFTS_SQL}, {lines_sql('drafts')}, {walk_sql(WALK_ORDER)}
+        SELECT invoice_id, 1 AS part, 'UPDATE_STOCK_ON_INVOICE_CONFIRMATION' AS action, 'product_groups' AS entity_type, update_count, details
+        FROM ({updates_sql('walk')}) u""",
 )
 ASSIGN_SQL = """judged AS (
     SELECT r.*, CASE WHEN r.group_id NOT IN (SELECT id FROM product_groups) THEN 'group_not_found'

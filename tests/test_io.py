@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import pathlib
 from decimal import Decimal
 
 import pytest
-from pyspark.sql import functions as F
 
 from tests.small import NOW, frame, rows, seed
 from tradebook import session
@@ -49,22 +49,28 @@ def test_retention_counts_whole_days(spark):
     assert rows(got, "snapshot", "expired", "remaining") == [("1", False, 2), ("30", False, 2), ("31", True, 2), ("40", True, 2)]
 
 
-def test_a_cluster_without_a_shared_folder_is_refused():
+def test_without_a_setting_the_warehouse_is_shared():
     class Conf:
         def get(self, name, default=None):
-            return None
+            return {"spark.sql.warehouse.dir": "hdfs://store/warehouse"}.get(name, default)
 
     class Context:
-        master = "yarn"
-
         def getCheckpointDir(self):
             return None
 
     class Spark:
         conf, sparkContext = Conf(), Context()
 
-    with pytest.raises(ValueError):
-        session.shared_folder(Spark())
+    assert session.shared_folder(Spark()) == "hdfs://store/warehouse"
+
+
+def test_a_scope_removes_its_folders(spark):
+    shared = pathlib.Path(session.shared_folder(spark))
+    before = set(shared.iterdir())
+    with session.scratch_scope():
+        assert session.pinned(spark.range(3)).count() == 3
+        assert set(shared.iterdir()) - before
+    assert set(shared.iterdir()) == before
 
 
 def test_the_shared_folder_is_the_configured_one(spark):
@@ -83,37 +89,47 @@ def log_files(spark, tmp_path):
     spark.createDataFrame(data[50:], ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "src"))
     late = [("old", "u1", "x", "invoice", "10.0.0.1", dt.datetime(2023, 1, 1))]
     spark.createDataFrame(late, ddl).coalesce(1).write.mode("append").parquet(str(tmp_path / "src"))
-    batch = spark.createDataFrame(data, ddl)
-    return str(tmp_path / "src"), batch, start + dt.timedelta(hours=5 * 59)
+    return str(tmp_path / "src"), spark.createDataFrame(data + late, ddl)
 
 
 @pytest.mark.parametrize("kind", ["windows", "rate"])
-def test_stream_equals_batch_over_closed_windows(spark, tmp_path, log_files, kind):
-    folder, batch, newest = log_files
+def test_stream_equals_batch_over_all_windows(spark, tmp_path, log_files, kind):
+    folder, batch = log_files
     stream = activity.file_stream(spark, folder, batch.schema, files_per_trigger=1)
-    activity.keep_state_on_disk(spark)
+    places = [str(tmp_path / part) for part in ("log", "out", "cp")]
     if kind == "windows":
-        build = activity.activity_windows
+        activity.windows_stream(stream, *places).awaitTermination()
+        want = activity.activity_windows(batch)
     else:  # requests are counted as they come, the repeated file too
-        def build(df):
-            return activity.request_rate(df, limit=2, window="1 day")
-        batch = batch.unionByName(batch.filter("cast(id AS int) >= 50"))
-    out = build(stream)
-    activity.append_sink(out, str(tmp_path / "out"), str(tmp_path / "cp")).start().awaitTermination()
-    got = spark.read.schema(out.schema).parquet(str(tmp_path / "out"))
-    closed = build(batch).filter(F.col("window_end") <= F.lit(newest - dt.timedelta(days=1)))
-    late = got.filter("window_start < timestamp_ntz'2023-06-01'").count()
-    assert rows(got.filter("window_start >= timestamp_ntz'2023-06-01'")) == rows(closed)
-    assert late in (0, 1) and closed.count() > 3
-
-
-def test_log_sink_drops_repeated_rows(spark, tmp_path, log_files):
-    folder, batch, _ = log_files
+        activity.rate_stream(stream, *places, window="12 hours", limit=1).awaitTermination()
+        given = batch.unionByName(batch.filter("id <> 'old' AND cast(id AS int) >= 50"))
+        want = activity.request_rate(given, window="12 hours", limit=1)
+    got = spark.read.schema(want.schema).parquet(places[1]).select(*want.columns)
+    assert rows(got) == rows(want) and want.count() > 3
+
+
+def test_log_sink_drops_repeated_rows_and_keeps_late_ones(spark, tmp_path, log_files):
+    folder, batch = log_files
     stream = activity.file_stream(spark, folder, batch.schema, files_per_trigger=2)
     activity.activity_stream(stream, str(tmp_path / "log"), str(tmp_path / "cp")).awaitTermination()
     kept = spark.read.parquet(str(tmp_path / "log"))
-    assert rows(kept.filter("id <> 'old'"), "id") == rows(batch, "id")
-    assert kept.filter("id <> 'old'").select("day").distinct().count() == 13
+    assert rows(kept, "id") == rows(batch, "id")
+    assert kept.select("day").distinct().count() == 14
+
+
+def test_a_log_batch_run_again_changes_nothing(spark, tmp_path, log_files):
+    _, batch = log_files
+    path = str(tmp_path / "log")
+    for version, part in enumerate(("id < '3'", "id < '5'", "id < '5'", "true")):
+        for _ in range(2):
+            activity.store_batch(batch.filter(part), version, path)
+    assert rows(spark.read.parquet(path), "id") == rows(batch, "id")
+
+
+def test_a_window_must_divide_a_day():
+    activity.check_window("6 hours")
+    with pytest.raises(ValueError):
+        activity.check_window("7 hours")
 
 
 def test_stock_stream_over_many_batches_and_a_repeated_one(spark, tmp_path):

@@ -127,7 +127,7 @@ def test_seed_walk(spark):
     assert rows(walk, "item_id", "old_stock", "new_stock") == [
         ("i1", Decimal("9000.00"), Decimal("7500.00")), ("i2", Decimal("7500.00"), Decimal("0.00"))]
     assert rows(stock.stock_balance(moves, *stores), "current_quantity") == [(Decimal("0.00"),)]
-    log = stock.stock_update_log(walk).collect()
+    log = stock.stock_update_log(walk, NOW).collect()
     assert len(log) == 1 and log[0]["update_count"] == 2 and '"new_stock":7500.00' in log[0]["details"]
 
 
@@ -137,7 +137,7 @@ def test_walk_equals_the_loop_on_random_data(spark):
     goods = [{"id": f"p{i}", "code": f"c{i}", "name": "n", "weight": Decimal(rng.choice([0, 0.5, 3, 20]))} for i in range(12)]
     bridge = [{"id": str(i), "group_id": f"g{i % 4}", "product_id": f"p{i}"} for i in range(10)]
     bridge.append({"id": "x", "group_id": "g3", "product_id": "p0"})  # a second group: the lowest counts
-    heads = [(f"r{i}", f"v{i}", dt.date(2024, 1, 1) + dt.timedelta(rng.randrange(3))) for i in range(40)]
+    heads = [(f"r{rng.randrange(100):02}-{i}", f"v{i}", dt.date(2024, 1, 1) + dt.timedelta(rng.randrange(3))) for i in range(40)]
     items = [{"id": f"i{n:03}", "invoice_id": rng.choice(heads)[1], "product_id": rng.choice(goods)["id"], "quantity": rng.randrange(1, 9)}
              for n in range(200)]
     left = {g["id"]: g["current_quantity"] for g in groups}
@@ -146,8 +146,8 @@ def test_walk_equals_the_loop_on_random_data(spark):
     for b in bridge:
         home[b["product_id"]] = min(b["group_id"], home.get(b["product_id"], "z"))
     want = []
-    day = {v: d for _, v, d in heads}
-    for i in sorted(items, key=lambda i: (day[i["invoice_id"]], i["invoice_id"], i["id"])):
+    asked = {v: r for r, v, _ in heads}
+    for i in sorted(items, key=lambda i: (asked[i["invoice_id"]], i["id"])):
         group = home.get(i["product_id"])
         if weight[i["product_id"]] > 0 and group:
             old = left[group]

@@ -129,6 +129,11 @@ def iso_utc(c: Column | str) -> Column:
     return F.date_format(col(c), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
+def time_stamp(now: dt.datetime) -> str:
+    """How a moment is written into log details."""
+    return now.isoformat(timespec="milliseconds") + "Z"
+
+
 def clean_ip(c: Column | str) -> Column:
     """IPv6 loopback is written as its IPv4 form."""
     c = col(c)

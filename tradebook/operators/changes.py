@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradebook.functions.expressions import clean_ip
+from tradebook.functions.expressions import clean_ip, time_stamp
 from tradebook.session import pinned
 from tradebook.sources.model import TOUCHED, apply_defaults, derived_id, ensure_columns
 
@@ -155,7 +155,7 @@ def entries(
     def optional(c: str) -> Column:
         return F.col(c) if c in accepted.columns else F.lit(None).cast("string")
 
-    stamp = F.lit(now.isoformat(timespec="milliseconds") + "Z").alias("timestamp")
+    stamp = F.lit(time_stamp(now)).alias("timestamp")
     target = F.lit(None).cast("string") if entity_id is None else (
         F.col(entity_id) if isinstance(entity_id, str) else entity_id)
     return accepted.select(
@@ -171,11 +171,18 @@ def entries(
     )
 
 
-def append_activity(logs: DataFrame, activity: DataFrame, ids: Ids | None = None) -> DataFrame:
-    """The log with the activity rows of a change added."""
+def append_activity(
+    logs: DataFrame, activity: DataFrame, ids: Ids | None = None, batch: str = ""
+) -> DataFrame:
+    """The log with the activity rows of a change added.
+
+    Ids follow from all that tells rows of a batch apart; ``batch`` names it where request ids are
+    used again at the same moment.
+    """
     full = ensure_columns(logs, "activity_logs")
+    parts = ("action", "entity_type", "entity_id", "request_id", "created_at", "details")
     new_id = ids("activity_logs") if ids else derived_id(
-        "activity_logs", F.col("action"), F.col("request_id").cast("string"), F.col("created_at").cast("string"))
+        "activity_logs", F.lit(batch), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in parts])
     rows = activity.withColumn("id", new_id)
     return full.unionByName(rows.select(
         *[F.col(f.name).cast(f.dataType).alias(f.name) for f in full.schema.fields]))

@@ -17,7 +17,7 @@ from tradebook.operators.ordered import previous
 from tradebook.operators.quality import (
     breaks, delivery_line_rules, delivery_rules, invoice_line_rules, invoice_rules, with_fields,
 )
-from tradebook.operators.stock import balance_after, stock_update_log, stock_walk
+from tradebook.operators.stock import UPDATE_ACTION, balance_after, stock_updates, stock_walk
 from tradebook.session import pinned
 
 EXACT = "decimal(24,6)"
@@ -173,12 +173,9 @@ def set_invoice_status(t: Tables, requests: DataFrame, now: dt.datetime) -> Chan
     stock = (t["invoice_items"], t["products"], t["product_group_items"], t["product_groups"])
     walk = stock_walk(entered, *stock)
     groups = balance_after(walk, t["product_groups"])
-    moved = stock_update_log(walk).select("request_id", "action", "entity_type", "details")
-    actors = requests.drop("id", "status")
-    moved = moved.join(actors, "request_id")
-    stamped = entries(moved, F.col("action"), "product_groups", None, now).withColumn(
-        "details", F.lit(None).cast("string"))
-    stamped = stamped.drop("details").join(moved.select("request_id", "details"), "request_id")
+    moved = stock_updates(walk).join(requests.drop("id", "status"), "request_id")
+    stamped = entries(moved, UPDATE_ACTION, "product_groups", None, now,
+                      [F.col(c) for c in ("invoice_id", "updates", "part")])
     return replace(
         change,
         tables={**change.tables, "product_groups": groups},

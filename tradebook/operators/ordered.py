@@ -86,16 +86,12 @@ def nest(
 ) -> DataFrame:
     """One row per key with an ordered array of structs, at most ``chunk`` elements per row.
 
-    The largest key is counted first. When it fits, ``part`` is 1 everywhere; otherwise larger keys
-    continue in rows with part 2, 3, ..., so no task or row holds an unbounded array and no element
-    is lost.
+    ``part`` follows from the position inside the key: a key with more elements continues in rows
+    with part 2, 3, ..., so no task or row holds an unbounded array and no element is lost. ``part``
+    belongs to the key of the result.
     """
-    most = df.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
-    if most > chunk:
-        numbered = positions(df, keys, order, "_position")
-        numbered = numbered.withColumn("part", F.ceil(F.col("_position") / F.lit(chunk)).cast("int"))
-    else:
-        numbered = df.withColumn("part", F.lit(1))
+    numbered = positions(df, keys, order, "_position")
+    numbered = numbered.withColumn("part", F.ceil(F.col("_position") / F.lit(chunk)).cast("int"))
     element = F.struct(F.struct(*order).alias("_order"), F.struct(*fields).alias("_value"))
     lists = numbered.groupBy(*keys, "part").agg(F.array_sort(F.collect_list(element)).alias("_all"))
     return lists.withColumn(out, F.transform("_all", lambda e: e["_value"])).drop("_all")

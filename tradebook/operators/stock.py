@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tradebook.functions.expressions import MONEY, initial_stock
+from tradebook.functions.expressions import MONEY, initial_stock, time_stamp
 from tradebook.operators.joins import product_group
 from tradebook.operators.ordered import nest, running_sum
 
@@ -71,9 +72,9 @@ def _walk(lines: DataFrame, groups: DataFrame, order: Sequence[str]) -> DataFram
 def stock_walk(
     transitions: DataFrame, items: DataFrame, products: DataFrame, bridge: DataFrame, groups: DataFrame
 ) -> DataFrame:
-    """Every deduction of a batch of confirmations, by (invoice date, invoice, request, item)."""
+    """Every deduction of a batch of confirmations, by (request, item)."""
     lines = confirmed_lines(transitions, items, products, bridge, groups)
-    return _walk(lines, groups, ["date", "invoice_id", "request_id", "item_id"])
+    return _walk(lines, groups, ["request_id", "item_id"])
 
 
 def _closing(lines: DataFrame, groups: DataFrame) -> DataFrame:
@@ -125,12 +126,16 @@ def stock_updates(walk: DataFrame, chunk: int = 10_000) -> DataFrame:
     return nest(walk, ["request_id", "invoice_id"], ["item_id"], fields, "updates", chunk)
 
 
-def stock_update_log(walk: DataFrame, chunk: int = 10_000) -> DataFrame:
-    """The activity details of each confirmation: invoice id and the JSON list of its updates."""
-    details = F.to_json(F.struct("invoice_id", "updates"))
+UPDATE_ACTION = "UPDATE_STOCK_ON_INVOICE_CONFIRMATION"
+
+
+def stock_update_log(walk: DataFrame, now: dt.datetime, chunk: int = 10_000) -> DataFrame:
+    """The activity details of each confirmation: invoice id, its updates, their part, the time."""
+    stamp = F.lit(time_stamp(now)).alias("timestamp")
+    details = F.to_json(F.struct("invoice_id", "updates", "part", stamp))
     return stock_updates(walk, chunk).select(
         "request_id", "invoice_id", "part",
-        F.lit("UPDATE_STOCK_ON_INVOICE_CONFIRMATION").alias("action"),
+        F.lit(UPDATE_ACTION).alias("action"),
         F.lit("product_groups").alias("entity_type"),
         F.size("updates").cast("long").alias("update_count"), details.alias("details"),
     )

@@ -14,7 +14,7 @@ from tradebook.operators.ordered import nest
 from tradebook.operators.search import (
     active_only, between_dates, newest_first, relabel, search_any, where_all,
 )
-from tradebook.plans.reports import list_logs
+from tradebook.plans.reports import list_logs, logs_found, named_logs
 
 Tables = Mapping[str, DataFrame]
 NAMES = {"name": "client_name", "legal_name": "client_legal_name"}
@@ -81,7 +81,7 @@ def export_products(
 def export_product_groups(t: Tables, chunk: int = 10_000) -> DataFrame:
     """Groups, newest first, with their product names in order, joined by '; '.
 
-    A group with more than ``chunk`` products goes on in further rows, so no cell is unbounded.
+    A group with more than ``chunk`` products goes on in rows with Part 2, 3, ..., so no cell is unbounded.
     """
     groups, bridge = t["product_groups"], t["product_group_items"]
     members = with_product(bridge.select(F.col("group_id").alias("id"), "product_id"), t["products"],
@@ -95,17 +95,21 @@ def export_product_groups(t: Tables, chunk: int = 10_000) -> DataFrame:
         "Group Name": "name", "Quantity Type": "quantity_type", "Original Quantity": "original_quantity",
         "Current Quantity": "current_quantity", "Shipment Date": "shipment_date",
         "Reservation Type": "reservation_type", "Reservation Amount": "reservation_amount",
-        "Products": F.coalesce("_list", F.lit("")), "Created At": "created_at",
+        "Part": F.coalesce("part", F.lit(1)), "Products": F.coalesce("_list", F.lit("")), "Created At": "created_at",
     })
 
 
 def export_logs(
     t: Tables, user_id: object | None = None, entity_type: str | None = None,
     action: str | None = None, start: dt.datetime | None = None, end: dt.datetime | None = None,
-    search: str | None = None, cap: int = 10_000,
+    search: str | None = None, cap: int | None = None,
 ) -> DataFrame:
-    """The newest ``cap`` log rows in printed form."""
-    rows = list_logs(t, user_id, entity_type, action, start, end, search, limit=cap, most=cap)
+    """Log rows in printed form, newest first: all that meet the filters, or the newest ``cap``."""
+    if cap is None:
+        found = logs_found(t, user_id, entity_type, action, start, end, search)
+        rows = named_logs(found, t["users"]).orderBy(*newest_first())
+    else:
+        rows = list_logs(t, user_id, entity_type, action, start, end, search, limit=cap, most=cap)
     return relabel(rows, {
         "Date": iso_utc("created_at"), "User": F.coalesce(F.nullif(F.col("username"), F.lit("")), F.lit("System")),
         "Action": "action", "Entity Type": "entity_type", "Entity ID": "entity_id",

@@ -1,20 +1,22 @@
-"""The activity log as a stream: deduplicated sink, daily counts, request rates."""
+"""The activity log as a stream: deduplicated sink, daily counts, request rates.
+
+Nothing depends on a watermark. A micro-batch stores its rows by day, and whatever counts days
+recounts the days the batch touched from the stored rows and overwrites them. So late rows count,
+every window is there when the stream stops, and a batch that is run again changes nothing.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime as dt
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
-from pyspark.sql.types import StructType
-
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import DateType, LongType, StructType
 
-
-def keep_state_on_disk(spark: SparkSession) -> None:
-    """Let stateful streams keep their state in RocksDB, so it is not bound by executor memory."""
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+DAY_SECONDS = 24 * 60 * 60
+UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 60 * 60, "day": DAY_SECONDS}
 
 
 def file_stream(
@@ -30,41 +32,20 @@ def file_stream(
     return reader.parquet(folder)
 
 
-def event_time(df: DataFrame, column: str = "created_at") -> DataFrame:
-    """Event time as an instant; a watermark does not take a time without zone."""
-    return df.withColumn(column, F.col(column).cast("timestamp_ltz"))
-
-
-def deduplicated(df: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """One row per log id. A stream remembers ids for the length of the watermark."""
-    if df.isStreaming:
-        return event_time(df).withWatermark("created_at", watermark).dropDuplicatesWithinWatermark(["id"])
-    return event_time(df).dropDuplicates(["id"])
-
-
 def activity_windows(
-    df: DataFrame, window: str = "1 day", watermark: str = "1 day",
-    keys: Sequence[str] = ("entity_type", "user_id"),
+    df: DataFrame, window: str = "1 day", keys: Sequence[str] = ("entity_type", "user_id")
 ) -> DataFrame:
-    """Counts of distinct log rows per window and key, for a batch or a stream.
-
-    As a stream in append mode a window comes out once the watermark has passed its end; rows older
-    than the watermark are dropped, so a batch recount is what counts.
-    """
-    counts = deduplicated(df, watermark).groupBy(F.window("created_at", window), *keys).agg(
+    """Counts of distinct log rows per window and key."""
+    counts = df.dropDuplicates(["id"]).groupBy(F.window("created_at", window), *keys).agg(
         F.count(F.lit(1)).alias("actions"))
     return _flat(counts, keys, "actions")
 
 
 def request_rate(
-    df: DataFrame, key: str = "ip_address", window: str = "15 minutes", limit: int = 100,
-    watermark: str = "1 day",
+    df: DataFrame, key: str = "ip_address", window: str = "15 minutes", limit: int = 100
 ) -> DataFrame:
-    """Keys with more than ``limit`` requests in a fixed window, for a batch or a stream."""
-    timed = event_time(df)
-    if df.isStreaming:
-        timed = timed.withWatermark("created_at", watermark)
-    counts = timed.groupBy(F.window("created_at", window), key).agg(F.count(F.lit(1)).alias("requests"))
+    """Keys with more than ``limit`` requests in a fixed window."""
+    counts = df.groupBy(F.window("created_at", window), key).agg(F.count(F.lit(1)).alias("requests"))
     return _flat(counts.filter(F.col("requests") > limit), [key], "requests")
 
 
@@ -74,15 +55,94 @@ def _flat(counts: DataFrame, keys: Sequence[str], measure: str) -> DataFrame:
         F.col("window.end").cast("timestamp_ntz").alias("window_end"), *keys, measure)
 
 
-def append_sink(df: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
-    """Exactly-once Parquet sink that works off what is there and stops."""
+def check_window(window: str) -> None:
+    """Windows recounted by day must not cross days."""
+    number, unit = window.split()
+    if DAY_SECONDS % (int(number) * UNIT_SECONDS[unit.rstrip("s")]):
+        raise ValueError(f"a window of {window} does not divide a day")
+
+
+def _of_days(days: Sequence[dt.date | None]) -> Column:
+    known = F.col("day").isin([d for d in days if d is not None])
+    return known | F.col("day").isNull() if None in days else known
+
+
+def stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The stored rows of a stream with the columns ``schema``, plus their day and batch."""
+    full = StructType([*schema.fields]).add("day", DateType()).add("batch", LongType())
+    return spark.read.schema(full).parquet(path)
+
+
+def _overwrite(rows: DataFrame, path: str, *parts: str) -> None:
+    """Replace only the partitions that ``rows`` has."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+
+
+def store_batch(batch: DataFrame, version: int, path: str, distinct: bool = True) -> list[dt.date | None]:
+    """Store a micro-batch under ``path``, a folder per day and batch; returns its days.
+
+    ``distinct`` leaves out rows whose id is there already; equal ids have equal times, so only the batch's
+    own days are looked at. A batch replaces what an earlier try of itself wrote.
+    """
+    rows = batch.withColumn("day", F.to_date("created_at"))
+    days = [r["day"] for r in rows.select("day").distinct().collect()]
+    if distinct:
+        rows = rows.dropDuplicates(["id"])
+        if version > 0:
+            before = stored(batch.sparkSession, path, batch.schema).filter(_of_days(days) & (F.col("batch") < version))
+            rows = rows.join(before.select("id"), "id", "left_anti").select(*rows.columns)
+    _overwrite(rows.withColumn("batch", F.lit(version).cast("long")), path, "day", "batch")
+    return days
+
+
+def recount(
+    spark: SparkSession, path: str, schema: StructType, days: Sequence[dt.date | None],
+    count: Callable[[DataFrame], DataFrame], out: str,
+) -> None:
+    """Count the stored rows of ``days`` again and replace these days under ``out``."""
+    rows = stored(spark, path, schema).filter(_of_days(days))
+    _overwrite(count(rows).withColumn("day", F.to_date("window_start")), out, "day")
+
+
+def _each_batch(df: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None]) -> StreamingQuery:
+    """Work off what is there, batch by batch, and stop."""
     return (
-        df.writeStream.format("parquet").outputMode("append").option("path", path)
-        .option("checkpointLocation", checkpoint).trigger(availableNow=True)
+        df.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True).start()
     )
 
 
-def activity_stream(df: DataFrame, path: str, checkpoint: str, watermark: str = "1 day") -> StreamingQuery:
-    """Write the deduplicated log to ``path``, one folder per day."""
-    rows = deduplicated(df, watermark).withColumn("day", F.to_date("created_at"))
-    return append_sink(rows, path, checkpoint).partitionBy("day").start()
+def activity_stream(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Write the log to ``path`` by day, each id once, however late it comes."""
+    def work(batch: DataFrame, version: int) -> None:
+        store_batch(batch, version, path)
+
+    return _each_batch(df, checkpoint, work)
+
+
+def windows_stream(
+    df: DataFrame, path: str, out: str, checkpoint: str, window: str = "1 day",
+    keys: Sequence[str] = ("entity_type", "user_id"),
+) -> StreamingQuery:
+    """Keep ``activity_windows`` under ``out`` up to date; the log itself is stored under ``path``."""
+    check_window(window)
+
+    def work(batch: DataFrame, version: int) -> None:
+        days = store_batch(batch, version, path)
+        recount(batch.sparkSession, path, batch.schema, days, lambda rows: activity_windows(rows, window, keys), out)
+
+    return _each_batch(df, checkpoint, work)
+
+
+def rate_stream(
+    df: DataFrame, path: str, out: str, checkpoint: str, key: str = "ip_address",
+    window: str = "15 minutes", limit: int = 100,
+) -> StreamingQuery:
+    """Keep ``request_rate`` under ``out`` up to date; every row counts, repeated ones too."""
+    check_window(window)
+
+    def work(batch: DataFrame, version: int) -> None:
+        days = store_batch(batch, version, path, distinct=False)
+        recount(batch.sparkSession, path, batch.schema, days, lambda rows: request_rate(rows, key, window, limit), out)
+
+    return _each_batch(df, checkpoint, work)
