@@ -53,10 +53,17 @@ def bad_ids(parts: list[str]) -> str:
 
 # --- invoices and deliveries
 
-def verdict_sql(requests: str, table: str, parts: list[str]) -> str:
+FAR_QUANTITY = "try_cast(quantity AS int) IS NULL"
+FAR_LINE = f"""{FAR_QUANTITY} OR try_cast(unit_price AS decimal(10,2)) IS NULL
+    OR try_cast(quantity AS int) * try_cast(unit_price AS double) > 9999999999.99"""
+
+
+def verdict_sql(requests: str, table: str, parts: list[str], far: str) -> str:
+    """Verdicts on documents; ``far`` says which lines no column can take."""
     return f"""bad AS ({bad_ids(parts)}),
       judged AS (
-        SELECT r.*, CASE WHEN request_id IN (SELECT request_id FROM bad) THEN 'invalid' WHEN number IN (SELECT number FROM {table}) THEN 'duplicate_number'
+        SELECT r.*, CASE WHEN request_id IN (SELECT request_id FROM bad) THEN 'invalid'
+               WHEN request_id IN (SELECT request_id FROM invoice_request_lines WHERE {far}) THEN 'out_of_range' WHEN number IN (SELECT number FROM {table}) THEN 'duplicate_number'
                WHEN client_id NOT IN (SELECT id FROM clients) THEN 'unknown_client'
                WHEN request_id IN (SELECT request_id FROM invoice_request_lines WHERE product_id NOT IN (SELECT id FROM products)) THEN 'unknown_product' END AS reason0
         FROM {requests} r),
@@ -66,10 +73,10 @@ def verdict_sql(requests: str, table: str, parts: list[str]) -> str:
       good AS (SELECT * FROM verdict WHERE reason IS NULL)"""
 
 
-_INVOICE_VERDICT = verdict_sql("invoice_requests", "invoices", INVOICES_SQL)
+_INVOICE_VERDICT = verdict_sql("invoice_requests", "invoices", INVOICES_SQL, FAR_LINE)
 _NEW_INVOICES = f"""{_INVOICE_VERDICT},
-  sums AS (SELECT request_id, sum(cast(cast(unit_price AS decimal(10,2)) * 100 AS bigint) * cast(quantity AS int)) AS cents, count(*) AS item_count
-           FROM invoice_request_lines GROUP BY request_id),
+  sums AS (SELECT request_id, sum(cast(try_cast(unit_price AS decimal(10,2)) * 100 AS bigint) * try_cast(quantity AS int)) AS cents, count(*) AS item_count
+           FROM invoice_request_lines WHERE request_id IN (SELECT request_id FROM good) GROUP BY request_id),
   fresh AS (SELECT g.*, s.item_count, cast(cast(s.cents AS decimal(18,0)) / 100 AS decimal(12,2)) AS subtotal,
                    cast(cast((s.cents * cast(vat_rate AS bigint) + 50) // 100 AS decimal(18,0)) / 100 AS decimal(12,2)) AS vat_amount,
                    cast(cast((s.cents * (100 + cast(vat_rate AS bigint)) + 50) // 100 AS decimal(18,0)) / 100 AS decimal(12,2)) AS total
@@ -91,8 +98,8 @@ change("create_invoices", _create_invoices, {
               f"""WITH {_INVOICE_VERDICT}
         SELECT id, invoice_id, product_id, quantity, unit_price, total_price, created_at FROM invoice_items
         UNION ALL
-        SELECT l.request_id || ':' || l.line_no, l.request_id + {BIG}, l.product_id, cast(l.quantity AS int), cast(l.unit_price AS decimal(10,2)),
-               cast(cast(l.unit_price AS decimal(10,2)) * cast(l.quantity AS int) AS decimal(12,2)), {NOW_SQL}
+        SELECT l.request_id || ':' || l.line_no, l.request_id + {BIG}, l.product_id, try_cast(l.quantity AS int), try_cast(l.unit_price AS decimal(10,2)),
+               try_cast(try_cast(l.unit_price AS decimal(10,2)) * try_cast(l.quantity AS int) AS decimal(12,2)), {NOW_SQL}
         FROM invoice_request_lines l JOIN good g ON g.request_id = l.request_id"""),
     "rejected": (refused, f"WITH {_INVOICE_VERDICT} SELECT request_id, reason FROM verdict WHERE reason IS NOT NULL"),
     "activity": (logged, f"""WITH {_NEW_INVOICES}
@@ -101,7 +108,7 @@ change("create_invoices", _create_invoices, {
                {NOW_SQL} AS created_at FROM fresh"""),
 })
 
-_DELIVERY_VERDICT = verdict_sql("delivery_requests", "deliveries", DELIVERIES_SQL)
+_DELIVERY_VERDICT = verdict_sql("delivery_requests", "deliveries", DELIVERIES_SQL, FAR_QUANTITY)
 
 
 def _create_deliveries(d):
@@ -116,7 +123,7 @@ change("create_deliveries", _create_deliveries, {
     "items": (state("delivery_items", "id", "delivery_id", "product_id", "quantity", "unit"), f"""WITH {_DELIVERY_VERDICT}
         SELECT id, delivery_id, product_id, quantity, unit FROM delivery_items
         UNION ALL
-        SELECT l.request_id || ':' || l.line_no, l.request_id + {BIG}, l.product_id, cast(l.quantity AS int), coalesce(l.unit, 'ком')
+        SELECT l.request_id || ':' || l.line_no, l.request_id + {BIG}, l.product_id, try_cast(l.quantity AS int), coalesce(l.unit, 'ком')
         FROM invoice_request_lines l JOIN good g ON g.request_id = l.request_id"""),
     "rejected": (refused, f"WITH {_DELIVERY_VERDICT} SELECT request_id, reason FROM verdict WHERE reason IS NOT NULL"),
 })
@@ -186,16 +193,17 @@ for _table, _run, _items, _key in (
 # --- clients
 
 _EMAIL = "lower(trim(email))"
+FAR_CLIENT = "installment_term IS NOT NULL AND try_cast(installment_term AS int) IS NULL"
 
 
-def two_keys_sql(requests: str, bad: str, a: str, b: str, base: str) -> str:
+def two_keys_sql(requests: str, bad: str, a: str, b: str, base: str, far: str = "false") -> str:
     """Taking requests one by one on two keys, unrolled to the two rounds this data needs.
 
     Round one passes leaders on both keys; those they beat leave; round two passes the leaders among
     the rest.
     """
     return f"""bad AS ({bad}),
-      judged AS (SELECT r.*, CASE WHEN request_id IN (SELECT request_id FROM bad) THEN 'invalid'
+      judged AS (SELECT r.*, CASE WHEN request_id IN (SELECT request_id FROM bad) THEN 'invalid' WHEN {far} THEN 'out_of_range'
                    WHEN {a} IN (SELECT {a} FROM {base}) OR coalesce({b} IN (SELECT {b} FROM {base} WHERE {b} IS NOT NULL), false) THEN 'duplicate' END AS reason0 FROM {requests} r),
       open1 AS (SELECT *, row_number() OVER (PARTITION BY {a} ORDER BY request_id) AS ra,
                   CASE WHEN {b} IS NULL THEN 1 ELSE row_number() OVER (PARTITION BY {b} ORDER BY request_id) END AS rb FROM judged WHERE reason0 IS NULL),
@@ -208,12 +216,12 @@ def two_keys_sql(requests: str, bad: str, a: str, b: str, base: str) -> str:
       good AS (SELECT * FROM verdict WHERE reason IS NULL)"""
 
 
-_CLIENT_VERDICT = two_keys_sql("client_requests", bad_ids(CLIENTS_SQL), "mb", "pib", "clients")
+_CLIENT_VERDICT = two_keys_sql("client_requests", bad_ids(CLIENTS_SQL), "mb", "pib", "clients", FAR_CLIENT)
 change("create_clients", lambda d: registers.create_clients(d, d.client_requests, NOW, ids), {
     "": (state("clients", "id", "name", "mb", "pib", "email", "installment_payment", "installment_term", "showcase", "created_at"), f"""WITH {_CLIENT_VERDICT}
         SELECT id, name, mb, pib, email, installment_payment, installment_term, showcase, cast(NULL AS timestamp) AS created_at FROM clients
         UNION ALL
-        SELECT request_id + {BIG}, trim(name), mb, pib, {_EMAIL}, false, cast(installment_term AS int), false, {NOW_SQL} FROM good"""),
+        SELECT request_id + {BIG}, trim(name), mb, pib, {_EMAIL}, false, try_cast(installment_term AS int), false, {NOW_SQL} FROM good"""),
     "rejected": (refused, f"WITH {_CLIENT_VERDICT} SELECT request_id, reason FROM verdict WHERE reason IS NOT NULL"),
     "activity": (logged, f"""WITH {_CLIENT_VERDICT} SELECT request_id, 'Created client: ' || trim(name) AS action, 'client' AS entity_type,
         cast(request_id + {BIG} AS varchar) AS entity_id, '{{{STAMP}}}' AS details, {NOW_SQL} AS created_at FROM good"""),
@@ -227,7 +235,7 @@ def _client_updates(d):
 _UPDATES = "updates AS (SELECT *, CASE WHEN request_id % 47 = 0 THEN -1 ELSE request_id END AS id FROM client_requests)"
 # Own keys do not collide, so the base holds only keys of other clients: judged row by row.
 _UPDATE_VERDICT = f"""{_UPDATES}, bad AS ({bad_ids(CLIENTS_SQL)}),
-  judged AS (SELECT u.*, CASE WHEN request_id IN (SELECT request_id FROM bad) THEN 'invalid'
+  judged AS (SELECT u.*, CASE WHEN request_id IN (SELECT request_id FROM bad) THEN 'invalid' WHEN {FAR_CLIENT} THEN 'out_of_range'
       WHEN EXISTS (SELECT 1 FROM clients c WHERE c.mb = u.mb AND c.id <> u.id) OR EXISTS (SELECT 1 FROM clients c WHERE c.pib = u.pib AND c.id <> u.id) THEN 'duplicate'
       WHEN u.id NOT IN (SELECT id FROM clients) THEN 'not_found' END AS reason0 FROM updates u),
   open1 AS (SELECT *, row_number() OVER (PARTITION BY mb ORDER BY request_id) AS ra, row_number() OVER (PARTITION BY pib ORDER BY request_id) AS rb FROM judged WHERE reason0 IS NULL),
@@ -241,7 +249,7 @@ change("update_clients", lambda d: registers.update_clients(d, _client_updates(d
         SELECT c.id, CASE WHEN g.id IS NULL THEN c.name ELSE trim(g.name) END AS name, coalesce(g.mb, c.mb) AS mb, coalesce(g.pib, c.pib) AS pib,
                CASE WHEN g.id IS NULL THEN c.city END AS city, CASE WHEN g.id IS NULL THEN c.email ELSE lower(g.email) END AS email,
                CASE WHEN g.id IS NULL THEN c.installment_payment ELSE false END AS installment_payment,
-               CASE WHEN g.id IS NULL THEN c.installment_term ELSE cast(g.installment_term AS int) END AS installment_term,
+               CASE WHEN g.id IS NULL THEN c.installment_term ELSE try_cast(g.installment_term AS int) END AS installment_term,
                CASE WHEN g.id IS NOT NULL THEN {NOW_SQL} END AS updated_at
         FROM clients c LEFT JOIN (SELECT * FROM verdict WHERE reason IS NULL) g ON g.id = c.id"""),
     "rejected": (refused, f"WITH {_UPDATE_VERDICT} SELECT request_id, reason FROM verdict WHERE reason IS NOT NULL"),
@@ -269,13 +277,14 @@ change("delete_clients", _with_prospects, {
 
 # --- products
 
+FAR_PRODUCT = "try_cast(price AS decimal(10,2)) IS NULL OR weight IS NOT NULL AND try_cast(weight AS decimal(8,2)) IS NULL"
 _PRODUCT_VERDICT = f"""bad AS ({bad_ids(PRODUCTS_SQL)}),
-  judged AS (SELECT r.*, CASE WHEN request_id IN (SELECT request_id FROM bad) THEN 'invalid' WHEN code IN (SELECT code FROM products) THEN 'duplicate_code' END AS reason0 FROM product_requests r),
+  judged AS (SELECT r.*, CASE WHEN request_id IN (SELECT request_id FROM bad) THEN 'invalid' WHEN {FAR_PRODUCT} THEN 'out_of_range' WHEN code IN (SELECT code FROM products) THEN 'duplicate_code' END AS reason0 FROM product_requests r),
   verdict AS (SELECT *, CASE WHEN reason0 IS NOT NULL THEN reason0
       WHEN row_number() OVER (PARTITION BY code, reason0 IS NULL ORDER BY request_id) > 1 THEN 'duplicate_code' END AS reason FROM judged),
   good AS (SELECT * FROM verdict WHERE reason IS NULL)"""
 _ALL_PRODUCTS = f"""everything AS (SELECT id, code, name, price, weight, category, is_active, cast(NULL AS timestamp) AS updated_at FROM products
-    UNION ALL SELECT request_id + {BIG}, code, name, cast(price AS decimal(10,2)), cast(coalesce(cast(weight AS decimal(8,2)), 0) AS decimal(8,2)), NULL, true, {NOW_SQL} FROM good)"""
+    UNION ALL SELECT request_id + {BIG}, code, name, try_cast(price AS decimal(10,2)), cast(coalesce(try_cast(weight AS decimal(8,2)), 0) AS decimal(8,2)), NULL, true, {NOW_SQL} FROM good)"""
 
 
 def _create_products(d):
@@ -297,14 +306,14 @@ def _product_updates(d):
 
 _PRODUCT_UPDATES = f"""updates AS (SELECT *, CASE WHEN request_id % 7 = 0 THEN request_id + 1 WHEN request_id % 41 = 0 THEN -1 ELSE request_id END AS id FROM product_requests),
   bad AS ({bad_ids(PRODUCTS_SQL)}),
-  judged AS (SELECT u.*, CASE WHEN request_id IN (SELECT request_id FROM bad) THEN 'invalid'
+  judged AS (SELECT u.*, CASE WHEN request_id IN (SELECT request_id FROM bad) THEN 'invalid' WHEN {FAR_PRODUCT} THEN 'out_of_range'
       WHEN EXISTS (SELECT 1 FROM products p WHERE p.code = u.code AND p.id <> u.id) THEN 'duplicate_code' WHEN u.id NOT IN (SELECT id FROM products) THEN 'not_found' END AS reason0 FROM updates u),
   single AS (SELECT *, CASE WHEN reason0 IS NOT NULL THEN reason0 WHEN row_number() OVER (PARTITION BY id, reason0 IS NULL ORDER BY request_id) > 1 THEN 'repeated' END AS reason1 FROM judged),
   verdict AS (SELECT *, CASE WHEN reason1 IS NOT NULL THEN reason1 WHEN row_number() OVER (PARTITION BY code, reason1 IS NULL ORDER BY request_id) > 1 THEN 'duplicate_code' END AS reason FROM single)"""
 change("update_products", lambda d: registers.update_products(d, _product_updates(d), NOW), {
     "": (state("products", *_PRODUCT), f"""WITH {_PRODUCT_UPDATES}
-        SELECT p.id, coalesce(g.code, p.code) AS code, coalesce(g.name, p.name) AS name, coalesce(cast(g.price AS decimal(10,2)), p.price) AS price,
-               coalesce(cast(g.weight AS decimal(8,2)), p.weight) AS weight, CASE WHEN g.id IS NULL THEN p.category END AS category,
+        SELECT p.id, coalesce(g.code, p.code) AS code, coalesce(g.name, p.name) AS name, coalesce(try_cast(g.price AS decimal(10,2)), p.price) AS price,
+               coalesce(try_cast(g.weight AS decimal(8,2)), p.weight) AS weight, CASE WHEN g.id IS NULL THEN p.category END AS category,
                CASE WHEN g.id IS NULL THEN p.is_active ELSE true END AS is_active, CASE WHEN g.id IS NOT NULL THEN {NOW_SQL} END AS updated_at
         FROM products p LEFT JOIN (SELECT * FROM verdict WHERE reason IS NULL) g ON g.id = p.id"""),
     "rejected": (refused, f"WITH {_PRODUCT_UPDATES} SELECT request_id, reason FROM verdict WHERE reason IS NOT NULL"),
@@ -338,15 +347,17 @@ change("activate_products", lambda d: registers.activate_products(d, d.group_pro
 
 # --- groups
 
+FAR_GROUP = "try_cast(original_quantity AS decimal(12,2)) IS NULL"
 change("create_groups", lambda d: registers.create_groups(d, d.group_requests, NOW, ids), {
     "": (state("product_groups", "id", "name", "quantity_type", "original_quantity", "current_quantity", "shipment_date", "reservation_amount"), f"""WITH bad AS ({bad_ids(GROUPS_SQL)})
         SELECT id, name, quantity_type, original_quantity, current_quantity, shipment_date, reservation_amount FROM product_groups
         UNION ALL
-        SELECT cast(request_id + 1000 AS int), trim(name), quantity_type, cast(original_quantity AS decimal(12,2)),
-               cast(greatest(0, cast(original_quantity AS decimal(12,2)) * 0.95 - coalesce(cast(reservation_amount AS decimal(12,2)), 0)) AS decimal(12,2)),
+        SELECT cast(request_id + 1000 AS int), trim(name), quantity_type, try_cast(original_quantity AS decimal(12,2)),
+               cast(greatest(0, try_cast(original_quantity AS decimal(12,2)) * 0.95 - coalesce(cast(reservation_amount AS decimal(12,2)), 0)) AS decimal(12,2)),
                cast(shipment_date AS date), coalesce(cast(reservation_amount AS decimal(12,2)), 0)
-        FROM group_requests WHERE request_id NOT IN (SELECT request_id FROM bad)"""),
-    "rejected": (refused, f"SELECT request_id, 'invalid' AS reason FROM ({bad_ids(GROUPS_SQL)}) b"),
+        FROM group_requests WHERE request_id NOT IN (SELECT request_id FROM bad) AND NOT ({FAR_GROUP})"""),
+    "rejected": (refused, f"""WITH bad AS ({bad_ids(GROUPS_SQL)}) SELECT request_id, 'invalid' AS reason FROM bad
+        UNION ALL SELECT request_id, 'out_of_range' FROM group_requests WHERE request_id NOT IN (SELECT request_id FROM bad) AND {FAR_GROUP}"""),
 })
 
 
@@ -359,13 +370,13 @@ def _group_patches(d):
 
 _GROUP_PATCHES = """patches AS (SELECT request_id, cast(request_id % 29 AS int) AS id, CASE WHEN request_id % 3 = 0 THEN original_quantity END AS original_quantity,
       CASE WHEN request_id % 5 = 0 THEN trim(name) END AS name FROM group_requests),
-  verdict AS (SELECT *, CASE WHEN coalesce(try_cast(original_quantity AS double) < 0.01, false) OR coalesce(name = '', false) THEN 'invalid'
+  verdict AS (SELECT *, CASE WHEN coalesce(try_cast(original_quantity AS double) < 0.01, false) OR coalesce(name = '', false) THEN 'invalid' WHEN original_quantity IS NOT NULL AND try_cast(original_quantity AS decimal(12,2)) IS NULL THEN 'out_of_range'
       WHEN original_quantity IS NULL AND name IS NULL THEN 'no_fields' WHEN id NOT IN (SELECT id FROM product_groups) THEN 'not_found' END AS reason FROM patches),
   last AS (SELECT id, max_by(original_quantity, request_id) FILTER (WHERE original_quantity IS NOT NULL) AS q, max_by(name, request_id) FILTER (WHERE name IS NOT NULL) AS n
       FROM verdict WHERE reason IS NULL GROUP BY id)"""
 change("patch_groups", lambda d: registers.patch_groups(d, _group_patches(d), NOW), {
     "": (state("product_groups", "id", "name", "original_quantity", "current_quantity", "updated_at"), f"""WITH {_GROUP_PATCHES}
-        SELECT g.id, coalesce(l.n, g.name) AS name, coalesce(cast(l.q AS decimal(12,2)), g.original_quantity) AS original_quantity, g.current_quantity,
+        SELECT g.id, coalesce(l.n, g.name) AS name, coalesce(try_cast(l.q AS decimal(12,2)), g.original_quantity) AS original_quantity, g.current_quantity,
                CASE WHEN l.id IS NOT NULL THEN {NOW_SQL} END AS updated_at FROM product_groups g LEFT JOIN last l ON l.id = g.id"""),
     "rejected": (refused, f"WITH {_GROUP_PATCHES} SELECT request_id, reason FROM verdict WHERE reason IS NOT NULL"),
 })

@@ -106,7 +106,7 @@ USERS_SQL = [
 CLIENTS_SQL = [
     *[sized("clients", "client_requests", c, 1, n) for c, n in (("name", 255), ("legal_name", 255), ("mb", 20), ("pib", 20))],
     formed("clients", "client_requests", "email", f"email IS NOT NULL AND NOT {_MAIL}"),
-    formed("clients", "client_requests", "installment_term", "installment_term IS NOT NULL AND coalesce(try_cast(installment_term AS int), 0) < 1"),
+    formed("clients", "client_requests", "installment_term", "installment_term IS NOT NULL AND coalesce(try_cast(installment_term AS hugeint), 0) < 1"),
     formed("clients", "client_requests", "google_maps_link", "NOT regexp_matches(google_maps_link, '^(https?|ftp)://')"),
 ]
 PRODUCTS_SQL = [
@@ -123,7 +123,7 @@ def _document_sql(table: str, source: str, lines: list[str]) -> list[str]:
         formed(table, source, "date", "try_cast(date AS date) IS NULL"),
         formed(table, source, "due_date", "try_cast(due_date AS date) IS NULL"),
         broken(table, "items_required", f"{source} r", "NOT EXISTS (SELECT 1 FROM invoice_request_lines l WHERE l.request_id = r.request_id)", "NULL", "r.request_id"),
-        broken(table, "items_quantity_form", "invoice_request_lines", "coalesce(try_cast(quantity AS int), 0) < 1", "quantity", "request_id || ':' || line_no"),
+        broken(table, "items_quantity_form", "invoice_request_lines", "coalesce(try_cast(quantity AS hugeint), 0) < 1", "quantity", "request_id || ':' || line_no"),
         *lines,
     ]
 

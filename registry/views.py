@@ -139,7 +139,7 @@ SELECT c_custkey AS request_id,
        'Main street 1' AS address,
        CASE WHEN c_custkey % 11 = 0 THEN 'not-an-email' WHEN c_custkey % 7 = 0 THEN NULL
             ELSE concat('N', cast(c_custkey AS string), '@Example.COM') END AS email,
-       CASE WHEN c_custkey % 29 = 0 THEN '0' WHEN c_custkey % 31 = 0 THEN 'x' WHEN c_custkey % 2 = 0 THEN '30' END AS installment_term,
+       CASE WHEN c_custkey % 29 = 0 THEN '0' WHEN c_custkey % 31 = 0 THEN 'x' WHEN c_custkey % 41 = 0 THEN '3000000000' WHEN c_custkey % 2 = 0 THEN '30' END AS installment_term,
        CASE WHEN c_custkey % 37 = 0 THEN 'htp:/bad' ELSE 'https://maps.example.com/x' END AS google_maps_link
 FROM customer
 """
@@ -149,9 +149,9 @@ SELECT p_partkey AS request_id,
        CASE WHEN p_partkey % 13 = 0 THEN concat('P', lpad(cast(p_partkey AS string), 8, '0')) WHEN p_partkey % 19 = 0 THEN 'DUP'
             ELSE concat('X', lpad(cast(p_partkey AS string), 8, '0')) END AS code,
        CASE WHEN p_partkey % 17 = 0 THEN '' ELSE p_name END AS name,
-       CASE WHEN p_partkey % 11 = 0 THEN '-1' WHEN p_partkey % 23 = 0 THEN 'abc'
+       CASE WHEN p_partkey % 11 = 0 THEN '-1' WHEN p_partkey % 23 = 0 THEN 'abc' WHEN p_partkey % 31 = 0 THEN '12345678901'
             ELSE cast(cast(p_retailprice AS decimal(10,2)) AS string) END AS price,
-       CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE cast(p_size AS string) END AS weight,
+       CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 37 = 0 THEN '1e9' ELSE cast(p_size AS string) END AS weight,
        CASE WHEN p_partkey % 29 = 0 THEN 'maybe' ELSE 'true' END AS is_active
 FROM part
 """
@@ -170,8 +170,9 @@ FROM orders
 VIEWS["invoice_request_lines"] = """
 SELECT invoice_id AS request_id, id AS line_no,
        CASE WHEN (product_id + invoice_id) % 47 = 0 THEN -1 ELSE product_id END AS product_id,
-       CASE WHEN (product_id + invoice_id) % 31 = 0 THEN '0' ELSE cast(quantity AS string) END AS quantity,
-       CASE WHEN (product_id + invoice_id) % 37 = 0 THEN '-5' ELSE cast(unit_price AS string) END AS unit_price,
+       CASE WHEN (product_id + invoice_id) % 31 = 0 THEN '0' WHEN (product_id + invoice_id) % 101 = 0 THEN '99999999999'
+            WHEN (product_id + invoice_id) % 103 = 0 THEN '2000000000' ELSE cast(quantity AS string) END AS quantity,
+       CASE WHEN (product_id + invoice_id) % 37 = 0 THEN '-5' WHEN (product_id + invoice_id) % 107 = 0 THEN '1e30' ELSE cast(unit_price AS string) END AS unit_price,
        CASE WHEN product_id % 2 = 0 THEN NULL ELSE 'kg' END AS unit
 FROM invoice_items
 """
@@ -196,7 +197,7 @@ FROM orders WHERE o_orderpriority = '1-URGENT'
 VIEWS["group_requests"] = """
 SELECT p_partkey AS request_id, CASE WHEN p_partkey % 13 = 0 THEN '' ELSE concat('Group ', p_name) END AS name,
        CASE WHEN p_partkey % 7 = 0 THEN 'boxes' WHEN p_partkey % 2 = 0 THEN 'weight' ELSE 'units' END AS quantity_type,
-       CASE WHEN p_partkey % 11 = 0 THEN '0' ELSE cast(cast(p_retailprice AS decimal(10,2)) AS string) END AS original_quantity,
+       CASE WHEN p_partkey % 11 = 0 THEN '0' WHEN p_partkey % 37 = 0 THEN '1e30' ELSE cast(cast(p_retailprice AS decimal(10,2)) AS string) END AS original_quantity,
        CASE WHEN p_partkey % 17 = 0 THEN '2024-02-30' ELSE '2024-02-29' END AS shipment_date,
        'weight' AS reservation_type,
        CASE WHEN p_partkey % 19 = 0 THEN '-3' WHEN p_partkey % 3 = 0 THEN cast(p_size * 40 AS string) END AS reservation_amount

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.small import NOW, frame, rows, seed
-from tradebook.operators import changes, documents, registers
+from tradebook.operators import changes, documents, registers, stock
 from tradebook.operators.search import by_ids
 
 
@@ -287,3 +287,65 @@ def test_one_number_owning_a_third_of_a_batch(spark, t):
     assert made.rows["invoices"].count() == 401 and made.rejected.count() == 199
     assert rows(made.rows["invoices"].filter("number = 'HOT'"), "total") == [(Decimal("1.20"),)]
     assert "r0000" not in reasons(made)
+
+
+def test_values_no_column_takes_are_refused_alone(spark, t):
+    heads = requests(
+        spark, "number string, date string, due_date string, client_id string, vat_rate string",
+        *[(f"r{i}", f"N{i}", "2024-01-01", "2024-01-31", "c1", "20") for i in range(6)])
+    lines = spark.createDataFrame(
+        [("r0", "1", "p1", "2", "10.00"), ("r1", "1", "p1", "99999999999", "1"), ("r2", "1", "p1", "1", "1e30"),
+         ("r3", "1", "p1", "2000000000", "99999"), *[("r4", str(i), "p1", "90000", "99999.99") for i in range(3)],
+         ("r5", "1", "p1", "1", "12345678901")],
+        "request_id string, line_no string, product_id string, quantity string, unit_price string")
+    made = documents.create_invoices(t, heads, lines, NOW)
+    assert reasons(made) == {f"r{i}": "out_of_range" for i in range(1, 6)}
+    assert rows(made.rows["invoices"], "number", "total") == [("N0", Decimal("24.00"))]
+    carried = documents.create_deliveries(
+        t, heads.drop("vat_rate"), lines.drop("unit_price").withColumn("unit", F.lit("kg")), NOW)
+    assert reasons(carried) == {"r1": "out_of_range"}
+
+
+@pytest.mark.parametrize("field, value", [("price", "1e30"), ("price", "12345678901"), ("weight", "1000000")])
+def test_products_out_of_range(spark, t, field, value):
+    given = {"code": "NEW", "name": "n", "price": "1", "weight": "1", field: value}
+    asked = spark.createDataFrame([("r1", *given.values())], "request_id string, " + ", ".join(f"{c} string" for c in given))
+    assert reasons(registers.create_products(t, asked, NOW)) == {"r1": "out_of_range"}
+
+
+def test_group_quantities_out_of_range(spark, t):
+    asked = requests(spark, "id string, original_quantity string", ("r1", "g1", "1e30"), ("r2", "g1", "5"))
+    made = registers.patch_groups(t, asked, NOW)
+    assert reasons(made) == {"r1": "out_of_range"}
+
+
+def test_client_terms_out_of_range(spark, t):
+    fields = {"name": "n", "legal_name": "l", "mb": "MB", "pib": "PIB", "address": "a", "installment_term": "3000000000"}
+    asked = spark.createDataFrame([("r1", *fields.values())], "request_id string, " + ", ".join(f"{c} string" for c in fields))
+    assert reasons(registers.create_clients(t, asked, NOW)) == {"r1": "out_of_range"}
+
+
+def test_log_ids_differ(spark, billed):
+    asked = requests(spark, "id string, status string", ("r1", "v1", "confirmed"), ("r2", "v3", "confirmed"))
+    made = documents.set_invoice_status(billed, asked, NOW)
+    log = changes.append_activity(frame(spark, "activity_logs", []), made.activity)
+    assert log.count() == 4 and log.select("id").distinct().count() == 4
+    assert all('"timestamp":' in r["details"] for r in log.collect())
+
+
+def test_several_parts_are_several_log_rows(spark, billed):
+    moves = spark.createDataFrame([("r1", "v1", dt.date(2024, 1, 1))], "request_id string, invoice_id string, date date")
+    lines = frame(spark, "invoice_items", [
+        {"id": f"v1-{n}", "invoice_id": "v1", "product_id": "p1", "quantity": 1} for n in range(5)])
+    walk = stock.stock_walk(moves, lines, billed["products"], billed["product_group_items"], billed["product_groups"])
+    parts = stock.stock_update_log(walk, NOW, chunk=2).collect()
+    assert sorted(r["part"] for r in parts) == [1, 2, 3] and len({r["details"] for r in parts}) == 3
+    assert sum(r["update_count"] for r in parts) == 5
+
+
+def test_requests_take_stock_in_their_order(spark, billed):
+    moves = spark.createDataFrame(
+        [("r1", "v3", dt.date(2024, 1, 3)), ("r2", "v1", dt.date(2023, 1, 1))], "request_id string, invoice_id string, date date")
+    walk = stock.stock_walk(moves, billed["invoice_items"], billed["products"], billed["product_group_items"], billed["product_groups"])
+    first = {r["request_id"]: r["old_stock"] for r in walk.collect()}
+    assert first["r1"] > first["r2"]

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import functools
+import operator
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
@@ -75,6 +76,12 @@ def invalid(violations: DataFrame) -> DataFrame:
     return violations.select("request_id").distinct()
 
 
+def out_of_range(requests: DataFrame, kinds: Mapping[str, str]) -> DataFrame:
+    """Ids of requests with a value that its column's type can't take; absent columns don't count."""
+    bad = [F.col(c).isNotNull() & F.col(c).try_cast(kind).isNull() for c, kind in kinds.items() if c in requests.columns]
+    return requests.filter(functools.reduce(operator.or_, bad, F.lit(False))).select("request_id")
+
+
 def not_in(requests: DataFrame, base: DataFrame, column: str = "id", key: str = "id") -> DataFrame:
     """Ids of requests whose ``column`` names no row of ``base``."""
     known = base.select(F.col(key).alias(column))

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
+import operator
 from dataclasses import replace
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradebook.functions.expressions import MONEY, trimmed
@@ -21,6 +23,7 @@ from tradebook.operators.stock import UPDATE_ACTION, balance_after, stock_update
 from tradebook.session import pinned
 
 EXACT = "decimal(24,6)"
+PRICE = "decimal(10,2)"
 
 
 def _known(frame: DataFrame, column: str, alias: str, mark: str) -> DataFrame:
@@ -32,20 +35,32 @@ def _line_facts(lines: DataFrame, products: DataFrame, priced: bool) -> DataFram
     """What the verdict needs to know of the lines of each request, in one pass over them."""
     rules = invoice_line_rules() if priced else delivery_line_rules()
     full = with_fields(lines, rules)
-    exact = (F.col("quantity").try_cast("int") * F.col("unit_price").try_cast("decimal(18,6)")).cast(EXACT)
+    quantity, price = F.col("quantity").try_cast("int"), F.col("unit_price").try_cast("decimal(18,6)")
+    exact = (quantity * price).try_cast(EXACT) if priced else F.lit(None).cast(EXACT)
+    far = quantity.isNull()
+    if priced:
+        far = far | F.col("unit_price").try_cast(PRICE).isNull() | F.round(exact, 2).try_cast(MONEY).isNull()
     judged = full.join(_known(products, "id", "product_id", "_product"), "product_id", "left").select(
         "request_id", breaks(rules).alias("_bad"), F.col("_product").isNull().alias("_stray"),
-        (exact if priced else F.lit(None).cast(EXACT)).alias("_exact"))
+        far.alias("_far"), exact.alias("_exact"))
     return judged.groupBy("request_id").agg(
-        F.bool_or("_bad").alias("_bad"), F.bool_or("_stray").alias("_stray"),
-        F.sum("_exact").cast(EXACT).alias("_sum"), F.count(F.lit(1)).alias("item_count"))
+        F.bool_or("_bad").alias("_bad"), F.bool_or("_stray").alias("_stray"), F.bool_or("_far").alias("_far"),
+        F.sum("_exact").try_cast(EXACT).alias("_sum"), F.count(F.lit(1)).alias("item_count"))
+
+
+def _amounts(total: Column, rate: Column) -> dict[str, Column]:
+    """Subtotal, VAT and total of an exact sum, each rounded once; NULL where one does not fit."""
+    vat = (total * rate / F.lit(100)).try_cast("decimal(36,12)")
+    whole = F.try_add(total, vat)
+    return {name: F.round(value, 2).try_cast(MONEY)
+            for name, value in (("subtotal", total), ("vat_amount", vat), ("total", whole))}
 
 
 def _verdict(t: Tables, table: str, requests: DataFrame, lines: DataFrame) -> DataFrame:
     """request_id, reason (NULL when accepted), exact sum and number of lines.
 
-    Accepted are valid requests with a new number, a known client and known products; of several
-    with one number the first. Pinned, since headers, items, rejections and log all start from it.
+    Accepted are valid requests whose values fit the columns, with a new number, a known client and
+    known products; of several with one number the first. Pinned, since headers, items, rejections and log all start from it.
     """
     priced = table == "invoices"
     rules = invoice_rules() if priced else delivery_rules()
@@ -55,8 +70,15 @@ def _verdict(t: Tables, table: str, requests: DataFrame, lines: DataFrame) -> Da
         .join(_known(t[table], "number", "number", "_taken"), "number", "left")
         .join(_known(t["clients"], "id", "client_id", "_client"), "client_id", "left")
     )
+    far = F.coalesce("_far", F.lit(False))
+    if priced:
+        rate = F.col("vat_rate").try_cast("decimal(9,6)")
+        amounts = _amounts(F.col("_sum"), F.coalesce(rate, F.lit(0)))
+        far = far | functools.reduce(operator.or_, [a.isNull() for a in amounts.values()])
+        far = far | (F.col("vat_rate").isNotNull() & F.col("vat_rate").try_cast("decimal(5,2)").isNull())
     reason = (
         F.when(F.col("_head") | F.col("_bad") | F.col("item_count").isNull(), F.lit("invalid"))
+        .when(far, F.lit("out_of_range"))
         .when(F.col("_taken"), F.lit("duplicate_number"))
         .when(F.col("_client").isNull(), F.lit("unknown_client"))
         .when(F.col("_stray"), F.lit("unknown_product"))
@@ -90,11 +112,8 @@ def create_invoices(
     exact = (F.col("quantity") * F.col("unit_price")).cast(EXACT)
     items = items.withColumns({"invoice_id": ids("invoices"), "total_price": F.round(exact, 2)})
     rate = F.col("vat_rate").try_cast("decimal(9,6)")
-    vat = F.col("_sum") * rate / F.lit(100)
     heads = requests.join(passed, "request_id").withColumns({
-        "subtotal": F.round("_sum", 2).cast(MONEY),
-        "vat_amount": F.round(vat, 2).cast(MONEY),
-        "total": F.round(F.col("_sum") + vat, 2).cast(MONEY),
+        **_amounts(F.col("_sum"), rate),
         "date": F.substring("date", 1, 10).try_cast("date"),
         "due_date": F.substring("due_date", 1, 10).try_cast("date"),
         "vat_rate": rate,

@@ -7,10 +7,10 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradebook.functions.expressions import initial_stock, normalized_email, trimmed
+from tradebook.functions.expressions import MONEY, initial_stock, normalized_email, trimmed
 from tradebook.operators.changes import (
     Change, Ids, Tables, also, append_activity, compose, entries, inserted, invalid, not_in,
-    rejections, removed, repeats, replaced, string_ids, system_entry, without,
+    out_of_range, rejections, removed, repeats, replaced, string_ids, system_entry, without,
 )
 from tradebook.operators.joins import client_usage, line_usage
 from tradebook.operators.merge import first_come, taken
@@ -31,6 +31,11 @@ GROUP_PATCH = (
     "reservation_amount",
 )
 
+# The column types that numbers in requests have to fit.
+CLIENT_KINDS = {"installment_term": "int"}
+PRODUCT_KINDS = {"price": "decimal(10,2)", "weight": "decimal(8,2)"}
+GROUP_KINDS = {"original_quantity": MONEY, "reservation_amount": MONEY}
+
 
 def _tidy(requests: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     """Trim text fields, normalise the address."""
@@ -58,7 +63,8 @@ def create_clients(t: Tables, requests: DataFrame, now: dt.datetime, ids: Ids =
     found = request_violations("clients", requests)
     requests = _clients(requests)
     rejected = rejections(
-        ("invalid", invalid(found)), ("duplicate", taken(requests, t["clients"], ["mb", "pib"])))
+        ("invalid", invalid(found)), ("out_of_range", out_of_range(requests, CLIENT_KINDS)),
+        ("duplicate", taken(requests, t["clients"], ["mb", "pib"])))
     passed = first_come(without(requests, rejected), ["mb", "pib"])
     rejected = also(rejected, requests, passed, "duplicate")
     accepted = _typed_clients(without(requests, rejected))
@@ -77,11 +83,11 @@ def update_clients(t: Tables, requests: DataFrame, now: dt.datetime) -> Change:
     found = request_violations("clients", requests)
     requests = _clients(requests)
     rejected = rejections(
-        ("invalid", invalid(found)),
+        ("invalid", invalid(found)), ("out_of_range", out_of_range(requests, CLIENT_KINDS)),
         ("duplicate", taken(requests, t["clients"], ["mb", "pib"], own="id")),
         ("not_found", not_in(requests, t["clients"])),
     )
-    rejected = rejections(*_kept(rejected, ("invalid", "duplicate", "not_found")),
+    rejected = rejections(*_kept(rejected, ("invalid", "out_of_range", "duplicate", "not_found")),
                           ("repeated", repeats(without(requests, rejected))))
     passed = first_come(without(requests, rejected), ["mb", "pib"])
     rejected = also(rejected, requests, passed, "duplicate")
@@ -133,7 +139,8 @@ def create_products(t: Tables, requests: DataFrame, now: dt.datetime, ids: Ids =
     found = request_violations("products", requests)
     requests = _products(requests)
     rejected = rejections(
-        ("invalid", invalid(found)), ("duplicate_code", taken(requests, t["products"], ["code"])))
+        ("invalid", invalid(found)), ("out_of_range", out_of_range(requests, PRODUCT_KINDS)),
+        ("duplicate_code", taken(requests, t["products"], ["code"])))
     passed = first_come(without(requests, rejected), ["code"])
     rejected = also(rejected, requests, passed, "duplicate_code")
     accepted = _typed_products(without(requests, rejected)).drop("is_active")
@@ -149,11 +156,11 @@ def update_products(t: Tables, requests: DataFrame, now: dt.datetime) -> Change:
     found = request_violations("products", requests)
     requests = _products(requests)
     rejected = rejections(
-        ("invalid", invalid(found)),
+        ("invalid", invalid(found)), ("out_of_range", out_of_range(requests, PRODUCT_KINDS)),
         ("duplicate_code", taken(requests, t["products"], ["code"], own="id")),
         ("not_found", not_in(requests, t["products"])),
     )
-    rejected = rejections(*_kept(rejected, ("invalid", "duplicate_code", "not_found")),
+    rejected = rejections(*_kept(rejected, ("invalid", "out_of_range", "duplicate_code", "not_found")),
                           ("repeated", repeats(without(requests, rejected))))
     passed = first_come(without(requests, rejected), ["code"])
     rejected = also(rejected, requests, passed, "duplicate_code")
@@ -219,7 +226,8 @@ def _typed_groups(accepted: DataFrame) -> DataFrame:
 def create_groups(t: Tables, requests: DataFrame, now: dt.datetime, ids: Ids = string_ids) -> Change:
     """New groups with their opening balance."""
     requests = _tidy(requests, ("name",))
-    rejected = rejections(("invalid", invalid(request_violations("product_groups", requests))))
+    rejected = rejections(("invalid", invalid(request_violations("product_groups", requests))),
+                          ("out_of_range", out_of_range(requests, GROUP_KINDS)))
     accepted = _typed_groups(without(requests, rejected))
     if "reservation_amount" not in accepted.columns:
         accepted = accepted.withColumn("reservation_amount", F.lit(0))
@@ -241,6 +249,7 @@ def patch_groups(t: Tables, requests: DataFrame, now: dt.datetime) -> Change:
     blank = requests.filter(F.coalesce(*[F.col(c).cast("string") for c in columns]).isNull())
     rejected = rejections(
         ("invalid", invalid(request_violations("product_groups", requests, sparse=True))),
+        ("out_of_range", out_of_range(requests, GROUP_KINDS)),
         ("no_fields", blank.select("request_id")),
         ("not_found", not_in(requests, t["product_groups"])),
     )
