@@ -31,7 +31,7 @@ def components(edges: DataFrame) -> DataFrame:
             small.select(F.col("v").alias("a"), F.col("low").alias("b")).where("a <> b")
             .union(lows.select(F.col("u").alias("a"), F.col("low").alias("b"))).distinct()
         )
-        mark = now.agg(F.count(F.lit(1)), F.sum("b"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        mark = now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.bit_xor(F.xxhash64("b", "a"))).first()
         if mark == before:
             break
         before = mark
