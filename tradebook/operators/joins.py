@@ -11,8 +11,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SALTS = 512
-
 
 def with_client(headers: DataFrame, clients: DataFrame, columns: dict[str, str]) -> DataFrame:
     """Inner join of invoices or deliveries with client fields, given as column -> name."""
@@ -58,13 +56,13 @@ def product_group(bridge: DataFrame, groups: DataFrame) -> DataFrame:
 def with_user(logs: DataFrame, users: DataFrame, columns: Sequence[str] = ("username", "full_name")) -> DataFrame:
     """Left join that keeps system rows.
 
-    Rows without a user match nothing, so they are spread over salts instead of meeting in the one
-    partition NULL keys hash to.
+    Rows without a user match nothing, so they don't go through the join.
     """
-    salt = F.when(F.col("user_id").isNull(), F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int") + 1)
-    left = logs.withColumn("_salt", F.coalesce(salt, F.lit(0)))
-    right = users.select(F.col("id").alias("user_id"), *columns, F.lit(0).alias("_salt"))
-    return left.join(right, ["user_id", "_salt"], "left").drop("_salt")
+    right = users.select(F.col("id").alias("user_id"), *columns)
+    joined = logs.filter(F.col("user_id").isNotNull()).join(right, "user_id", "left")
+    kinds = {c: users.schema[c].dataType for c in columns}
+    alone = logs.filter(F.col("user_id").isNull()).withColumns({c: F.lit(None).cast(k) for c, k in kinds.items()})
+    return joined.unionByName(alone)
 
 
 def logged_users(users: DataFrame, logs: DataFrame) -> DataFrame:

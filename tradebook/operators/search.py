@@ -8,10 +8,11 @@ import operator
 import re
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradebook.functions.expressions import col, period_start
+from tradebook.session import pinned
 
 # The permissions a user can hold.
 PERMISSIONS = (
@@ -99,9 +100,44 @@ def check_page(page: int, limit: int, most: int = 100) -> None:
 def page_of(
     df: DataFrame, order: Sequence[Column], page: int = 1, limit: int = 50, most: int = 100
 ) -> DataFrame:
-    """One page of the ordered rows. ``order`` must end in a unique key."""
+    """One page of the ordered rows. ``order`` must end in a unique key.
+
+    The first page is a top-k. A later one is found by counts: the rows are written in ranges of
+    ``order``, the ranges are counted, and only those the page lies in are numbered, so no task
+    holds the pages before it. For a walk through a whole list ``after`` of the list queries is cheaper.
+    """
     check_page(page, limit, most)
-    return df.orderBy(*order).offset((page - 1) * limit).limit(limit)
+    if page == 1:
+        return df.orderBy(*order).limit(limit)
+    ranged = pinned(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    sizes = sorted((r["_range"], r["n"]) for r in ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())
+    start, before, wanted = (page - 1) * limit, 0, []
+    for number, size in sizes:
+        if before < start + limit and before + size > start:
+            wanted.append((number, before))
+        before += size
+    if not wanted:
+        return df.limit(0)
+    inside = Window.partitionBy("_range").orderBy(*order)
+    offset = functools.reduce(lambda c, w: c.when(F.col("_range") == w[0], w[1]), wanted, F.when(F.lit(False), 0))
+    picked = ranged.filter(F.col("_range").isin([w[0] for w in wanted]))
+    place = F.row_number().over(inside) + offset
+    found = picked.withColumn("_place", place).filter((F.col("_place") > start) & (F.col("_place") <= start + limit))
+    return found.orderBy("_place").drop("_range", "_place")
+
+
+def after_key(
+    df: DataFrame, column: str, value: object, key: str, last: object, descending: bool = False
+) -> DataFrame:
+    """Rows that follow (``value``, ``last``) by ``column``, then rising ``key``.
+
+    Rising columns have NULL last, falling ones NULL first, as in the orders of the lists.
+    """
+    c, tie = F.col(column), F.col(key) > F.lit(last)
+    if value is None:
+        return df.filter((c.isNull() & tie) | (c.isNotNull() if descending else F.lit(False)))
+    beyond = (c < F.lit(value)) if descending else (c > F.lit(value)) | c.isNull()
+    return df.filter(beyond | ((c == F.lit(value)) & tie))
 
 
 def page_info(df: DataFrame, page: int = 1, limit: int = 50) -> DataFrame:

@@ -13,11 +13,12 @@ from tradebook.operators.joins import (
 )
 from tradebook.operators.ordered import nest
 from tradebook.operators.search import (
-    active_only, between_dates, by_ids, newest_first, non_blank, page_of, search_any, where_all,
+    active_only, after_key, between_dates, by_ids, newest_first, non_blank, page_of, search_any, where_all,
 )
-from tradebook.session import pinned
 
 Tables = Mapping[str, DataFrame]
+# Sort value and id of the last row a reader has seen.
+Cursor = tuple[object, object]
 
 INVOICE_LIST = (
     "id", "number", "date", "due_date", "subtotal", "vat_amount", "total", "status",
@@ -71,33 +72,46 @@ def documents_found(
     return search_any(named, ["number", "client_name"], search)
 
 
+def _after(df: DataFrame, after: Cursor | None, column: str = "created_at", descending: bool = True) -> DataFrame:
+    return df if after is None else after_key(df, column, after[0], "id", after[1], descending)
+
+
 def _document_page(
-    found: DataFrame, items: DataFrame, key: str, fields: Iterable[str], page: int, limit: int
+    t: Tables, table: str, items: str, key: str, fields: Iterable[str], search: str | None,
+    status: str | None, client_id: object | None, page: int, limit: int, after: Cursor | None,
 ) -> DataFrame:
     """Take the page first, then count lines of its at most 100 documents only.
 
-    The page is pinned: it is read twice, and finding it may mean joining whole tables.
+    Without a search the page is cut on the headers alone: every document has a client, so the
+    join with clients neither drops nor adds one.
     """
-    rows = pinned(page_of(found, newest_first(), page, limit))
+    if search:
+        found = _after(documents_found(t[table], t["clients"], search, status, client_id), after)
+        rows = page_of(found, newest_first(), page, limit)
+    else:
+        heads = _after(where_all(t[table], status=status, client_id=client_id), after)
+        names = {"name": "client_name", "legal_name": "client_legal_name"}
+        rows = with_client(page_of(heads, newest_first(), page, limit), t["clients"], names)
     ids = F.broadcast(rows.select(F.col("id").alias(key)))  # at most 100 rows
-    lines = items.select(key).join(ids, key, "left_semi")
+    lines = t[items].select(key).join(ids, key, "left_semi")
     return with_counts(rows, lines, key).select(*fields).orderBy(*newest_first())
 
 
 def list_invoices(
     t: Tables, search: str | None = None, status: str | None = None,
-    client_id: object | None = None, page: int = 1, limit: int = 50,
+    client_id: object | None = None, page: int = 1, limit: int = 50, after: Cursor | None = None,
 ) -> DataFrame:
-    found = documents_found(t["invoices"], t["clients"], search, status, client_id)
-    return _document_page(found, t["invoice_items"], "invoice_id", INVOICE_LIST, page, limit)
+    """``after``: (created_at, id) of the last row seen; the page then counts from there."""
+    return _document_page(t, "invoices", "invoice_items", "invoice_id", INVOICE_LIST,
+                          search, status, client_id, page, limit, after)
 
 
 def list_deliveries(
     t: Tables, search: str | None = None, status: str | None = None,
-    client_id: object | None = None, page: int = 1, limit: int = 50,
+    client_id: object | None = None, page: int = 1, limit: int = 50, after: Cursor | None = None,
 ) -> DataFrame:
-    found = documents_found(t["deliveries"], t["clients"], search, status, client_id)
-    return _document_page(found, t["delivery_items"], "delivery_id", DELIVERY_LIST, page, limit)
+    return _document_page(t, "deliveries", "delivery_items", "delivery_id", DELIVERY_LIST,
+                          search, status, client_id, page, limit, after)
 
 
 def clients_found(t: Tables, search: str | None = None) -> DataFrame:
@@ -105,9 +119,11 @@ def clients_found(t: Tables, search: str | None = None) -> DataFrame:
 
 
 def list_clients(
-    t: Tables, search: str | None = None, page: int = 1, limit: int = 50, collation: str | None = None
+    t: Tables, search: str | None = None, page: int = 1, limit: int = 50, collation: str | None = None,
+    after: Cursor | None = None,
 ) -> DataFrame:
-    return page_of(clients_found(t, search), by_name(collation), page, limit)
+    """``after``: (name, id) of the last row seen, in the order without a collation."""
+    return page_of(_after(clients_found(t, search), after, "name", False), by_name(collation), page, limit)
 
 
 def client_detail(t: Tables, ids: Iterable | DataFrame) -> DataFrame:
@@ -123,10 +139,10 @@ def products_found(
 
 def list_products(
     t: Tables, search: str | None = None, category: str | None = None, only_active: bool = False,
-    page: int = 1, limit: int = 50, collation: str | None = None,
+    page: int = 1, limit: int = 50, collation: str | None = None, after: Cursor | None = None,
 ) -> DataFrame:
     found = products_found(t, search, category, only_active)
-    return page_of(found, by_name(collation), page, limit)
+    return page_of(_after(found, after, "name", False), by_name(collation), page, limit)
 
 
 def product_detail(t: Tables, ids: Iterable | DataFrame) -> DataFrame:
@@ -160,13 +176,13 @@ def list_logs(
     t: Tables, user_id: object | None = None, entity_type: str | None = None,
     action: str | None = None, start: dt.datetime | None = None, end: dt.datetime | None = None,
     search: str | None = None, page: int = 1, limit: int = 50, parsed: bool = False,
-    most: int = 100,
+    most: int = 100, after: Cursor | None = None,
 ) -> DataFrame:
     """Newest rows with user names. ``parsed`` turns the JSON details into a variant value.
 
     The user join keeps every row, so without a search the page is cut before it.
     """
-    found = logs_found(t, user_id, entity_type, action, start, end, search)
+    found = _after(logs_found(t, user_id, entity_type, action, start, end, search), after)
     rows = named_logs(page_of(found, newest_first(), page, limit, most), t["users"])
     if parsed:
         rows = rows.withColumn("details", F.try_parse_json("details"))
