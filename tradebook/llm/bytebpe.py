@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import base64
 import functools
+import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,9 +30,11 @@ from tradebook.llm.common import shuffles, small_batches
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Code points of a chunk, or a single longer text.
-CHUNK = 16_000_000
+CHUNK = 6_000_000
 #: A space before a word always begins a word of the pattern, unless more white space is around it.
-UNSAFE = regex.compile(r"\s (?!\S)")
+UNSAFE = re.compile(r"\s (?!\S)")
+#: Marks that make a word of their own behind letters.
+MARKS = ",.;:!?"
 
 
 @functools.lru_cache(maxsize=1)
@@ -56,15 +60,21 @@ def whole(path: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str="(?s:.+)", mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.lru_cache(maxsize=1)
+def packer() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    """Making these costs more than a short value does, so a worker keeps them."""
+    return zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+
+
 def squeezed(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value; numbers go byte plane by byte plane, as high bytes repeat."""
     parts = [np.array([len(a) for a in arrays], "<u4").tobytes()]
     parts += [np.ascontiguousarray(a.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes() for a in arrays]
-    return zstandard.ZstdCompressor(level=3).compress(b"".join(parts))
+    return packer()[0].compress(b"".join(parts))
 
 
 def unsqueezed(value: bytes, count: int) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(value), np.uint8)
+    raw = np.frombuffer(packer()[1].decompress(value), np.uint8)
     sizes, at, out = raw[:4 * count].view("<u4"), 4 * count, []
     for size in sizes.tolist():
         out.append(np.ascontiguousarray(raw[at:at + 4 * size].reshape(4, size).T).view("<u4").ravel())
@@ -85,39 +95,68 @@ def offsets(sizes: np.ndarray) -> np.ndarray:
     return np.append(0, np.cumsum(sizes, dtype=np.int64))
 
 
+def words_of(text: str, before: str = "") -> list[str]:
+    """The matches of the pattern in ``before + text``; plain words, with or without marks, need no search."""
+    if text.isalpha():
+        return [before + text]
+    core = text.rstrip(MARKS)
+    if core != text and core.isalpha():
+        return [before + core, text[len(core):]]
+    return pattern().findall(before + text)
+
+
+class Numbers(dict):
+    """Numbers its keys from 0 in the order of first use."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = number = len(self)
+        return number
+
+
+class Parts(dict):
+    """Numbers stretches of text; the words of a new one go to the chunk."""
+
+    def __init__(self, chunk: Chunk, before: str) -> None:
+        super().__init__()
+        self.chunk, self.before = chunk, before
+
+    def __missing__(self, part: str) -> int:
+        self[part] = number = self.chunk.new(part, self.before)
+        return number
+
+
 class Chunk:
-    """The distinct words of some texts, and each text as word numbers."""
+    """The distinct words of some texts, and each text as stretches between spaces where a cut is safe.
+
+    Word numbers of all stretches stand in one flat array; a stretch is looked up once.
+    """
 
     def __init__(self) -> None:
-        self.words: dict[str, int] = {}
-        self.parts: dict[str, int] = {}
-        self.numbers: list[np.ndarray] = []
+        self.words = Numbers()
+        self.flat, self.starts = array("q"), array("q", [0])
+        self.first, self.rest = Parts(self, ""), Parts(self, " ")
         self.texts: list[np.ndarray] = []
         self.size = 0
 
-    def part(self, text: str) -> int:
-        """A number for a stretch of text between safe cuts; its words are looked up once."""
-        known = self.parts.get(text)
-        if known is None:
-            known = self.parts[text] = len(self.numbers)
-            words = self.words
-            self.numbers.append(np.array([words.setdefault(w, len(words)) for w in pattern().findall(text)], np.int64))
-        return known
+    def new(self, text: str, before: str = "") -> int:
+        self.flat.extend([self.words[w] for w in words_of(text, before)])
+        self.starts.append(len(self.flat))
+        return len(self.starts) - 2
 
     def add(self, text: str) -> None:
         if UNSAFE.search(text):
-            parts = [self.part(text)]
+            parts = [self.new(text)]
         else:
             first, *rest = text.split(" ")
-            parts = [self.part(first), *(self.part(" " + p) for p in rest)]
-        self.texts.append(np.array(parts, np.int64))
+            parts = [self.first[first], *map(self.rest.__getitem__, rest)]
+        self.texts.append(np.array(parts, np.int32))
         self.size += len(text)
 
-    def coded(self) -> list[np.ndarray]:
+    def coded(self) -> Iterator[np.ndarray]:
         """Word numbers of each text."""
-        starts = offsets(np.array([len(n) for n in self.numbers], np.int64))
-        flat = np.concatenate(self.numbers) if self.numbers else np.zeros(0, np.int64)
-        return [ragged(flat, starts, parts) for parts in self.texts]
+        flat, starts = np.frombuffer(self.flat, np.int64), np.frombuffer(self.starts, np.int64)
+        for parts in self.texts:
+            yield ragged(flat, starts, parts)
 
 
 def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list, Chunk]]:
@@ -156,7 +195,7 @@ def word_lists(docs: DataFrame, buckets: int) -> DataFrame:
                 if len(own):
                     words = [raw[i] for i in own.tolist()]
                     held = squeezed(np.diff(own, prepend=0), np.array([len(w) for w in words]))
-                    text = zstandard.ZstdCompressor(level=3).compress(b"".join(words))
+                    text = packer()[0].compress(b"".join(words))
                     out.append((name, b, None, len(held).to_bytes(4, "little") + held + text))
             yield frame(out)
 
@@ -173,12 +212,12 @@ def encoded_lists(lists: DataFrame, path: str, buckets: int) -> DataFrame:
             for chunk, bucket, _, value in batch.itertuples(index=False, name=None):
                 at = 4 + int.from_bytes(value[:4], "little")
                 steps, sizes = unsqueezed(value[4:at], 2)
-                text = zstandard.ZstdDecompressor().decompress(value[at:])
+                text = packer()[1].decompress(value[at:])
                 cuts = offsets(sizes).tolist()
                 words = [text[a:z] for a, z in zip(cuts, cuts[1:])]
                 for w in words:
                     if w not in known:
-                        known[w] = np.array(merged(w.decode()), "<u4").tobytes()
+                        known[w] = array("I", merged(w.decode())).tobytes()
                 found = [known[w] for w in words]
                 counts = np.array([len(x) for x in found]) // 4
                 out.append((chunk, bucket, None, squeezed(steps, counts, np.frombuffer(b"".join(found), "<u4"))))
