@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 
 from registry.book import register
 from registry.lists import AS_OF, nulls
@@ -149,6 +150,29 @@ register(
 )
 
 
+_AT = dt.datetime(2024, 2, 1)
+
+
+def _usage(d):
+    """The log rows of handing out three datasets."""
+    rows = [
+        export.export_log(export.export_invoices(d, "confirmed"), "invoices", _AT, 1, {"status": "confirmed", "client_id": None}),
+        export.export_log(export.export_products(d, only_active=True), "products", _AT, 2, {"active_only": "true"}),
+        export.view_log(d.product_groups, _AT, 3),
+    ]
+    return functools.reduce(lambda a, b: a.unionByName(b), rows).select("request_id", "action", "entity_type", "details")
+
+
+_STAMP = '"timestamp":"2024-02-01T00:00:00.000Z"'
+register(
+    "usage_log", _usage,
+    f"""SELECT 1 AS request_id, 'EXPORT_INVOICES' AS action, 'invoices' AS entity_type,
+           '{{"format":"csv","count":' || count(*) || ',"filters":{{"status":"confirmed"}},{_STAMP}}}' AS details FROM invoices WHERE status = 'confirmed'
+        UNION ALL SELECT 2, 'EXPORT_PRODUCTS', 'products', '{{"format":"csv","count":' || count(*) || ',"filters":{{"active_only":"true"}},{_STAMP}}}' FROM products WHERE is_active
+        UNION ALL SELECT 3, 'VIEW_PRODUCT_GROUPS', 'product_groups', '{{"count":' || count(*) || ',{_STAMP}}}' FROM product_groups""",
+)
+
+
 def _csv_invoices(d):
     rows = export.export_invoices(d)
     path = scratch_path(d.spark, "invoices-csv")

@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 from registry.book import register
 from tradebook.operators import documents, stock
 
+NOW = dt.datetime(2024, 2, 1)
+ONE_UPDATE = """'{"group_id":' || group_id || ',"product_code":' || to_json(product_code) || ',"product_name":' || to_json(product_name) ||
+      ',"quantity_used":' || quantity || ',"weight_used":' || weight_used || ',"old_stock":' || old_stock || ',"new_stock":' || new_stock || '}'"""
 # Every draft invoice confirmed at once.
 DRAFTS_SQL = "drafts AS (SELECT id AS request_id, id AS invoice_id, date FROM invoices WHERE status = 'draft')"
 
@@ -74,6 +77,18 @@ register(
     lambda d: stock.apply_stock(_given(d), *stores(d)[1:]).select("line_no", "group_id", "product_code", "quantity", "weight_used", "old_stock", "new_stock"),
     f"WITH {_GIVEN}, {walk_sql('line_no')} SELECT line_no, group_id, product_code, quantity, weight_used, old_stock, new_stock FROM walk",
 )
+def _given_log(d):
+    lines = d.invoice_items.select(F.col("id").alias("line_no"), F.col("invoice_id").alias("request_id"), "product_id", "quantity")
+    log = documents.direct_stock_log(stock.apply_stock(lines, *stores(d)[1:]), NOW)
+    return log.select("request_id", "action", "entity_type", "details")
+
+
+register(
+    "apply_stock_log", _given_log,
+    f"""WITH {_GIVEN.replace("l.id AS line_no,", "l.id AS line_no, l.invoice_id AS request_id, p.name AS product_name,")}, {walk_sql('line_no')}
+        SELECT request_id, 'UPDATE_STOCK_ON_INVOICE_APPROVAL' AS action, 'product_groups' AS entity_type, '{{"updates":[' || string_agg({ONE_UPDATE}, ',' ORDER BY line_no) ||
+          '],"part":1,"timestamp":"2024-02-01T00:00:00.000Z"}}' AS details FROM walk GROUP BY request_id""",
+)
 register(
     "apply_stock_balance",
     lambda d: stock.apply_stock_balance(_given(d), *stores(d)[1:]).select("id", "name", "current_quantity"),
@@ -94,15 +109,10 @@ register(
         SELECT invoice_id, 1 AS part, string_agg(concat_ws('|', group_id, product_code, quantity, weight_used, old_stock, new_stock), ';' ORDER BY item_id) AS updates
         FROM walk GROUP BY invoice_id""",
 )
-NOW = dt.datetime(2024, 2, 1)
-
-
 def updates_sql(walk: str) -> str:
     """Rows (request_id, invoice_id, details): the log of each confirmation, all its updates in one part."""
-    one = """'{"group_id":' || group_id || ',"product_code":' || to_json(product_code) || ',"product_name":' || to_json(product_name) ||
-      ',"quantity_used":' || quantity || ',"weight_used":' || weight_used || ',"old_stock":' || old_stock || ',"new_stock":' || new_stock || '}'"""
     return f"""SELECT request_id, invoice_id, count(*) AS update_count, '{{"invoice_id":' || invoice_id || ',"updates":[' ||
-      string_agg({one}, ',' ORDER BY item_id) || '],"part":1,"timestamp":"2024-02-01T00:00:00.000Z"}}' AS details FROM {walk} GROUP BY request_id, invoice_id"""
+      string_agg({ONE_UPDATE}, ',' ORDER BY item_id) || '],"part":1,"timestamp":"2024-02-01T00:00:00.000Z"}}' AS details FROM {walk} GROUP BY request_id, invoice_id"""
 
 
 register(

@@ -19,7 +19,9 @@ from tradebook.operators.ordered import previous
 from tradebook.operators.quality import (
     breaks, delivery_line_rules, delivery_rules, invoice_line_rules, invoice_rules, with_fields,
 )
-from tradebook.operators.stock import UPDATE_ACTION, balance_after, stock_updates, stock_walk
+from tradebook.operators.stock import (
+    DIRECT_ACTION, UPDATE_ACTION, balance_after, direct_updates, stock_updates, stock_walk,
+)
 from tradebook.session import pinned
 
 EXACT = "decimal(24,6)"
@@ -203,6 +205,12 @@ def set_invoice_status(t: Tables, requests: DataFrame, now: dt.datetime) -> Chan
     )
 
 
+def direct_stock_log(walk: DataFrame, now: dt.datetime, order: tuple[str, ...] = ("line_no",)) -> DataFrame:
+    """Activity rows of direct deductions (``apply_stock`` over lines with request_id), one per request and part."""
+    made = direct_updates(walk, order)
+    return entries(made, DIRECT_ACTION, "product_groups", None, now, [F.col("updates"), F.col("part")])
+
+
 def set_delivery_status(t: Tables, requests: DataFrame, now: dt.datetime) -> Change:
     return _set_status(t, "deliveries", "DELIVERY", requests, now)[0]
 

@@ -302,8 +302,13 @@ def delete_groups(t: Tables, requests: DataFrame, now: dt.datetime) -> Change:
     )
 
 
-def create_users(t: Tables, requests: DataFrame, now: dt.datetime, ids: Ids = string_ids) -> Change:
-    """New users; refused when the username or the email is known or claimed earlier."""
+def create_users(
+    t: Tables, requests: DataFrame, now: dt.datetime, ids: Ids = string_ids, by_themselves: bool = False
+) -> Change:
+    """New users; refused when the username or the email is known or claimed earlier.
+
+    ``by_themselves``: they registered, and act in their own log rows.
+    """
     found = request_violations("users", requests)
     if "role" in requests.columns:
         odd = requests.filter(~F.coalesce(F.col("role").isin("admin", "user"), F.lit(True)))
@@ -318,8 +323,12 @@ def create_users(t: Tables, requests: DataFrame, now: dt.datetime, ids: Ids = st
     accepted = without(requests, rejected)
     state, rows = inserted(t["users"], "users", accepted, ids, now)
     role = F.col("role") if "role" in accepted.columns else F.lit(None).cast("string")
-    log = entries(accepted.withColumn("_id", ids("users")), "User created", "user", "_id", now,
-                  [F.col("username").alias("created_username"), F.coalesce(role, F.lit("user")).alias("role")])
+    made = accepted.withColumn("_id", ids("users"))
+    if by_themselves:
+        log = entries(made.withColumn("actor_id", F.col("_id")), "User registered", "user", "_id", now)
+    else:
+        log = entries(made, "User created", "user", "_id", now,
+                      [F.col("username").alias("created_username"), F.coalesce(role, F.lit("user")).alias("role")])
     return Change({"users": state}, rejected, log, {"users": rows})
 
 
@@ -345,7 +354,14 @@ def patch_users(t: Tables, requests: DataFrame, now: dt.datetime) -> Change:
                               ("duplicate", clash.select("request_id")))
         accepted = without(requests, rejected)
     state, rows = replaced(t["users"], "users", compose(accepted, columns), columns, now)
-    log = entries(accepted, "Profile updated", "user", "id", now)
+    fields = [F.col(c) for c in ("email", "full_name") if c in columns]
+    log = entries(accepted.filter(F.coalesce(*fields).isNotNull()) if fields else accepted.limit(0),
+                  "Profile updated", "user", "id", now)
+    if "permissions" in columns:
+        named = t["users"].select("id", F.col("username").alias("target_username"))
+        allowed = accepted.filter(F.col("permissions").isNotNull()).join(named, "id")
+        log = log.unionByName(entries(allowed, "User permissions updated", "user", "id", now, [
+            F.col("target_username"), F.try_parse_json("permissions").alias("new_permissions")]))
     return Change({"users": state}, rejected, log, {"users": rows})
 
 

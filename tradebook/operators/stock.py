@@ -116,17 +116,28 @@ def apply_stock_balance(
     return _closing(stock_lines(lines, products, bridge, groups, guard=False), groups)
 
 
-def stock_updates(walk: DataFrame, chunk: int = 10_000) -> DataFrame:
-    """One row per confirmation with its list of updates; none when no line touched a group."""
+def _updates(walk: DataFrame, keys: Sequence[str], order: Sequence[str], chunk: int) -> DataFrame:
     fields = [
         F.col("group_id"), F.col("product_code"), F.col("product_name"),
         F.col("quantity").alias("quantity_used"), F.col("weight_used"),
         F.col("old_stock"), F.col("new_stock"),
     ]
-    return nest(walk, ["request_id", "invoice_id"], ["item_id"], fields, "updates", chunk)
+    return nest(walk, keys, order, fields, "updates", chunk)
+
+
+def stock_updates(walk: DataFrame, chunk: int = 10_000) -> DataFrame:
+    """One row per confirmation with its list of updates; none when no line touched a group."""
+    return _updates(walk, ["request_id", "invoice_id"], ["item_id"], chunk)
+
+
+def direct_updates(walk: DataFrame, order: Sequence[str] = ("line_no",), chunk: int = 10_000) -> DataFrame:
+    """One row per request of a direct deduction, whose lines must carry ``request_id``; its action
+    is ``DIRECT_ACTION``."""
+    return _updates(walk, ["request_id"], order, chunk)
 
 
 UPDATE_ACTION = "UPDATE_STOCK_ON_INVOICE_CONFIRMATION"
+DIRECT_ACTION = "UPDATE_STOCK_ON_INVOICE_APPROVAL"
 
 
 def stock_update_log(walk: DataFrame, now: dt.datetime, chunk: int = 10_000) -> DataFrame:

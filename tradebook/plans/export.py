@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradebook.functions.expressions import active_label, iso_utc, yes_no
+from tradebook.operators.changes import entries
 from tradebook.operators.joins import with_client, with_product
 from tradebook.operators.ordered import nest
 from tradebook.operators.search import (
@@ -28,6 +29,33 @@ def _documents(
     return with_client(picked, clients, NAMES)
 
 
+def usage_log(
+    rows: DataFrame, action: str, table: str, now: dt.datetime, request_id: object = 0,
+    file_format: str | None = None, filters: Mapping[str, object] | None = None,
+) -> DataFrame:
+    """One activity row about a dataset handed out: its action, row count, format and filters."""
+    details = [F.col("count")]
+    if file_format is not None:
+        details.insert(0, F.lit(file_format).alias("format"))
+    if filters is not None:
+        given = [F.lit(None if v is None else str(v)).alias(k) for k, v in filters.items()]
+        details.append(F.struct(*given).alias("filters"))
+    counted = rows.agg(F.count(F.lit(1)).alias("count")).withColumn("request_id", F.lit(request_id))
+    return entries(counted, action, table, None, now, details)
+
+
+def export_log(
+    rows: DataFrame, table: str, now: dt.datetime, request_id: object = 0,
+    filters: Mapping[str, object] | None = None, file_format: str = "csv",
+) -> DataFrame:
+    return usage_log(rows, f"EXPORT_{table.upper()}", table, now, request_id, file_format, filters)
+
+
+def view_log(rows: DataFrame, now: dt.datetime, request_id: object = 0) -> DataFrame:
+    """The list of product groups was looked at."""
+    return usage_log(rows, "VIEW_PRODUCT_GROUPS", "product_groups", now, request_id)
+
+
 def export_invoices(
     t: Tables, status: str | None = None, client_id: object | None = None,
     start: dt.date | None = None, end: dt.date | None = None,
