@@ -298,6 +298,28 @@ change("create_products", _create_products, {
 })
 
 
+def derived_sql(*parts: str) -> str:
+    """The default id of a new row: a digest of what names it, in the form of a UUID."""
+    return f"regexp_replace(md5(concat_ws(chr(1), {', '.join(parts)})), '^(.{{8}})(.{{4}})(.{{4}})(.{{4}})(.{{12}})$', '\\1-\\2-\\3-\\4-\\5')"
+
+
+def _default_ids(d):
+    """New products and their log with the ids the library makes, over tables with text ids."""
+    tables = {"products": d.products.withColumn("id", F.col("id").cast("string"))}
+    made = registers.create_products(tables, d.product_requests, NOW)
+    log = changes.append_activity(d.activity_logs.limit(0).withColumn("id", F.lit("")), made.activity)
+    return made.rows["products"].select("id", F.col("code").alias("text")).unionByName(log.select("id", F.col("action").alias("text")))
+
+
+_PRODUCT_ID = derived_sql("'products'", "cast(request_id AS varchar)")
+_LOG_ID = derived_sql("'activity_logs'", "''", "action", "'product'", "new_id", "cast(request_id AS varchar)", "'2024-02-01 00:00:00'", f"'{{{STAMP}}}'")
+register(
+    "default_ids", _default_ids,
+    f"""WITH {_PRODUCT_VERDICT}, made AS (SELECT request_id, code, {_PRODUCT_ID} AS new_id, 'Created product: ' || name || ' (' || code || ')' AS action FROM good)
+        SELECT new_id AS id, code AS text FROM made UNION ALL SELECT {_LOG_ID}, action FROM made""",
+)
+
+
 def _product_updates(d):
     """Each request aims at the product of its own number; sevenths at the next one, so some meet."""
     target = F.when(F.col("request_id") % 7 == 0, F.col("request_id") + 1).when(F.col("request_id") % 41 == 0, F.lit(-1)).otherwise(F.col("request_id"))
@@ -438,6 +460,12 @@ change("patch_users", lambda d: registers.patch_users(d, _user_patches(d), NOW),
         SELECT u.id, u.username, coalesce(l.e, u.email) AS email, coalesce(l.f, u.full_name) AS full_name, coalesce(l.p, u.permissions) AS permissions,
                CASE WHEN l.id IS NOT NULL THEN {NOW_SQL} END AS updated_at FROM users u LEFT JOIN last l ON l.id = u.id"""),
     "rejected": (refused, f"WITH {_USER_PATCHES} SELECT request_id, reason FROM verdict WHERE reason IS NOT NULL"),
+    "activity": (logged, f"""WITH {_USER_PATCHES}
+        SELECT request_id, 'Profile updated' AS action, 'user' AS entity_type, cast(id AS varchar) AS entity_id, '{{{STAMP}}}' AS details, {NOW_SQL} AS created_at
+        FROM verdict WHERE reason IS NULL AND (email IS NOT NULL OR full_name IS NOT NULL)
+        UNION ALL SELECT v.request_id, 'User permissions updated', 'user', cast(v.id AS varchar),
+               '{{"target_username":"' || u.username || '","new_permissions":' || v.permissions || ',{STAMP}}}', {NOW_SQL}
+        FROM verdict v JOIN users u ON u.id = v.id WHERE v.reason IS NULL AND v.permissions IS NOT NULL"""),
 })
 
 
