@@ -256,8 +256,8 @@ SELECT request_id + 10000000000, number, try_cast(date AS date), try_cast(due_da
 VIEWS["staged_invoice_items"] = """
 SELECT id, invoice_id, product_id, quantity, unit_price, total_price FROM invoice_items
 UNION ALL
-SELECT concat('new-', line_no), request_id + 10000000000, product_id, cast(quantity AS int), cast(unit_price AS decimal(10,2)),
-       cast(cast(unit_price AS decimal(10,2)) * cast(quantity AS int) + CASE WHEN product_id % 5 = 0 THEN 1 ELSE 0 END AS decimal(12,2)) FROM invoice_request_lines
+SELECT concat('new-', line_no), request_id + 10000000000, product_id, try_cast(quantity AS int), try_cast(unit_price AS decimal(10,2)),
+       try_cast(try_cast(unit_price AS decimal(10,2)) * try_cast(quantity AS int) + CASE WHEN product_id % 5 = 0 THEN 1 ELSE 0 END AS decimal(12,2)) FROM invoice_request_lines
 """
 
 VIEWS["staged_deliveries"] = """
@@ -269,13 +269,13 @@ SELECT request_id + 10000000000, number, try_cast(date AS date), try_cast(due_da
 VIEWS["staged_delivery_items"] = """
 SELECT id, delivery_id, product_id, quantity, unit FROM delivery_items
 UNION ALL
-SELECT concat('new-', line_no), request_id + 10000000000, product_id, cast(quantity AS int), unit FROM invoice_request_lines
+SELECT concat('new-', line_no), request_id + 10000000000, product_id, try_cast(quantity AS int), unit FROM invoice_request_lines
 """
 
 VIEWS["staged_product_groups"] = """
 SELECT cast(id AS bigint) AS id, name, quantity_type, original_quantity, current_quantity, shipment_date, reservation_type, reservation_amount FROM product_groups
 UNION ALL
-SELECT request_id + 10000000000, nullif(name, ''), quantity_type, cast(original_quantity AS decimal(12,2)), cast(0 AS decimal(12,2)),
+SELECT request_id + 10000000000, nullif(name, ''), quantity_type, try_cast(original_quantity AS decimal(12,2)), cast(0 AS decimal(12,2)),
        try_cast(shipment_date AS date), reservation_type, try_cast(reservation_amount AS decimal(12,2)) FROM group_requests
 """
 
