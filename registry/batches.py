@@ -558,7 +558,7 @@ register(
     "apply_defaults",
     lambda d: model.apply_defaults(_typed_updates(d).drop("request_id"), "products", now=NOW).select(
         "id", "code", "weight", "is_active", "created_at", "updated_at"),
-    f"SELECT request_id + {BIG} AS id, code, cast(coalesce(cast(weight AS decimal(8,2)), 0) AS decimal(8,2)) AS weight, true AS is_active, {NOW_SQL} AS created_at, {NOW_SQL} AS updated_at FROM product_requests",
+    f"SELECT request_id + {BIG} AS id, code, cast(coalesce(try_cast(weight AS decimal(8,2)), 0) AS decimal(8,2)) AS weight, true AS is_active, {NOW_SQL} AS created_at, {NOW_SQL} AS updated_at FROM product_requests",
 )
 register(
     "ensure_columns",

@@ -25,7 +25,7 @@ register(
               coalesce(email LIKE '%@%.%', false) AS is_email, regexp_matches(google_maps_link, '^https?://') AS is_url,
               upper(legal_name) AS upper, lower(legal_name) AS lower, regexp_replace(lower(legal_name), '[ #]', '_', 'g') AS key,
               'Created client: ' || legal_name AS sentence, replace(legal_name, '#', '""') AS quoted,
-              coalesce(try_cast(installment_term AS int) >= 1, false) AS is_term FROM client_requests""",
+              coalesce(try_cast(installment_term AS hugeint) >= 1, false) AS is_term FROM client_requests""",
 )
 register(
     "number_functions",
@@ -39,9 +39,9 @@ register(
         F.ceil(F.col("request_id") / 7).cast("long").alias("pages"),
         F.greatest(F.lit(0), F.col("request_id") - 500).alias("clamped")),
     """SELECT request_id, original_quantity <> '0' AS is_quantity, coalesce(cast(reservation_amount AS int) >= 0, false) AS is_amount,
-              cast(greatest(0, cast(original_quantity AS decimal(12,2)) * 0.95 - coalesce(cast(reservation_amount AS decimal(12,2)), 0)) AS decimal(12,2)) AS initial,
-              cast(cast(original_quantity AS decimal(10,2)) * request_id AS decimal(12,2)) AS line_total,
-              cast(cast(original_quantity AS decimal(12,2)) * 0.20 AS decimal(12,2)) AS vat, cast(cast(original_quantity AS decimal(12,2)) * 1.20 AS decimal(12,2)) AS total,
+              cast(greatest(0, try_cast(original_quantity AS decimal(12,2)) * 0.95 - coalesce(cast(reservation_amount AS decimal(12,2)), 0)) AS decimal(12,2)) AS initial,
+              try_cast(try_cast(original_quantity AS decimal(10,2)) * request_id AS decimal(12,2)) AS line_total,
+              cast(try_cast(original_quantity AS decimal(12,2)) * 0.20 AS decimal(12,2)) AS vat, cast(try_cast(original_quantity AS decimal(12,2)) * 1.20 AS decimal(12,2)) AS total,
               cast(ceil(request_id / 7.0) AS bigint) AS pages, greatest(0, request_id - 500) AS clamped FROM group_requests""",
 )
 register(
