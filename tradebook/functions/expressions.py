@@ -103,19 +103,19 @@ def period_start(period: str, as_of: dt.date | Column | None = None) -> Column:
     return F.trunc(day, period if period in ("month", "quarter") else "year")
 
 
-def line_total(quantity: Column | str, unit_price: Column | str) -> Column:
-    return (col(quantity) * col(unit_price)).cast(MONEY)
+def line_total(quantity: Column | str, unit_price: Column | str, kind: str = MONEY) -> Column:
+    return (col(quantity) * col(unit_price)).cast(kind)
 
 
-def vat_of(subtotal: Column | str, rate: Column | str) -> Column:
+def vat_of(subtotal: Column | str, rate: Column | str, kind: str = MONEY) -> Column:
     """VAT of an exact subtotal, rounded half up to cents."""
-    return F.round(col(subtotal) * col(rate) / F.lit(100), 2).cast(MONEY)
+    return F.round(col(subtotal) * col(rate) / F.lit(100), 2).cast(kind)
 
 
-def total_with_vat(subtotal: Column | str, rate: Column | str) -> Column:
+def total_with_vat(subtotal: Column | str, rate: Column | str, kind: str = MONEY) -> Column:
     """Rounded on its own, so it may differ by a cent from subtotal + rounded VAT."""
     exact = col(subtotal).cast("decimal(20,4)") + col(subtotal) * col(rate) / F.lit(100)
-    return F.round(exact, 2).cast(MONEY)
+    return F.round(exact, 2).cast(kind)
 
 
 def initial_stock(original: Column | str, reservation: Column | str) -> Column:

@@ -355,12 +355,16 @@ def validate_deliveries(requests: DataFrame, lines: DataFrame) -> DataFrame:
     return request_violations("deliveries", requests, lines).drop("request_id")
 
 
+WIDE = "decimal(24,2)"
+
+
 def reconcile_invoices(invoices: DataFrame, items: DataFrame) -> DataFrame:
     """Line totals that are not quantity x price, and headers that do not follow from their lines.
 
-    ``value`` is stored minus expected. Headers may differ by 0.01; lines must match.
+    ``value`` is stored minus expected. Headers may differ by 0.01; lines must match. Expected
+    amounts may be larger than the columns hold.
     """
-    off = F.col("total_price") - line_total("quantity", "unit_price")
+    off = F.col("total_price") - line_total("quantity", "unit_price", WIDE)
     lines = items.filter(off != 0).select(
         F.lit("invoice_items").alias("table"), F.lit("line_total").alias("rule"),
         F.col("id").cast("string").alias("row_id"), off.cast("string").alias("value"))
@@ -369,9 +373,9 @@ def reconcile_invoices(invoices: DataFrame, items: DataFrame) -> DataFrame:
     heads = invoices.select("id", "subtotal", "vat_amount", "total", "vat_rate").join(sums, "id", "left")
     heads = heads.select(
         "id",
-        (F.col("subtotal") - base).cast("decimal(20,2)").alias("subtotal"),
-        (F.col("vat_amount") - vat_of(base, "vat_rate")).cast("decimal(20,2)").alias("vat_amount"),
-        (F.col("total") - total_with_vat(base, "vat_rate")).cast("decimal(20,2)").alias("total"),
+        (F.col("subtotal") - base).cast(WIDE).alias("subtotal"),
+        (F.col("vat_amount") - vat_of(base, "vat_rate", WIDE)).cast(WIDE).alias("vat_amount"),
+        (F.col("total") - total_with_vat(base, "vat_rate", WIDE)).cast(WIDE).alias("total"),
     )
     close = F.lit("0.01").cast("decimal(3,2)")
     rules = [Rule(c, c, F.abs(c) <= close) for c in ("subtotal", "vat_amount", "total")]
