@@ -12,9 +12,12 @@ from pyspark.sql.window import Window
 BATCH_ROWS = 512
 
 
-def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> SparkSession:
-    """Hand texts to Python in batches of few rows, so that a batch of long ones fits a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Hand rows to Python in batches of few rows, so that a batch of long texts fits a worker.
+
+    All operators set the same number, so none changes how a query built earlier runs.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark
 
 

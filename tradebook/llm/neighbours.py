@@ -193,7 +193,7 @@ def search(vectors: DataFrame, queries: Column, k: int = K, recall: float = RECA
     cut into blocks, and more queries than QUERY_BLOCK into as many turns, so that no task holds
     a whole hot part. An empty table gives an empty one. Broadcast: the classifier.
     """
-    spark = small_batches(vectors.sparkSession, 2048)
+    spark = small_batches(vectors.sparkSession)
     rows, asked = vectors.agg(F.count(F.lit(1)), F.count(F.when(queries, 1))).first()
     model, parts, probes = fit(vectors, rows, recall)
     shared = spark.sparkContext.broadcast(model)

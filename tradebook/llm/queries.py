@@ -3,6 +3,8 @@
 from tradebook.llm import (  # noqa: F401  (importing files the queries)
     bytebpe,
     chat,
+    decontamination,
+    filteraudit,
     langid,
     lzprint,
     neighbours,
@@ -11,5 +13,6 @@ from tradebook.llm import (  # noqa: F401  (importing files the queries)
     simhash,
     suffixdedup,
     tokencount,
+    vectorcodes,
 )
 from tradebook.llm.book import ORACLES, QUERIES  # noqa: F401
