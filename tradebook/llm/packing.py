@@ -10,13 +10,16 @@ the counts allow. Pieces are then numbered inside their length and look their pl
 from __future__ import annotations
 
 import functools
+import json
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -28,82 +31,57 @@ from tradebook.session import pinned
 CAPACITY = 2048
 END = 0
 VOCABULARY = "byte_bpe_50k.json"
-#: Words whose ids a worker remembers; the memory starts anew when it is full.
-REMEMBERED = 1_000_000
-#: White space around a single space: there a cut at the space could change the split into words.
-UNSAFE = re.compile(r"\s (?!\S)")
+#: Code points that are encoded at once; longer texts are cut at a space that begins a word.
+PIECE = 1 << 18
+#: A space between two other characters that are no white space: the split into words begins one there.
+CUT = re.compile(r"(?<=\S) (?=\S)")
+
+
+def alphabet() -> dict[str, int]:
+    """How a byte-level vocabulary writes bytes: visible Latin-1 characters stand for themselves, the others follow from 256 on."""
+    visible = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in visible]
+    return {chr(b): b for b in visible} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
 class Encoder:
-    """Ids of whole texts as little-endian unsigned 32-bit bytes, by the tokenizers library.
+    """Ids of whole texts as little-endian unsigned 32-bit bytes, as the tokenizers library gives them.
 
-    The library splits text into words before it merges, and a single space before a word always
-    begins one, so that text can be cut there and the ids of repeated words remembered. New words go
-    to the library in one text; ids of tokens that begin with a space tell where each begins. Texts with
-    special tokens or other white space around a space go to the library whole.
+    The merges run in tiktoken over this file's own vocabulary, at a fifth of the time: its ids are in the order of the merges,
+    and a merge is then the pair whose token has the smallest id. Texts with special tokens go to the library, as do all texts
+    of a file that is made otherwise.
     """
 
-    MARKS = ",.;:!?"
-
     def __init__(self, path: str) -> None:
         self.library = Tokenizer.from_file(path)
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        size = self.library.get_vocab_size()
-        blank = self.library.pre_tokenizer.pre_tokenize_str(" ")[0][0]  # how the vocabulary writes a space
-        self.begins = np.array([self.library.id_to_token(i).startswith(blank) for i in range(size)])
-        self.known: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {"": b""}
-        self.marks: dict[str, bytes] = {}
-
-    def library_ids(self, text: str) -> np.ndarray:
-        return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [None if UNSAFE.search(t) or any(s in t for s in self.special) else t.split(" ") for t in texts]
-        heads = [words.pop(0) if words else "" for words in split]
-        self.learn(set().union(*(words for words in split if words)))
-        out = []
-        for text, head, words in zip(texts, heads, split):
-            if words is None:
-                out.append(self.library_ids(text).tobytes())
-                continue
-            if head not in self.heads:
-                self.heads[head] = self.library_ids(head).tobytes()
-            out.append(self.heads[head] + b"".join(map(self.known.__getitem__, words)))
-        return out
-
-    def learn(self, words: set[str]) -> None:
-        """Remember ``words``, each as it is after a space. Marks after a letter or digit are words of their own."""
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-            self.heads.clear()
-        whole, ended = set(), []
-        for word in words - self.known.keys():
-            core = word.rstrip(self.MARKS)
-            if core and core != word and core[-1].isalnum():
-                ended.append(word)
-                whole.add(core)
-            else:
-                whole.add(word)
-        plain = []
-        for word in whole - self.known.keys():
-            if word and not word[0].isspace() and not word[-1].isspace():
-                plain.append(word)
-            else:
-                self.known[word] = self.library_ids(" " + word).tobytes()
+        with open(path, encoding="utf-8") as file:
+            held = json.load(file)
+        model, split = held["model"], held["pre_tokenizer"] or {}
+        ids = [model["vocab"].get("".join(m) if isinstance(m, list) else m.replace(" ", ""), -1) for m in model.get("merges", [])]
+        plain = (
+            model["type"] == "BPE" and not any(model.get(k) for k in ("dropout", "unk_token", "ignore_merges", "byte_fallback", "end_of_word_suffix", "continuing_subword_prefix"))
+            and held["normalizer"] is None and ids == sorted(set(ids)) and min(ids, default=0) >= 256
+            and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
+        )
+        self.fast = None
         if plain:
-            ids = self.library_ids(" " + " ".join(plain))
-            at = np.append(np.flatnonzero(self.begins[ids]), len(ids)) * 4
-            if len(at) != len(plain) + 1:
-                raise ValueError("the vocabulary does not begin words at spaces")
-            raw = ids.tobytes()
-            self.known.update((w, raw[a:z]) for w, a, z in zip(plain, at.tolist(), at[1:].tolist()))
-        for word in ended:
-            core = word.rstrip(self.MARKS)
-            marks = word[len(core):]
-            if marks not in self.marks:
-                self.marks[marks] = self.library_ids(marks).tobytes()
-            self.known[word] = self.known[core] + self.marks[marks]
+            of = alphabet()
+            ranks = {bytes(map(of.__getitem__, token)): rank for token, rank in model["vocab"].items() if token not in self.special}
+            self.fast = tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def stretches(self, text: str) -> Iterator[str]:
+        at = 0
+        while at < len(text):
+            cut = CUT.search(text, at + PIECE)
+            end = cut.start() if cut else len(text)
+            yield text[at:end]
+            at = end
+
+    def encode(self, text: str) -> bytes:
+        if self.fast is None or any(s in text for s in self.special):
+            return np.array(self.library.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        return b"".join(array("I", self.fast.encode_ordinary(part)).tobytes() for part in self.stretches(text))
 
 
 @functools.lru_cache(maxsize=1)
@@ -129,8 +107,8 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             out = []
-            for doc, ids in zip(batch["doc_id"], encoder(path).encode([t or "" for t in batch["text"]])):
-                ids += end
+            for doc, text in zip(batch["doc_id"], batch["text"]):
+                ids = encoder(path).encode(text or "") + end
                 for piece, (start, length) in enumerate(cuts(len(ids) // 4, capacity)):
                     out.append((doc, piece, start, length, zlib.crc32(ids[4 * start:4 * (start + length)])))
             frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32"])
