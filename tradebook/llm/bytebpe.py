@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradebook.llm.book import register, table
-from tradebook.llm.common import shuffles, small_batches
+from tradebook.llm.common import small_batches, spread
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Code points of a chunk, or a single longer text.
@@ -113,39 +113,47 @@ class Numbers(dict):
         return number
 
 
+class Stretches:
+    """Word numbers of stretches of text in one flat array, and the numbers of all distinct words."""
+
+    def __init__(self) -> None:
+        self.words = Numbers()
+        self.flat, self.starts = array("q"), array("q", [0])
+
+    def new(self, text: str, before: str = "") -> int:
+        self.flat.extend([self.words[w] for w in words_of(text, before)])
+        self.starts.append(len(self.flat))
+        return len(self.starts) - 2
+
+
 class Parts(dict):
-    """Numbers stretches of text; the words of a new one go to the chunk."""
+    """Numbers stretches of text; the words of a new one go to ``held``.
 
-    def __init__(self, chunk: Chunk, before: str) -> None:
+    Nothing here points back at its owner: a chunk goes as soon as it is no longer named, not at a later collection.
+    """
+
+    def __init__(self, held: Stretches, before: str) -> None:
         super().__init__()
-        self.chunk, self.before = chunk, before
+        self.held, self.before = held, before
 
     def __missing__(self, part: str) -> int:
-        self[part] = number = self.chunk.new(part, self.before)
+        self[part] = number = self.held.new(part, self.before)
         return number
 
 
 class Chunk:
-    """The distinct words of some texts, and each text as stretches between spaces where a cut is safe.
-
-    Word numbers of all stretches stand in one flat array; a stretch is looked up once.
-    """
+    """The distinct words of some texts, and each text as stretches between spaces where a cut is safe; a stretch is looked up once."""
 
     def __init__(self) -> None:
-        self.words = Numbers()
-        self.flat, self.starts = array("q"), array("q", [0])
-        self.first, self.rest = Parts(self, ""), Parts(self, " ")
+        self.held = Stretches()
+        self.words = self.held.words
+        self.first, self.rest = Parts(self.held, ""), Parts(self.held, " ")
         self.texts: list[np.ndarray] = []
         self.size = 0
 
-    def new(self, text: str, before: str = "") -> int:
-        self.flat.extend([self.words[w] for w in words_of(text, before)])
-        self.starts.append(len(self.flat))
-        return len(self.starts) - 2
-
     def add(self, text: str) -> None:
         if UNSAFE.search(text):
-            parts = [self.new(text)]
+            parts = [self.held.new(text)]
         else:
             first, *rest = text.split(" ")
             parts = [self.first[first], *map(self.rest.__getitem__, rest)]
@@ -154,7 +162,7 @@ class Chunk:
 
     def coded(self) -> Iterator[np.ndarray]:
         """Word numbers of each text."""
-        flat, starts = np.frombuffer(self.flat, np.int64), np.frombuffer(self.starts, np.int64)
+        flat, starts = np.frombuffer(self.held.flat, np.int64), np.frombuffer(self.held.starts, np.int64)
         for parts in self.texts:
             yield ragged(flat, starts, parts)
 
@@ -241,9 +249,9 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     Null texts are empty and give no ids. Repeated rows stay, extra columns are ignored, an empty table gives an
     empty one. ``docs`` is read twice and must give the same partitions both times, as files do.
     """
-    spark = small_batches(docs.sparkSession)
-    buckets = shuffles(spark)
+    small_batches(docs.sparkSession)
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    buckets = spread(narrow)
 
     def assemble(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         chunk, last, held = None, -1, []

@@ -12,12 +12,9 @@ from pyspark.sql.window import Window
 BATCH_ROWS = 512
 
 
-def small_batches(spark: SparkSession) -> SparkSession:
-    """Hand rows to Python in batches of few rows, so that a batch of long texts fits a worker.
-
-    All operators set the same number, so none changes how a query built earlier runs.
-    """
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def small_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> SparkSession:
+    """Hand texts to Python in batches of few rows, so that a batch of long ones fits a worker."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     return spark
 
 
@@ -25,6 +22,15 @@ def shuffles(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spread(df: DataFrame, per_task: int = 64 << 20) -> int:
+    """Tasks for a shuffle of ``df``: the session's number, more when its rows would exceed ``per_task`` bytes each.
+
+    The size is the optimizer's estimate, for files their length; an unknown one is given as a huge one.
+    """
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(shuffles(df.sparkSession), min(-(-size // per_task), 100_000) if size < 1 << 60 else 1)
+
+
 def numbered(df: DataFrame, within: list[str], order: list[Column], name: str = "number") -> DataFrame:
     """Number the rows of every key ``within`` from 0 without gaps, whatever the size of a key.
 
@@ -32,7 +38,7 @@ def numbered(df: DataFrame, within: list[str], order: list[Column], name: str =
     the count of the key's rows in earlier pieces. No task gets a whole key. ``df`` is read twice.
     Rows that are equal in ``order`` and ``within`` must be equal in all columns that matter.
     """
-    n = shuffles(df.sparkSession)
+    n = spread(df)
     dealt = df.withColumn("_piece", F.pmod(F.xxhash64(*order), F.lit(4 * n)))
     keys = ["_piece", *within]
     counts = dealt.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
