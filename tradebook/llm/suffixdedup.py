@@ -5,8 +5,8 @@ smallest hash. Equal strings hold equal anchors at equal places, so only suffixe
 be compared. Neighbouring strings with the same anchor make one segment.
 
 1. Each text gives its segments as narrow rows: anchor, digest of the segment, place.
-2. Rows are counted by (anchor, digest), copies first inside each task. A segment that occurs twice
-   is covered whole.
+2. Anchors are counted, copies first inside each task; segments whose anchor occurs once are done. The others are counted
+   by (anchor, digest): a segment that occurs twice is covered whole.
 3. Segments that differ around an equal anchor are fetched from the texts. In batches they get suffix arrays
    over their first ``length`` bytes, which are merge-scanned against the levels of a family; levels of like size
    merge. Anchors with more kinds of segments than one task should hold go by digests of the strings,
@@ -24,7 +24,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tradebook.llm.book import register, table
 from tradebook.llm.common import small_batches
@@ -245,13 +244,16 @@ def repeated_places(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, kin
     """Places (doc, key, start, stop) covering every byte of ``docs`` (doc, key, text) that lies in a string of
     ``length`` bytes that starts somewhere else, too. Places may touch and overlap."""
     segments = pinned(segment_rows(docs.select("doc", "text").where(F.octet_length("text") >= length), length, gram))
-    counts = pinned(segments.groupBy("anchor", "digest").agg(
+    # most anchors occur once: they are counted first, by themselves, and only the others go on
+    again = pinned(segments.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("anchor"))
+    met = pinned(segments.join(again, "anchor", "left_semi"))
+    counts = pinned(met.groupBy("anchor", "digest").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct("doc", "key", "span")).alias("one")
     ))
-    whole = segments.join(counts.where("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi")
+    whole = met.join(counts.where("n > 1").select("anchor", "digest"), ["anchor", "digest"], "left_semi")
     # an anchor of one kind is settled; of several, all kinds meet
-    of_anchor = Window.partitionBy("anchor")
-    several = counts.withColumn("kinds", F.count(F.lit(1)).over(of_anchor)).where("kinds > 1")
+    mixed = counts.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
+    several = counts.join(mixed, "anchor")
     found = pinned(fetched(docs, several.select("one.*", "anchor", "kinds"), length))
     narrow = found.select("anchor", "doc", "key", "first", "raw")
     last = F.shiftright("span", 24) + F.shiftright("span", 12).bitwiseAND(F.lit(0xFFF))
@@ -307,7 +309,7 @@ def kept_parts(raw: bytes, starts: np.ndarray | None, stops: np.ndarray | None)
     return b"".join(parts), len(first)
 
 
-def cut_column(result: str, make: Callable[[bytes, bytes, int], object]):
+def cut_column(result: str, make: Callable[[bytes, bytes, int], object], words: int = 0):
     """A column function of (text, _starts, _stops) whose values ``make`` gives from the text, the kept bytes and the runs."""
     @F.pandas_udf(result)
     def cut(parts: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
@@ -315,20 +317,29 @@ def cut_column(result: str, make: Callable[[bytes, bytes, int], object]):
             rows = []
             for text, a, z in zip(texts, starts, stops):
                 raw = (text or "").encode()
-                rows.append(make(raw, *kept_parts(raw, a, z)))
+                rows.append(make(raw, *kept_parts(raw, *wordy(raw, a, z, words))))
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in result.split(", ")])
 
     return cut
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """``docs`` with repeated bytes cut out of the texts and ``n_chars``, if there, counted anew.
+def wordy(raw: bytes, starts: np.ndarray | None, stops: np.ndarray | None, words: int) -> tuple[np.ndarray, np.ndarray] | tuple[None, None]:
+    """The union of the places, without runs of fewer than ``words`` words."""
+    if starts is None or not len(starts):
+        return None, None
+    first, end = covered(np.asarray(starts), np.asarray(stops))
+    long = [len(raw[a:z].split()) >= words for a, z in zip(first.tolist(), end.tolist())]
+    return first[long], end[long]
+
+
+def without_repeats(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, words: int = 0) -> DataFrame:
+    """``docs`` with bytes of repeated strings of ``length`` bytes cut out of the texts and ``n_chars``, if there, counted anew.
 
-    Characters that lose some of their bytes go whole. Rows all of whose text repeats stay, with an
-    empty text; null texts stay null. All rows and columns stay.
+    Only runs of such bytes with ``words`` words or more are cut. Characters that lose some of their bytes go whole.
+    Rows all of whose text repeats stay, with an empty text; null texts stay null. All rows and columns stay.
     """
-    cut = cut_column("text string, n long", lambda raw, kept, n: (kept.decode(errors="ignore"), n))
-    done = with_places(docs).withColumn("_llm_cut", cut("text", "_llm_starts", "_llm_stops"))
+    cut = cut_column("text string, n long", lambda raw, kept, n: (kept.decode(errors="ignore"), n), words)
+    done = with_places(docs, length, gram).withColumn("_llm_cut", cut("text", "_llm_starts", "_llm_stops"))
     text = F.when(F.col("text").isNotNull(), F.col("_llm_cut.text"))
     changed = {"text": text, "n_chars": F.when(F.col("_llm_cut.n") > 0, F.length(text).cast("long")).otherwise(F.col("n_chars"))} \
         if "n_chars" in docs.columns else {"text": text}
@@ -336,11 +347,11 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op3_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    """What stays of every document once each byte inside a repeated 400-byte string is gone."""
+    """What stays of every document once each byte inside a repeated 400-byte string is gone; ``text`` without characters cut in two."""
     docs = with_places(table(spark, sf_dir, "documents").select("doc_id", "text"))
     cut = cut_column(
-        "n_bytes long, n_removed long, n_spans long, kept_sha256 string",
-        lambda raw, kept, n: (len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest()),
+        "n_bytes long, n_removed long, n_spans long, kept_sha256 string, text string",
+        lambda raw, kept, n: (len(raw), len(raw) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept.decode(errors="ignore")),
     )
     return docs.withColumn("_llm_cut", cut("text", "_llm_starts", "_llm_stops")).select("doc_id", "_llm_cut.*")
 
