@@ -14,24 +14,43 @@ from tradebook.llm.simhash import MOST, SHINGLE, one_of_each
 from tradebook.llm.suffixdedup import without_repeats
 from tradebook.session import pinned
 
+#: Bytes of a string that counts as repeated, its anchor's bytes, and the words a repeated run must have to go.
+PASSAGE = 200
+PASSAGE_GRAM = 50
+PASSAGE_WORDS = 51
+
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a language that can be told; null texts, texts without letters and doubtful ones go."""
+    """Documents in a language that can be told; null texts, texts without letters and doubtful ones go.
+
+    Repeated rows are judged alike, an empty table stays empty, extra columns stay.
+    """
     return accepted(docs)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the smallest doc_id."""
+    """One document of each group of near copies: the smallest doc_id.
+
+    Rows without doc_id stay, rows that repeat doc_id and text become one, an empty table stays empty, extra columns stay.
+    """
     return one_of_each(docs, SHINGLE, MOST)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the bytes that repeat; n_chars follows the text."""
-    return without_repeats(docs)
+    """All documents, without passages of over 50 words that occur again; n_chars follows the text.
+
+    What repeats is found by strings of PASSAGE bytes, and cut where a run of it has PASSAGE_WORDS words: shorter
+    common lines stay. Both copies go, also inside one text. Null texts stay null, a text that is all repeated becomes empty,
+    extra columns stay, an empty table stays empty; rows equal in doc_id and text are copies of each other.
+    """
+    return without_repeats(docs, PASSAGE, PASSAGE_GRAM, PASSAGE_WORDS)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token pieces with their sequences and places."""
+    """The documents' token pieces with their sequences and places.
+
+    Null texts are one end token, repeated rows are packed as often as given, an empty table gives no pieces, extra columns go.
+    """
     return packed_documents(docs)
 
 
