@@ -29,7 +29,7 @@ def has_letter(text: str | None) -> bool:
 
 
 def grams(text: str) -> Iterator[np.ndarray]:
-    """Bucket numbers of all n-grams of the lower-cased text, spaces and digits folded."""
+    """Bucket numbers of all n-grams of the lower-cased text."""
     points = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), dtype="<u4")
     for at in range(0, len(points), PIECE):
         piece = points[at:at + PIECE + max(GRAMS) - 1].astype(np.uint64)

@@ -18,7 +18,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tradebook.llm.book import register, table
 from tradebook.llm.common import concatenated, shuffles, small_batches
@@ -53,8 +52,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int(np.packbits(bits, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp long: the 64 bits as a signed number) of every row of ``docs``."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, *more: str) -> DataFrame:
+    """(doc_id, fp long: the 64 bits as a signed number) of every row of ``docs``, and the columns ``more``."""
     small_batches(docs.sparkSession)
 
     @F.pandas_udf("long")
@@ -62,7 +61,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
         for texts in parts:
             yield pd.Series(np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64))
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), sign("text").alias("fp"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), sign("text").alias("fp"), *more)
 
 
 def bits_of(fps: np.ndarray) -> np.ndarray:
@@ -243,6 +242,16 @@ def links(distinct: DataFrame, most: int = MOST, block: int = BLOCK) -> DataFram
     return spread.mapInPandas(judge, "a long, b long").distinct()
 
 
+def grouped(rows: DataFrame, most: int = MOST) -> DataFrame:
+    """``rows`` (doc_id, fp and more) plus ``component_id`` and the fingerprint ``root`` that is one to a component."""
+    distinct = pinned(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
+    roots = components(links(distinct.select("fp"), most)).withColumnRenamed("node", "fp")
+    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
+    labels = rooted.join(named, "root").select(F.col("fp").alias("_fp"), "component_id", "root")
+    return rows.join(labels, rows["fp"] == labels["_fp"]).select(*rows.columns, "component_id", "root")
+
+
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
     """``doc_id``, ``fp`` and ``component_id`` of every row of ``docs`` (doc_id, text).
 
@@ -250,26 +259,22 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> Da
     share fingerprint 0. Repeated rows stay; rows without doc_id get a component but never name one.
     Other columns are ignored. An empty table gives an empty one.
     """
-    rows = pinned(fingerprints(docs, shingle))
-    distinct = pinned(rows.groupBy("fp").agg(F.min("doc_id").alias("low")))
-    roots = components(links(distinct.select("fp"), most)).withColumnRenamed("node", "fp")
-    rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    named = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    labels = rooted.join(named, "root").select(F.col("fp").alias("_fp"), "component_id")
-    return rows.join(labels, rows["fp"] == labels["_fp"]).select("doc_id", "fp", "component_id")
+    return grouped(pinned(fingerprints(docs, shingle)), most).drop("root")
 
 
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, most: int = MOST) -> DataFrame:
-    """``docs`` with one row of each near-duplicate group: the smallest doc_id, its first text if it is repeated.
+    """``docs`` with one row of each near-duplicate group: the one that gives the group its smallest doc_id.
 
-    Rows without doc_id are kept: nothing names them. All columns stay.
+    A doc_id with different texts is judged text by text; one group keeps one of them. Rows that repeat doc_id and text
+    become one. Rows without doc_id are kept: nothing names them. All columns stay.
     """
-    groups = near_groups(docs, shingle, most)
-    keep = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_llm_kept")).distinct()
-    kept = docs.join(keep, docs["doc_id"] == keep["_llm_kept"], "left_semi")
-    order = Window.partitionBy("doc_id").orderBy("text")
-    first = kept.withColumn("_llm_n", F.row_number().over(order)).where("_llm_n = 1").select(*docs.columns)
-    return first.unionByName(docs.where("doc_id is null"))
+    named = docs.withColumn("_llm_name", F.xxhash64("text"))
+    groups = grouped(pinned(fingerprints(named, shingle, "_llm_name")), most)
+    # a doc_id may name rows of several groups: what is kept is the row, not the doc_id
+    keep = groups.where("doc_id = component_id").groupBy("root").agg(F.min(F.struct("doc_id", "_llm_name")).alias("own"))
+    match = (named["doc_id"] == F.col("own.doc_id")) & (named["_llm_name"] == F.col("own._llm_name"))
+    kept = named.join(keep, match, "left_semi").dropDuplicates(["doc_id", "_llm_name"])
+    return kept.select(*docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def op8_simhash(spark, sf_dir: str) -> DataFrame:
