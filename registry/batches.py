@@ -228,30 +228,60 @@ change("create_clients", lambda d: registers.create_clients(d, d.client_requests
 })
 
 
-def _client_updates(d):
-    return d.client_requests.withColumn("id", F.when(F.col("request_id") % 47 == 0, F.lit(-1)).otherwise(F.col("request_id")))
-
-
-_UPDATES = "updates AS (SELECT *, CASE WHEN request_id % 47 = 0 THEN -1 ELSE request_id END AS id FROM client_requests)"
-# Own keys do not collide, so the base holds only keys of other clients: judged row by row.
-_UPDATE_VERDICT = f"""{_UPDATES}, bad AS ({bad_ids(CLIENTS_SQL)}),
-  judged AS (SELECT u.*, CASE WHEN request_id IN (SELECT request_id FROM bad) THEN 'invalid' WHEN {FAR_CLIENT} THEN 'out_of_range'
-      WHEN EXISTS (SELECT 1 FROM clients c WHERE c.mb = u.mb AND c.id <> u.id) OR EXISTS (SELECT 1 FROM clients c WHERE c.pib = u.pib AND c.id <> u.id) THEN 'duplicate'
-      WHEN u.id NOT IN (SELECT id FROM clients) THEN 'not_found' END AS reason0 FROM updates u),
-  open1 AS (SELECT *, row_number() OVER (PARTITION BY mb ORDER BY request_id) AS ra, row_number() OVER (PARTITION BY pib ORDER BY request_id) AS rb FROM judged WHERE reason0 IS NULL),
-  won1 AS (SELECT * FROM open1 WHERE ra = 1 AND rb = 1),
-  open2 AS (SELECT request_id, row_number() OVER (PARTITION BY mb ORDER BY request_id) AS ra, row_number() OVER (PARTITION BY pib ORDER BY request_id) AS rb FROM open1
-            WHERE mb NOT IN (SELECT mb FROM won1) AND pib NOT IN (SELECT pib FROM won1)),
-  won AS (SELECT request_id FROM won1 UNION ALL SELECT request_id FROM open2 WHERE ra = 1 AND rb = 1),
-  verdict AS (SELECT j.*, CASE WHEN reason0 IS NOT NULL THEN reason0 WHEN request_id NOT IN (SELECT request_id FROM won) THEN 'duplicate' END AS reason FROM judged j)"""
-change("update_clients", lambda d: registers.update_clients(d, _client_updates(d), NOW), {
+def in_turn_sql(judged: str, keys: list[str], base: str, reason: str, sparse: bool = False) -> str:
+    """Updates taken one by one: each step of the recursion takes the next request and carries the present keys of
+    all rows changed so far. ``judged`` gives the requests with ``reason0``; the result is ``verdict``."""
+    own = ", ".join(f"j.{k}" for k in keys)
+    held = " UNION ALL ".join(f"SELECT j.request_id, b.id AS holder FROM judged j JOIN {base} b ON b.{k} = j.{k} AND b.id <> j.id" for k in keys)
+    same = " OR ".join(f"coalesce(x.k[{i}] = k[{i}], false)" for i in range(1, len(keys) + 1))
+    given = f"[coalesce(k[1], list_filter(now, lambda x: x.id = own)[1].k[1], (SELECT b.{keys[0]} FROM {base} b WHERE b.id = own))]" if sparse else "k"
+    return f"""judged AS ({judged}),
+  held AS (SELECT request_id, list(DISTINCT holder) AS holders FROM ({held}) GROUP BY request_id),
+  asked AS MATERIALIZED (SELECT row_number() OVER (ORDER BY j.request_id) AS n, j.request_id, j.id AS own, j.id IN (SELECT id FROM {base}) AS there,
+      [{own}] AS k, coalesce(h.holders, []) AS holders FROM judged j LEFT JOIN held h ON h.request_id = j.request_id WHERE reason0 IS NULL),
+  walk AS (SELECT cast(0 AS bigint) AS n, cast([] AS STRUCT(id BIGINT, k VARCHAR[])[]) AS now, cast(NULL AS bigint) AS met
+    UNION ALL
+    SELECT n, CASE WHEN bad OR NOT there THEN now ELSE list_append(list_filter(now, lambda x: x.id <> own), {{'id': own, 'k': {given}}}) END, CASE WHEN bad THEN request_id END
+    FROM (SELECT a.*, w.now, len(list_filter(w.now, lambda x: x.id <> own AND ({same}))) > 0
+            OR len(list_filter(holders, lambda h: NOT list_contains(moved, h))) > 0 AS bad
+          FROM (SELECT *, list_transform(now, lambda x: x.id) AS moved FROM walk) w JOIN asked a ON a.n = w.n + 1)),
+  verdict AS (SELECT j.*, CASE WHEN reason0 IS NOT NULL THEN reason0 WHEN request_id IN (SELECT met FROM walk WHERE met IS NOT NULL) THEN '{reason}'
+      WHEN id NOT IN (SELECT id FROM {base}) THEN 'not_found' END AS reason FROM judged j)"""
+
+
+def _aimed(target: str, key: str, form: str) -> dict[str, str]:
+    """Every fifth request of ten aims at the row after its own; the third wants a key that the row before may have
+    given up by then, the seventh one that the row after still has."""
+    return {
+        "id": f"CASE WHEN request_id % {target} = 0 THEN -1 WHEN request_id % 10 = 5 THEN request_id + 1 ELSE request_id END",
+        key: f"CASE request_id % 10 WHEN 3 THEN {form.format('request_id - 1')} WHEN 7 THEN {form.format('request_id + 1')} ELSE {key} END",
+    }
+
+
+def _shifted(df, columns: dict[str, str]):
+    return df.withColumns({c: F.expr(text) for c, text in columns.items()})
+
+
+def _shifted_sql(table: str, columns: dict[str, str]) -> str:
+    held = ", ".join(f"{text} AS {c}" for c, text in columns.items() if c != "id")
+    return f"SELECT * REPLACE ({held}), {columns['id']} AS id FROM {table}"
+
+
+_CLIENT_AIMS = _aimed("47", "mb", "lpad(cast({} AS string), 8, '0')")
+_UPDATE_VERDICT = "RECURSIVE updates AS (" + _shifted_sql("client_requests", _CLIENT_AIMS) + f"""), bad AS ({bad_ids(CLIENTS_SQL)}),
+  """ + in_turn_sql(f"""SELECT u.*, CASE WHEN request_id IN (SELECT request_id FROM bad) THEN 'invalid' WHEN {FAR_CLIENT} THEN 'out_of_range' END AS reason0
+      FROM updates u""", ["mb", "pib"], "clients", "duplicate") + """,
+  last AS (SELECT * FROM verdict WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY request_id DESC) = 1)"""
+change("update_clients", lambda d: registers.update_clients(d, _shifted(d.client_requests, _CLIENT_AIMS), NOW), {
     "": (state("clients", "id", "name", "mb", "pib", "city", "email", "installment_payment", "installment_term", "updated_at"), f"""WITH {_UPDATE_VERDICT}
         SELECT c.id, CASE WHEN g.id IS NULL THEN c.name ELSE trim(g.name) END AS name, coalesce(g.mb, c.mb) AS mb, coalesce(g.pib, c.pib) AS pib,
                CASE WHEN g.id IS NULL THEN c.city END AS city, CASE WHEN g.id IS NULL THEN c.email ELSE lower(g.email) END AS email,
                CASE WHEN g.id IS NULL THEN c.installment_payment ELSE false END AS installment_payment,
                CASE WHEN g.id IS NULL THEN c.installment_term ELSE try_cast(g.installment_term AS int) END AS installment_term,
                CASE WHEN g.id IS NOT NULL THEN {NOW_SQL} END AS updated_at
-        FROM clients c LEFT JOIN (SELECT * FROM verdict WHERE reason IS NULL) g ON g.id = c.id"""),
+        FROM clients c LEFT JOIN last g ON g.id = c.id"""),
+    "activity": (lambda c: c.activity.select("request_id", "action"), f"""WITH {_UPDATE_VERDICT}
+        SELECT request_id, 'Updated client: ' || trim(name) AS action FROM verdict WHERE reason IS NULL"""),
     "rejected": (refused, f"WITH {_UPDATE_VERDICT} SELECT request_id, reason FROM verdict WHERE reason IS NOT NULL"),
 })
 
@@ -320,24 +350,18 @@ register(
 )
 
 
-def _product_updates(d):
-    """Each request aims at the product of its own number; sevenths at the next one, so some meet."""
-    target = F.when(F.col("request_id") % 7 == 0, F.col("request_id") + 1).when(F.col("request_id") % 41 == 0, F.lit(-1)).otherwise(F.col("request_id"))
-    return d.product_requests.withColumn("id", target)
-
-
-_PRODUCT_UPDATES = f"""updates AS (SELECT *, CASE WHEN request_id % 7 = 0 THEN request_id + 1 WHEN request_id % 41 = 0 THEN -1 ELSE request_id END AS id FROM product_requests),
-  bad AS ({bad_ids(PRODUCTS_SQL)}),
-  judged AS (SELECT u.*, CASE WHEN request_id IN (SELECT request_id FROM bad) THEN 'invalid' WHEN {FAR_PRODUCT} THEN 'out_of_range'
-      WHEN EXISTS (SELECT 1 FROM products p WHERE p.code = u.code AND p.id <> u.id) THEN 'duplicate_code' WHEN u.id NOT IN (SELECT id FROM products) THEN 'not_found' END AS reason0 FROM updates u),
-  single AS (SELECT *, CASE WHEN reason0 IS NOT NULL THEN reason0 WHEN row_number() OVER (PARTITION BY id, reason0 IS NULL ORDER BY request_id) > 1 THEN 'repeated' END AS reason1 FROM judged),
-  verdict AS (SELECT *, CASE WHEN reason1 IS NOT NULL THEN reason1 WHEN row_number() OVER (PARTITION BY code, reason1 IS NULL ORDER BY request_id) > 1 THEN 'duplicate_code' END AS reason FROM single)"""
-change("update_products", lambda d: registers.update_products(d, _product_updates(d), NOW), {
+_PRODUCT_AIMS = _aimed("41", "code", "concat('P', lpad(cast({} AS string), 8, '0'))")
+_PRODUCT_UPDATES = "RECURSIVE updates AS (" + _shifted_sql("product_requests", _PRODUCT_AIMS) + f"""), bad AS ({bad_ids(PRODUCTS_SQL)}),
+  """ + in_turn_sql(f"""SELECT u.*, CASE WHEN request_id IN (SELECT request_id FROM bad) THEN 'invalid' WHEN {FAR_PRODUCT} THEN 'out_of_range' END AS reason0
+      FROM updates u""", ["code"], "products", "duplicate_code") + """,
+  weights AS (SELECT id, max_by(weight, request_id) FILTER (WHERE weight IS NOT NULL) AS w FROM verdict WHERE reason IS NULL GROUP BY id),
+  last AS (SELECT v.*, w FROM verdict v JOIN weights USING (id) WHERE reason IS NULL QUALIFY row_number() OVER (PARTITION BY v.id ORDER BY request_id DESC) = 1)"""
+change("update_products", lambda d: registers.update_products(d, _shifted(d.product_requests, _PRODUCT_AIMS), NOW), {
     "": (state("products", *_PRODUCT), f"""WITH {_PRODUCT_UPDATES}
         SELECT p.id, coalesce(g.code, p.code) AS code, coalesce(g.name, p.name) AS name, coalesce(try_cast(g.price AS decimal(10,2)), p.price) AS price,
-               coalesce(try_cast(g.weight AS decimal(8,2)), p.weight) AS weight, CASE WHEN g.id IS NULL THEN p.category END AS category,
+               coalesce(try_cast(g.w AS decimal(8,2)), p.weight) AS weight, CASE WHEN g.id IS NULL THEN p.category END AS category,
                CASE WHEN g.id IS NULL THEN p.is_active ELSE true END AS is_active, CASE WHEN g.id IS NOT NULL THEN {NOW_SQL} END AS updated_at
-        FROM products p LEFT JOIN (SELECT * FROM verdict WHERE reason IS NULL) g ON g.id = p.id"""),
+        FROM products p LEFT JOIN last g ON g.id = p.id"""),
     "rejected": (refused, f"WITH {_PRODUCT_UPDATES} SELECT request_id, reason FROM verdict WHERE reason IS NOT NULL"),
 })
 
@@ -440,19 +464,22 @@ change("create_users", lambda d: registers.create_users(d, d.user_requests, NOW,
 })
 
 
+# The third request of ten wants the address given to the user before, the fourth one that its user gave up by then.
+_ADDRESS = """CASE WHEN request_id % 10 = 3 THEN concat('u', cast(request_id + 99 AS string), '@example.com')
+    WHEN request_id % 10 = 4 AND request_id > 200 THEN concat('u', cast(request_id - 63 AS string), '@example.com') ELSE email END"""
+
+
 def _user_patches(d):
     return d.user_requests.select(
-        "request_id", (F.col("request_id") % 160).alias("id"), "email",
+        "request_id", (F.col("request_id") % 160).alias("id"), F.expr(_ADDRESS).alias("email"),
         F.when(F.col("request_id") % 2 == 0, F.col("full_name")).alias("full_name"),
         F.when(F.col("request_id") % 9 == 0, F.lit('{"clients":true}')).alias("permissions"))
 
 
-_USER_PATCHES = """patches AS (SELECT request_id, request_id % 160 AS id, email, CASE WHEN request_id % 2 = 0 THEN full_name END AS full_name,
-      CASE WHEN request_id % 9 = 0 THEN '{"clients":true}' END AS permissions FROM user_requests),
-  judged AS (SELECT p.*, CASE WHEN email IS NULL AND full_name IS NULL AND permissions IS NULL THEN 'no_fields' WHEN id NOT IN (SELECT id FROM users) THEN 'not_found'
-      WHEN EXISTS (SELECT 1 FROM users u WHERE u.email = p.email AND u.id <> p.id) THEN 'duplicate' END AS reason0 FROM patches p),
-  verdict AS (SELECT *, CASE WHEN reason0 IS NOT NULL THEN reason0
-      WHEN email IS NOT NULL AND id <> first_value(id) OVER (PARTITION BY email, reason0 IS NULL ORDER BY request_id) THEN 'duplicate' END AS reason FROM judged),
+_USER_PATCHES = f"""RECURSIVE patches AS (SELECT request_id, request_id % 160 AS id, {_ADDRESS} AS email, CASE WHEN request_id % 2 = 0 THEN full_name END AS full_name,
+      CASE WHEN request_id % 9 = 0 THEN '{{"clients":true}}' END AS permissions FROM user_requests),
+  """ + in_turn_sql("""SELECT p.*, CASE WHEN email IS NULL AND full_name IS NULL AND permissions IS NULL THEN 'no_fields'
+      WHEN id NOT IN (SELECT id FROM users) THEN 'not_found' END AS reason0 FROM patches p""", ["email"], "users", "duplicate", sparse=True) + """,
   last AS (SELECT id, max_by(email, request_id) FILTER (WHERE email IS NOT NULL) AS e, max_by(full_name, request_id) FILTER (WHERE full_name IS NOT NULL) AS f,
       max_by(permissions, request_id) FILTER (WHERE permissions IS NOT NULL) AS p FROM verdict WHERE reason IS NULL GROUP BY id)"""
 change("patch_users", lambda d: registers.patch_users(d, _user_patches(d), NOW), {

@@ -310,6 +310,8 @@ def with_views(sql: str) -> str:
     """Prefix an oracle query with the CTEs it reads."""
     ctes = [f"{name} AS ({VIEWS[name].strip()})" for name in _needed(sql, {})]
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return "WITH RECURSIVE " + ",\n".join([*ctes, body[15:]])
     if body.upper().startswith("WITH "):
         ctes, body = [*ctes, body[5:]], None
         return "WITH " + ",\n".join(ctes)

@@ -161,8 +161,8 @@ def test_update_clients(spark, t):
         ("r3", "c1", "Clash", "N", "22", "99", "b", None), ("r4", "c9", "None", "N", "77", "78", "b", None)],
         "request_id string, id string, " + CLIENT)
     made = registers.update_clients(t, asked, NOW)
-    assert reasons(made) == {"r2": "repeated", "r3": "duplicate", "r4": "not_found"}
-    assert rows(made.rows["clients"], "id", "name", "pib", "city", "bar", "updated_at") == [("c2", "New", "24", None, False, NOW)]
+    assert reasons(made) == {"r3": "duplicate", "r4": "not_found"}
+    assert rows(made.rows["clients"], "id", "name", "pib", "city", "bar", "updated_at") == [("c2", "Late", "24", None, False, NOW)]
     assert made.tables["clients"].count() == 2
 
 

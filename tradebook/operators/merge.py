@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradebook.session import pinned
+from tradebook.operators.claims import clashes
 
 
 def one_per_key(df: DataFrame, keys: Sequence[str], order: str, last: bool = False) -> DataFrame:
@@ -77,44 +77,17 @@ def taken(requests: DataFrame, base: DataFrame, keys: Sequence[str], own: str |
     return functools.reduce(DataFrame.unionByName, hits).distinct()
 
 
-def _leads(pending: DataFrame, key: str) -> DataFrame:
-    """Requests that come first on ``key`` among the pending ones, or have no such key."""
-    first = (
-        pending.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("request_id").alias("request_id"))
-    )
-    return first.select("request_id").unionByName(
-        pending.filter(F.col(key).isNull()).select("request_id")
-    )
-
-
-def _sharing(slim: DataFrame, key: str) -> DataFrame:
-    """Ids of requests whose key occurs more than once."""
-    often = slim.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    return slim.join(often.filter("_n > 1").select(key), key, "left_semi").select("request_id")
-
-
 def first_come(requests: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Ids of the requests that get through when taken one by one in ``request_id`` order.
 
     A request passes unless an earlier one that passed holds one of its keys. With one key that is
-    the first request of each key. With several, a request beaten on one key frees its other keys.
-    Requests that share no key pass at once. For the rest rounds repeat until nobody is left: each
-    round passes those that lead on every key and drops those that share a key with them. The lowest
-    pending request always leads, so it ends.
+    the first request of each key. With several, a request beaten on one key frees its other keys:
+    every request claims its keys for a row of its own.
     """
-    slim = requests.select("request_id", *keys)
     if len(keys) == 1:
-        return _leads(slim, keys[0])
-    shared = functools.reduce(DataFrame.unionByName, [_sharing(slim, key) for key in keys]).distinct()
-    passed = [slim.select("request_id").join(shared, "request_id", "left_anti")]
-    pending = pinned(slim.join(shared, "request_id", "left_semi"))
-    while not pending.isEmpty():
-        leading = functools.reduce(
-            lambda a, b: a.join(b, "request_id", "left_semi"), [_leads(pending, k) for k in keys]
-        )
-        winners = pinned(pending.join(leading, "request_id", "left_semi"))
-        passed.append(winners.select("request_id"))
-        for key in keys:
-            pending = pending.join(winners.select(key), key, "left_anti")
-        pending = pinned(pending.join(winners.select("request_id"), "request_id", "left_anti"))
-    return functools.reduce(DataFrame.unionByName, passed)
+        key = keys[0]
+        first = requests.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("request_id").alias("request_id"))
+        return first.select("request_id").unionByName(requests.filter(F.col(key).isNull()).select("request_id"))
+    slim = requests.select("request_id", *keys)
+    own = slim.withColumn("id", F.col("request_id").cast("string"))
+    return slim.select("request_id").join(clashes(own, None, keys), "request_id", "left_anti")

@@ -12,8 +12,9 @@ from tradebook.operators.changes import (
     Change, Ids, Tables, also, append_activity, compose, entries, inserted, invalid, not_in,
     out_of_range, rejections, removed, repeats, replaced, string_ids, system_entry, without,
 )
+from tradebook.operators.claims import clashes
 from tradebook.operators.joins import client_usage, line_usage
-from tradebook.operators.merge import first_come, taken
+from tradebook.operators.merge import first_come, one_per_key, taken
 from tradebook.operators.ordered import positions
 from tradebook.operators.quality import request_violations
 from tradebook.operators.stock import assignable
@@ -74,29 +75,34 @@ def create_clients(t: Tables, requests: DataFrame, now: dt.datetime, ids: Ids =
     return Change({"clients": state}, rejected, log, {"clients": rows})
 
 
+def _sequenced(
+    requests: DataFrame, base: DataFrame, keys: list[str], early: DataFrame, reason: str, sparse: bool = False
+) -> DataFrame:
+    """The verdict on updates of ``base`` taken one by one: ``early`` refusals, then a key that another row holds at
+    that moment, then rows that are not there. A request for a missing row changes nothing and is checked all the same."""
+    left = without(requests, early)
+    known = left.join(base.select("id", F.lit(True).alias("real")), "id", "left")
+    names = [r["reason"] for r in early.select("reason").distinct().collect()]  # a few fixed words
+    return rejections(*_kept(early, tuple(names)), (reason, clashes(known, base, keys, sparse)), ("not_found", not_in(left, base)))
+
+
 def update_clients(t: Tables, requests: DataFrame, now: dt.datetime) -> Change:
-    """Full replacement by id; refused when another client holds the mb or pib.
+    """Full replacement by id; refused when another client holds the mb or pib at that moment.
 
-    Keys are compared with the state before the batch. Only the first request on a client is taken;
-    later ones are rejected as 'repeated' and belong in the next batch.
+    Requests are taken one by one: a client may be updated several times, and keys it gives up are free for
+    later requests. The altered row is that of the last accepted request.
     """
     found = request_violations("clients", requests)
     requests = _clients(requests)
-    rejected = rejections(
-        ("invalid", invalid(found)), ("out_of_range", out_of_range(requests, CLIENT_KINDS)),
-        ("duplicate", taken(requests, t["clients"], ["mb", "pib"], own="id")),
-        ("not_found", not_in(requests, t["clients"])),
-    )
-    rejected = rejections(*_kept(rejected, ("invalid", "out_of_range", "duplicate", "not_found")),
-                          ("repeated", repeats(without(requests, rejected))))
-    passed = first_come(without(requests, rejected), ["mb", "pib"])
-    rejected = also(rejected, requests, passed, "duplicate")
+    early = rejections(("invalid", invalid(found)), ("out_of_range", out_of_range(requests, CLIENT_KINDS)))
+    rejected = _sequenced(requests, t["clients"], ["mb", "pib"], early, "duplicate")
     accepted = _typed_clients(without(requests, rejected))
     for column in CLIENT_UPDATE:
         if column not in accepted.columns:
             accepted = accepted.withColumn(column, F.lit(None).cast("string"))
     accepted = accepted.withColumns({c: F.coalesce(F.col(c).try_cast("boolean"), F.lit(False)) for c in CLIENT_FLAGS})
-    state, rows = replaced(t["clients"], "clients", accepted, CLIENT_UPDATE, now, keep_null=False)
+    last = one_per_key(accepted, ["id"], "request_id", last=True)
+    state, rows = replaced(t["clients"], "clients", last, CLIENT_UPDATE, now, keep_null=False)
     log = entries(accepted, F.concat(F.lit("Updated client: "), "name"), "client", "id", now)
     return Change({"clients": state}, rejected, log, {"clients": rows})
 
@@ -151,26 +157,19 @@ def create_products(t: Tables, requests: DataFrame, now: dt.datetime, ids: Ids =
 
 
 def update_products(t: Tables, requests: DataFrame, now: dt.datetime) -> Change:
-    """Replacement by id; weight and is_active stay when absent. One request per product, as in
-    ``update_clients``."""
+    """Replacement by id; weight and is_active stay when absent. Taken one by one, as in ``update_clients``."""
     found = request_violations("products", requests)
     requests = _products(requests)
-    rejected = rejections(
-        ("invalid", invalid(found)), ("out_of_range", out_of_range(requests, PRODUCT_KINDS)),
-        ("duplicate_code", taken(requests, t["products"], ["code"], own="id")),
-        ("not_found", not_in(requests, t["products"])),
-    )
-    rejected = rejections(*_kept(rejected, ("invalid", "out_of_range", "duplicate_code", "not_found")),
-                          ("repeated", repeats(without(requests, rejected))))
-    passed = first_come(without(requests, rejected), ["code"])
-    rejected = also(rejected, requests, passed, "duplicate_code")
+    early = rejections(("invalid", invalid(found)), ("out_of_range", out_of_range(requests, PRODUCT_KINDS)))
+    rejected = _sequenced(requests, t["products"], ["code"], early, "duplicate_code")
     accepted = _typed_products(without(requests, rejected))
     for column in ("weight", "category", "description", "is_active"):
         if column not in accepted.columns:
             accepted = accepted.withColumn(column, F.lit(None).cast("string"))
     base = t["products"]
     kept = base.select("id", F.col("weight").alias("_weight"), F.col("is_active").alias("_active"))
-    patch = accepted.join(kept, "id").withColumns({
+    last = one_per_key(accepted, ["id"], "request_id", last=True).drop("weight", "is_active")
+    patch = last.join(compose(accepted, ["weight", "is_active"]), "id").join(kept, "id").withColumns({
         "weight": F.coalesce("weight", "_weight"),
         "is_active": F.coalesce(F.col("is_active").try_cast("boolean"), "_active"),
     })
@@ -335,24 +334,14 @@ def create_users(
 def patch_users(t: Tables, requests: DataFrame, now: dt.datetime) -> Change:
     """Sparse patch of email and full_name; permissions are replaced whole when given.
 
-    An address belonging to another user, or given to another user earlier in the batch, is refused.
+    An address that another user has at that moment is refused; one that was given up earlier in the batch is free.
     """
     columns = [c for c in ("email", "full_name", "permissions") if c in requests.columns]
-    checks = [
-        ("no_fields", requests.filter(F.coalesce(*columns).isNull()).select("request_id")),
-        ("not_found", not_in(requests, t["users"])),
-    ]
+    rejected = rejections(
+        ("no_fields", requests.filter(F.coalesce(*columns).isNull()).select("request_id")), ("not_found", not_in(requests, t["users"])))
     if "email" in columns:
-        checks.append(("duplicate", taken(requests, t["users"], ["email"], own="id")))
-    rejected = rejections(*checks)
+        rejected = _sequenced(requests, t["users"], ["email"], rejected, "duplicate", sparse=True)
     accepted = without(requests, rejected)
-    if "email" in columns:
-        holder = accepted.filter(F.col("email").isNotNull()).groupBy("email").agg(
-            F.min_by("id", "request_id").alias("_holder"))
-        clash = accepted.join(holder, "email").filter(F.col("id") != F.col("_holder"))
-        rejected = rejections(*_kept(rejected, ("no_fields", "not_found", "duplicate")),
-                              ("duplicate", clash.select("request_id")))
-        accepted = without(requests, rejected)
     state, rows = replaced(t["users"], "users", compose(accepted, columns), columns, now)
     fields = [F.col(c) for c in ("email", "full_name") if c in columns]
     log = entries(accepted.filter(F.coalesce(*fields).isNotNull()) if fields else accepted.limit(0),
