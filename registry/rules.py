@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from registry.book import register
 from tradebook.operators import quality
 from tradebook.sources.model import SCHEMAS, ensure_columns
@@ -145,6 +147,29 @@ register("validate_clients", lambda d: quality.validate_clients(d.client_request
 register("validate_products", lambda d: quality.validate_products(d.product_requests), union(PRODUCTS_SQL))
 register("validate_invoices", lambda d: quality.validate_invoices(d.invoice_requests, d.invoice_request_lines), union(INVOICES_SQL))
 register("validate_deliveries", lambda d: quality.validate_deliveries(d.delivery_requests, d.invoice_request_lines), union(DELIVERIES_SQL))
+# Ids as text: most in the form of a UUID, one in seven without hyphens, one in eleven cut short.
+_TEXT_ID = """CASE WHEN {0} % 7 = 0 THEN concat('00000000000040008000', lpad(cast({0} AS string), 12, '0'))
+    WHEN {0} % 11 = 0 THEN concat('00000000-0000-4000-8000-', lpad(cast({0} AS string), 11, '0'))
+    WHEN {0} IS NOT NULL THEN concat('ABCDEF00-0000-4000-8000-', lpad(cast({0} AS string), 12, '0')) END"""
+
+
+def _text_ids(validate, requests: str):
+    """The requests with ids as text; a negative number makes no UUID either."""
+    return lambda d: validate(
+        d[requests].withColumn("client_id", F.expr(_TEXT_ID.format("client_id"))),
+        d.invoice_request_lines.withColumn("product_id", F.expr(_TEXT_ID.format("product_id")))).filter("rule LIKE '%_id_form'")
+
+
+def _text_ids_sql(requests: str, table: str) -> str:
+    odd = "({0} % 7 = 0 OR {0} % 11 = 0 OR {0} < 0)"
+    return f"""SELECT '{table}' AS "table", 'client_id_form' AS rule, cast(request_id AS varchar) AS row_id, {_TEXT_ID.format('client_id')} AS value
+        FROM {requests} WHERE {odd.format('client_id')}
+        UNION ALL SELECT '{table}', 'items_product_id_form', request_id || ':' || line_no, {_TEXT_ID.format('product_id')}
+        FROM invoice_request_lines WHERE {odd.format('product_id')}"""
+
+
+register("validate_invoices_text_ids", _text_ids(quality.validate_invoices, "invoice_requests"), _text_ids_sql("invoice_requests", "invoices"))
+register("validate_deliveries_text_ids", _text_ids(quality.validate_deliveries, "delivery_requests"), _text_ids_sql("delivery_requests", "deliveries"))
 register("validate_groups", lambda d: quality.validate_groups(d.group_requests), union(GROUPS_SQL))
 
 _SUMS = """(SELECT i.id, i.subtotal, i.vat_amount, i.total, cast(coalesce(sum(l.total_price), 0) AS decimal(18,2)) AS s, i.vat_rate

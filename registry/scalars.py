@@ -27,6 +27,47 @@ register(
               'Created client: ' || legal_name AS sentence, replace(legal_name, '#', '""') AS quoted,
               coalesce(try_cast(installment_term AS hugeint) >= 1, false) AS is_term FROM client_requests""",
 )
+# Given text, its normal form, and whether it reads as an address: every family of hosts, and hosts that only look like one.
+_ADDRESSES = [
+    ("A.B+t@Gmail.com", "ab@gmail.com", True), ("x.y@GoogleMail.com", "xy@gmail.com", True), ("q.r+t@Outlook.com", "q.r@outlook.com", True),
+    ("q+t@hotmail.co.uk", "q@hotmail.co.uk", True), ("q+t@msn.com", "q@msn.com", True), ("q+t@live.nl", "q@live.nl", True),
+    ("a+x@me.example.com", "a+x@me.example.com", True), ("a+y@live.example.org", "a+y@live.example.org", True),
+    ("a+z@hotmail.example", "a+z@hotmail.example", True), ("k.l+z@iCloud.com", "k.l@icloud.com", True), ("k+z@me.com", "k@me.com", True),
+    ("a-b-c@yahoo.com", "a-b@yahoo.com", True), ("a-b+c@ymail.com", "a@ymail.com", True), ("a-b@yahoo.example.com", "a-b@yahoo.example.com", True),
+    ("a-b@yahoo.com.example", "a-b@yahoo.com.example", True), ("W.v+t@Ya.ru", "w.v+t@yandex.ru", True), ("w@yandex.kz", "w@yandex.ru", True),
+    ("w@yandex.example", "w@yandex.example", True), (" U.V+w@Example.COM ", "u.v+w@example.com", False), ("+t@gmail.com", "+t@gmail.com", True),
+    ("no address", "no address", False), ("a..b@example.com", "a..b@example.com", False), ("a@b", "a@b", False),
+    ("a@-b.com", "a@-b.com", False), (None, None, False),
+]
+_LINKS = [
+    ("http://a.co/x?y", True), ("ftp://a.b.co:21/z", True), ("a.co", True), ("htp:/bad", False), ("https://a", False),
+    ("https://a.co/with space", False), ("javascript:alert(1)", False), ("https://-a.co", False), ("https://a.co#top", True),
+]
+_UUIDS = [
+    ("123e4567-e89b-12d3-a456-426614174000", True), ("123E4567-E89B-12D3-A456-42661417400F", True), ("123e4567e89b12d3a456426614174000", False),
+    ("{123e4567-e89b-12d3-a456-426614174000}", False), ("123e4567-e89b-12d3-a456-42661417400g", False), ("", False), (None, False),
+]
+
+
+def _text(value: object) -> str:
+    return "NULL" if value is None else str(value).lower() if isinstance(value, bool) else f"'{value}'"
+
+
+def _dealt(values: list) -> str:
+    """SQL: each request gets one of ``values``, in turn."""
+    return f"CASE request_id % {len(values)} " + " ".join(f"WHEN {i} THEN {_text(v)}" for i, v in enumerate(values)) + " END"
+
+
+register(
+    "text_forms",
+    lambda d: d.client_requests.select(
+        "request_id", *[F.expr(_dealt([row[0] for row in some])).alias(name) for name, some in (("e", _ADDRESSES), ("u", _LINKS), ("i", _UUIDS))],
+    ).select(
+        "request_id", x.normalized_email("e").alias("email"), F.coalesce(x.is_email("e"), F.lit(False)).alias("is_email"),
+        x.is_url("u").alias("is_url"), F.coalesce(x.is_uuid("i"), F.lit(False)).alias("is_uuid")),
+    f"""SELECT request_id, {_dealt([a[1] for a in _ADDRESSES])} AS email, {_dealt([a[2] for a in _ADDRESSES])} AS is_email,
+        {_dealt([a[1] for a in _LINKS])} AS is_url, {_dealt([a[1] for a in _UUIDS])} AS is_uuid FROM client_requests""",
+)
 register(
     "number_functions",
     lambda d: d.group_requests.select(

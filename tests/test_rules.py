@@ -98,7 +98,8 @@ def test_initial_stock(spark):
 
 @pytest.mark.parametrize(("text", "email"), [
     ("Some.One+tag@Gmail.com", "someone@gmail.com"), ("A.B@GoogleMail.com", "ab@gmail.com"),
-    ("Me+x@Outlook.com", "me@outlook.com"), ("me-x@yahoo.com", "me@yahoo.com"), (" U.V+w@Example.COM ", "u.v+w@example.com")])
+    ("Me+x@Outlook.com", "me@outlook.com"), ("me-x@yahoo.com", "me@yahoo.com"), (" U.V+w@Example.COM ", "u.v+w@example.com"),
+    ("a+x@me.example.com", "a+x@me.example.com"), ("a+y@live.example.org", "a+y@live.example.org"), ("w+t@ya.ru", "w+t@yandex.ru")])
 def test_normalized_email(spark, text, email):
     assert rows(spark.createDataFrame([(text,)], "e string").select(x.normalized_email("e"))) == [(email,)]
 

@@ -20,6 +20,27 @@ URL = (
 )
 DATE = "^[0-9]{4}-[0-9]{2}-[0-9]{2}([T ][0-9]{2}:[0-9]{2}(:[0-9]{2}([.][0-9]+)?)?(Z|[-+][0-9]{2}:?[0-9]{2})?)?$"
 BOOLEAN = ("true", "false", "1", "0")
+UUID = "^[0-9A-Fa-f]{8}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{4}-[0-9A-Fa-f]{12}$"
+
+# Mail hosts whose addresses have a tag or several spellings.
+GOOGLE_HOSTS = ("gmail.com", "googlemail.com")
+ICLOUD_HOSTS = ("icloud.com", "me.com")
+OUTLOOK_HOSTS = (
+    "hotmail.at", "hotmail.be", "hotmail.ca", "hotmail.cl", "hotmail.co.il", "hotmail.co.nz", "hotmail.co.th", "hotmail.co.uk",
+    "hotmail.com", "hotmail.com.ar", "hotmail.com.au", "hotmail.com.br", "hotmail.com.gr", "hotmail.com.mx", "hotmail.com.pe",
+    "hotmail.com.tr", "hotmail.com.vn", "hotmail.cz", "hotmail.de", "hotmail.dk", "hotmail.es", "hotmail.fr", "hotmail.hu",
+    "hotmail.id", "hotmail.ie", "hotmail.in", "hotmail.it", "hotmail.jp", "hotmail.kr", "hotmail.lv", "hotmail.my", "hotmail.ph",
+    "hotmail.pt", "hotmail.sa", "hotmail.sg", "hotmail.sk", "live.be", "live.co.uk", "live.com", "live.com.ar", "live.com.mx",
+    "live.de", "live.es", "live.eu", "live.fr", "live.it", "live.nl", "msn.com", "outlook.at", "outlook.be", "outlook.cl",
+    "outlook.co.il", "outlook.co.nz", "outlook.co.th", "outlook.com", "outlook.com.ar", "outlook.com.au", "outlook.com.br",
+    "outlook.com.gr", "outlook.com.pe", "outlook.com.tr", "outlook.com.vn", "outlook.cz", "outlook.de", "outlook.dk",
+    "outlook.es", "outlook.fr", "outlook.hu", "outlook.id", "outlook.ie", "outlook.in", "outlook.it", "outlook.jp", "outlook.kr",
+    "outlook.lv", "outlook.my", "outlook.ph", "outlook.pt", "outlook.sa", "outlook.sg", "outlook.sk", "passport.com",
+)
+YAHOO_HOSTS = (
+    "rocketmail.com", "yahoo.ca", "yahoo.co.uk", "yahoo.com", "yahoo.de", "yahoo.fr", "yahoo.in", "yahoo.it", "ymail.com",
+)
+YANDEX_HOSTS = ("yandex.ru", "yandex.ua", "yandex.kz", "yandex.com", "yandex.by", "ya.ru")
 
 
 def col(c: Column | str) -> Column:
@@ -82,19 +103,27 @@ def trimmed_length(c: Column | str) -> Column:
     return F.length(F.coalesce(trimmed(c), F.lit("")))
 
 
+def is_uuid(c: Column | str) -> Column:
+    return col(c).rlike(UUID)
+
+
 def normalized_email(c: Column | str) -> Column:
-    """Lower case; Google addresses lose dots and '+tag', other large hosts lose the tag."""
+    """Lower case; at the hosts listed above, and no others, one spelling for all addresses of a mailbox.
+
+    Google, Outlook and iCloud addresses lose '+tag', Google ones dots, too; Yahoo addresses lose what follows the last
+    '-'; Google and Yandex hosts get one name. An address that would be left without a name only becomes lower case.
+    """
     lower = F.lower(trimmed(c))
-    local, host = F.split_part(lower, F.lit("@"), F.lit(1)), F.split_part(lower, F.lit("@"), F.lit(2))
+    local, host = F.split_part(lower, F.lit("@"), F.lit(1)), F.split_part(lower, F.lit("@"), F.lit(-1))
     untagged = F.split_part(local, F.lit("+"), F.lit(1))
-    return (
-        F.when(host.isin("gmail.com", "googlemail.com"),
-               F.concat(F.replace(untagged, F.lit("."), F.lit("")), F.lit("@gmail.com")))
-        .when(host.rlike("^(outlook|hotmail|live|msn|icloud|me)[.]"), F.concat(untagged, F.lit("@"), host))
-        .when(host.rlike("^(yahoo[.]|ymail[.]com|rocketmail[.]com)"),
-              F.concat(F.split_part(local, F.lit("-"), F.lit(1)), F.lit("@"), host))
-        .otherwise(lower)
+    name = (
+        F.when(host.isin(*GOOGLE_HOSTS), F.replace(untagged, F.lit("."), F.lit("")))
+        .when(host.isin(*ICLOUD_HOSTS, *OUTLOOK_HOSTS), untagged)
+        .when(host.isin(*YAHOO_HOSTS), F.regexp_replace(local, "-[^-]*$", ""))
+        .otherwise(local)
     )
+    at = F.when(host.isin(*GOOGLE_HOSTS), F.lit("gmail.com")).when(host.isin(*YANDEX_HOSTS), F.lit("yandex.ru")).otherwise(host)
+    return F.when(lower.contains("@") & (name != ""), F.concat(name, F.lit("@"), at)).otherwise(lower)
 
 
 def period_start(period: str, as_of: dt.date | Column | None = None) -> Column:

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradebook.functions.expressions import (
-    USERNAME, is_boolean, is_date, is_email, is_integer, is_number, is_url, line_total,
+    USERNAME, is_boolean, is_date, is_email, is_integer, is_number, is_url, is_uuid, line_total,
     total_with_vat, trimmed, trimmed_length, vat_of,
 )
 
@@ -318,12 +318,23 @@ def _documents(
     return _union([heads, bare, each])
 
 
-def request_violations(table: str, requests: DataFrame, lines: DataFrame | None = None, sparse: bool = False) -> DataFrame:
-    """Violations of a batch of requests, with the ``request_id`` of each."""
-    if table == "invoices":
-        return _documents(requests, lines, table, invoice_rules(), invoice_line_rules())
-    if table == "deliveries":
-        return _documents(requests, lines, table, delivery_rules(), delivery_line_rules())
+def id_rules(df: DataFrame, column: str, name: str) -> list[Rule]:
+    """Ids given as text have the form of a UUID; ids of other types have no form."""
+    if column not in df.columns or df.schema[column].dataType.typeName() not in ("string", "char", "varchar"):
+        return []
+    return [Rule(name, column, F.col(column).isNull() | F.coalesce(is_uuid(column), F.lit(False)))]
+
+
+def request_violations(
+    table: str, requests: DataFrame, lines: DataFrame | None = None, sparse: bool = False, uuids: bool = False
+) -> DataFrame:
+    """Violations of a batch of requests, with the ``request_id`` of each; ``uuids``: ids given as text must be UUIDs."""
+    if table in ("invoices", "deliveries"):
+        heads, each = (invoice_rules(), invoice_line_rules()) if table == "invoices" else (delivery_rules(), delivery_line_rules())
+        if uuids:
+            heads = heads + id_rules(requests, "client_id", "client_id_form")
+            each = each + id_rules(lines, "product_id", "items_product_id_form")
+        return _documents(requests, lines, table, heads, each)
     rules = {
         "users": user_rules, "clients": client_rules, "products": product_rules,
         "product_groups": group_patch_rules if sparse else group_rules,
@@ -348,11 +359,13 @@ def validate_groups(requests: DataFrame, sparse: bool = False) -> DataFrame:
 
 
 def validate_invoices(requests: DataFrame, lines: DataFrame) -> DataFrame:
-    return request_violations("invoices", requests, lines).drop("request_id")
+    """Ids are checked for the form of a UUID where they are text."""
+    return request_violations("invoices", requests, lines, uuids=True).drop("request_id")
 
 
 def validate_deliveries(requests: DataFrame, lines: DataFrame) -> DataFrame:
-    return request_violations("deliveries", requests, lines).drop("request_id")
+    """Ids are checked for the form of a UUID where they are text."""
+    return request_violations("deliveries", requests, lines, uuids=True).drop("request_id")
 
 
 WIDE = "decimal(24,2)"
