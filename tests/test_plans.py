@@ -32,19 +32,57 @@ def test_page_is_a_top_k(spark):
     assert "TakeOrderedAndProject(limit=50" in physical(search.page_of(rows, search.newest_first(), 1, 50))
 
 
-def test_a_deep_page_gathers_no_earlier_rows(spark):
+def test_pages_near_the_front_are_a_top_k(spark):
+    rows = spark.range(200_000).withColumn("created_at", F.lit(None).cast("timestamp_ntz"))
+    assert "TakeOrderedAndProject(limit=200, offset=100" in physical(search.page_of(rows, search.newest_first(), 2, 100))
+
+
+def test_a_deep_page_writes_nothing_and_gathers_no_earlier_rows(spark, monkeypatch):
     rows = spark.range(200_000).withColumn("created_at", F.lit(None).cast("timestamp_ntz"))
     deep = search.page_of(rows, search.newest_first(), 1_500, 100)
-    assert "offset" not in physical(deep)
+    text = physical(deep)
+    assert "parquet" not in text and "rangepartitioning" not in text and "TakeOrderedAndProject(limit=" in text
+    assert int(text.split("TakeOrderedAndProject(limit=")[1].split(",")[0]) <= search.SHALLOW
     assert [r["id"] for r in deep.collect()] == list(range(149_900, 150_000))
     assert search.page_of(rows, search.newest_first(), 1_000_000, 100).count() == 0
+    assert [r["id"] for r in search.page_of(rows, search.newest_first(), 2_000, 100).collect()] == list(range(199_900, 200_000))
+    short = spark.range(150_030).withColumn("created_at", F.lit(None).cast("timestamp_ntz"))
+    assert [r["id"] for r in search.page_of(short, search.newest_first(), 1_501, 100).collect()] == list(range(150_000, 150_030))
+
+
+def test_deep_pages_of_any_order_are_slices_of_the_sorted_list(spark, monkeypatch):
+    monkeypatch.setattr(search, "SHALLOW", 20)
+    monkeypatch.setattr(search, "SAMPLE", 12)
+    monkeypatch.setattr(search, "BOUNDS", 3)
+    rows = spark.range(400).selectExpr(
+        "id", "if(id % 7 = 0, null, concat('Ž', cast(id % 5 as string))) AS name", "if(id % 11 = 0, null, make_date(2024, 1, 1 + int(id % 9))) AS day",
+        "if(id % 13 = 0, null, timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(int(id % 6))) AS moment", "cast(id % 17 as decimal(10,2)) / 3 AS price")
+    for order in ([search.Sort(F.col("name")), search.Sort(F.col("id"))], [search.Sort(F.col("day"), True), search.Sort(F.col("id"))],
+                  [search.Sort(F.col("moment"), True), search.Sort(F.col("name")), search.Sort(F.col("id"), True)],
+                  [search.Sort(F.collate("name", "UNICODE")), search.Sort(F.col("price"), True), search.Sort(F.col("id"))]):
+        want = [r["id"] for r in search.sorted_by(rows, order).collect()]
+        for page in (1, 2, 3, 9, 14, 40, 41):
+            assert [r["id"] for r in search.page_of(rows, order, page, 10).collect()] == want[10 * (page - 1):10 * page]
+
+
+def test_details_are_sorted_where_they_are(spark):
+    d = Data(spark, SF)
+    for df, key, order in ((reports.invoice_detail(d), "id", ("item_created_at", "item_id")), (reports.invoice_documents(d), "id", ("part",)),
+                           (reports.delivery_detail(d), "id", ("item_created_at", "item_id")), (reports.delivery_documents(d), "id", ("part",))):
+        assert "rangepartitioning" not in plan(df)
+        seen, last = {}, None
+        for r in df.select(key, *order).collect():
+            at = tuple((v is not None, v) for v in r[1:])
+            assert r[0] == last or r[0] not in seen, "rows of a document are together"
+            assert r[0] != last or seen[r[0]] <= at
+            seen[r[0]], last = at, r[0]
 
 
 def test_a_cursor_walks_through_all_rows(spark):
     rows = spark.range(100).selectExpr("id", "if(id % 7 = 0, null, cast(id % 5 as string)) AS name")
     for descending in (False, True):
-        order = [F.desc_nulls_first("name") if descending else F.asc_nulls_last("name"), F.asc("id")]
-        want = [r["id"] for r in rows.orderBy(*order).collect()]
+        order = [search.Sort(F.col("name"), descending), search.Sort(F.col("id"))]
+        want = [r["id"] for r in search.sorted_by(rows, order).collect()]
         seen, left = [], rows
         while part := search.page_of(left, order, 1, 33).collect():
             seen += [r["id"] for r in part]

@@ -33,9 +33,9 @@ def test_search_wildcards_case_and_backslash(spark):
 def test_page_arguments_and_envelope(spark):
     df = spark.range(101)
     with pytest.raises(ValueError):
-        search.page_of(df, [F.asc("id")], 0)
+        search.page_of(df, [search.Sort(F.col("id"))], 0)
     with pytest.raises(ValueError):
-        search.page_of(df, [F.asc("id")], 1, 101)
+        search.page_of(df, [search.Sort(F.col("id"))], 1, 101)
     assert rows(search.page_info(df, 3, 50)) == [(3, 50, 101, 3, False, True)]
     assert rows(search.page_info(df.filter("id < 0"), 1, 50)) == [(1, 50, 0, 0, False, False)]
 
@@ -63,7 +63,7 @@ def test_unknown_period_means_year(spark):
 
 def test_newest_first_puts_null_times_on_top(spark):
     df = spark.createDataFrame([(1, NOW), (2, None), (3, NOW - dt.timedelta(1))], "id int, created_at timestamp_ntz")
-    assert [r["id"] for r in df.orderBy(*search.newest_first()).collect()] == [2, 1, 3]
+    assert [r["id"] for r in search.sorted_by(df, search.newest_first()).collect()] == [2, 1, 3]
 
 
 def test_flags_without_value_read_no(spark):

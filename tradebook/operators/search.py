@@ -7,12 +7,17 @@ import functools
 import operator
 import re
 from collections.abc import Iterable, Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradebook.functions.expressions import col, period_start
-from tradebook.session import pinned
+
+#: Rows that a top-k may hold for a page; bounds that one pass counts up to, and rows they are chosen from.
+SHALLOW = 1_000
+BOUNDS = 31
+SAMPLE = 512
 
 # The permissions a user can hold.
 PERMISSIONS = (
@@ -97,33 +102,77 @@ def check_page(page: int, limit: int, most: int = 100) -> None:
         raise ValueError(f"limit must be between 1 and {most}")
 
 
-def page_of(
-    df: DataFrame, order: Sequence[Column], page: int = 1, limit: int = 50, most: int = 100
-) -> DataFrame:
+@dataclass(frozen=True)
+class Sort:
+    """A column that rows are sorted by; rising ones have NULL last, falling ones NULL first."""
+
+    column: Column
+    falling: bool = False
+
+    def order(self) -> Column:
+        return self.column.desc_nulls_first() if self.falling else self.column.asc_nulls_last()
+
+    def beyond(self, value: object) -> tuple[Column, Column]:
+        """Whether a row comes after ``value``, and whether it is equal to it."""
+        if value is None:
+            return (self.column.isNotNull() if self.falling else F.lit(False)), self.column.isNull()
+        given = F.lit(value)
+        later = self.column < given if self.falling else (self.column > given) | self.column.isNull()
+        return F.coalesce(later, F.lit(False)), F.coalesce(self.column == given, F.lit(False))
+
+
+def sorted_by(df: DataFrame, order: Sequence[Sort]) -> DataFrame:
+    return df.orderBy(*[s.order() for s in order])
+
+
+def beyond(order: Sequence[Sort], values: Sequence[object]) -> Column:
+    """Whether a row comes after the row that has ``values`` in the columns of ``order``."""
+    after = F.lit(False)
+    for sort, value in reversed(list(zip(order, values))):
+        later, same = sort.beyond(value)
+        after = later | (same & after)
+    return after
+
+
+def _bounds(df: DataFrame, order: Sequence[Sort]) -> list[tuple]:
+    """Values of at most BOUNDS rows that cut ``df`` into parts of like size, in order.
+
+    They come from the SAMPLE rows with the smallest hash: one narrow pass, a top-k of that many rows.
+    """
+    keys = [s.column.alias(f"_s{i}") for i, s in enumerate(order)]
+    names = [f"_s{i}" for i in range(len(order))]
+    some = df.select(*keys).orderBy(F.xxhash64(*names)).limit(SAMPLE)
+    rows = [tuple(r) for r in sorted_by(some, [Sort(F.col(n), s.falling) for n, s in zip(names, order)]).collect()]
+    step = max(1, len(rows) // (BOUNDS + 1))
+    return rows[step::step][:BOUNDS]
+
+
+def page_of(df: DataFrame, order: Sequence[Sort], page: int = 1, limit: int = 50, most: int = 100) -> DataFrame:
     """One page of the ordered rows. ``order`` must end in a unique key.
 
-    The first page is a top-k. A later one is found by counts: the rows are written in ranges of
-    ``order``, the ranges are counted, and only those the page lies in are numbered, so no task
-    holds the pages before it. For a walk through a whole list ``after`` of the list queries is cheaper.
+    Pages within the first SHALLOW rows are a top-k. For a later one, rows are counted up to each of a few sampled bounds,
+    in a pass over the sort columns alone, and the search goes on between the two bounds around the page until few enough rows
+    are left for a top-k. Nothing is written, and the number of passes grows with the logarithm of the list. For a walk through a
+    whole list ``after`` of the list queries is cheaper.
     """
     check_page(page, limit, most)
-    if page == 1:
-        return df.orderBy(*order).limit(limit)
-    ranged = pinned(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
-    sizes = sorted((r["_range"], r["n"]) for r in ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("n")).collect())
-    start, before, wanted = (page - 1) * limit, 0, []
-    for number, size in sizes:
-        if before < start + limit and before + size > start:
-            wanted.append((number, before))
-        before += size
-    if not wanted:
-        return df.limit(0)
-    inside = Window.partitionBy("_range").orderBy(*order)
-    offset = functools.reduce(lambda c, w: c.when(F.col("_range") == w[0], w[1]), wanted, F.when(F.lit(False), 0))
-    picked = ranged.filter(F.col("_range").isin([w[0] for w in wanted]))
-    place = F.row_number().over(inside) + offset
-    found = picked.withColumn("_place", place).filter((F.col("_place") > start) & (F.col("_place") <= start + limit))
-    return found.orderBy("_place").drop("_range", "_place")
+    skip = (page - 1) * limit
+    left = df
+    while skip + limit > SHALLOW:
+        bounds = _bounds(left, order)
+        counts = left.agg(F.count(F.lit(1)), *[F.count_if(~beyond(order, b)) for b in bounds]).first()
+        if skip >= counts[0]:
+            return df.limit(0)
+        low = max((i for i, n in enumerate(counts[1:]) if n <= skip), default=None)
+        high = min((i for i, n in enumerate(counts[1:]) if n >= skip + limit), default=None)
+        kept = (counts[0] if high is None else counts[1 + high]) - (0 if low is None else counts[1 + low])
+        if kept >= counts[0]:  # rows that do not differ
+            break
+        if high is not None:
+            left = left.filter(~beyond(order, bounds[high]))
+        if low is not None:
+            left, skip = left.filter(beyond(order, bounds[low])), skip - counts[1 + low]
+    return sorted_by(left, order).offset(skip).limit(limit)
 
 
 def after_key(
@@ -160,8 +209,8 @@ def top_k(df: DataFrame, measure: str, keys: Sequence[str], k: int = 10) -> Data
     return df.orderBy(F.desc(measure), *[F.asc_nulls_last(c) for c in keys]).limit(k)
 
 
-def newest_first(*extra: str) -> list[Column]:
-    return [F.desc_nulls_first("created_at"), *[F.asc(c) for c in extra or ("id",)]]
+def newest_first(*extra: str) -> list[Sort]:
+    return [Sort(F.col("created_at"), falling=True), *[Sort(F.col(c)) for c in extra or ("id",)]]
 
 
 def visible_logs(

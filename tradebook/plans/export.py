@@ -118,7 +118,7 @@ def export_product_groups(t: Tables, chunk: int = 10_000) -> DataFrame:
     names = nest(members, ["id"], ["product_name", "product_id"], [F.col("product_name")], "_names", chunk)
     joined = F.array_join(F.transform("_names", lambda e: e["product_name"]), "; ")
     names = names.select("id", "part", joined.alias("_list"))
-    rows = groups.join(names, "id", "left").orderBy(*newest_first("id", "part"))
+    rows = groups.join(names, "id", "left").orderBy(*[s.order() for s in newest_first("id", "part")])
     return relabel(rows, {
         "Group Name": "name", "Quantity Type": "quantity_type", "Original Quantity": "original_quantity",
         "Current Quantity": "current_quantity", "Shipment Date": "shipment_date",
@@ -135,7 +135,7 @@ def export_logs(
     """Log rows in printed form, newest first: all that meet the filters, or the newest ``cap``."""
     if cap is None:
         found = logs_found(t, user_id, entity_type, action, start, end, search)
-        rows = named_logs(found, t["users"]).orderBy(*newest_first())
+        rows = named_logs(found, t["users"]).orderBy(*[s.order() for s in newest_first()])
     else:
         rows = list_logs(t, user_id, entity_type, action, start, end, search, limit=cap, most=cap)
     return relabel(rows, {

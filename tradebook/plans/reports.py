@@ -13,7 +13,7 @@ from tradebook.operators.joins import (
 )
 from tradebook.operators.ordered import nest
 from tradebook.operators.search import (
-    active_only, after_key, between_dates, by_ids, newest_first, non_blank, page_of, search_any, where_all,
+    Sort, active_only, after_key, between_dates, by_ids, newest_first, non_blank, page_of, search_any, sorted_by, where_all,
 )
 
 Tables = Mapping[str, DataFrame]
@@ -56,9 +56,8 @@ CLIENT_OF_DOCUMENT = {
 }
 
 
-def by_name(collation: str | None) -> list[Column]:
-    name = F.col("name") if collation is None else F.collate("name", collation)
-    return [name.asc_nulls_last(), F.asc("id")]
+def by_name(collation: str | None) -> list[Sort]:
+    return [Sort(F.col("name") if collation is None else F.collate("name", collation)), Sort(F.col("id"))]
 
 
 def documents_found(
@@ -94,7 +93,7 @@ def _document_page(
         rows = with_client(page_of(heads, newest_first(), page, limit), t["clients"], names)
     ids = F.broadcast(rows.select(F.col("id").alias(key)))  # at most 100 rows
     lines = t[items].select(key).join(ids, key, "left_semi")
-    return with_counts(rows, lines, key).select(*fields).orderBy(*newest_first())
+    return sorted_by(with_counts(rows, lines, key).select(*fields), newest_first())
 
 
 def list_invoices(
@@ -186,7 +185,7 @@ def list_logs(
     rows = named_logs(page_of(found, newest_first(), page, limit, most), t["users"])
     if parsed:
         rows = rows.withColumn("details", F.try_parse_json("details"))
-    return rows.orderBy(*newest_first())
+    return sorted_by(rows, newest_first())
 
 
 def log_entity_types(t: Tables) -> DataFrame:
@@ -200,7 +199,7 @@ def log_users(t: Tables) -> DataFrame:
 
 
 def list_users(t: Tables) -> DataFrame:
-    return t["users"].select(*USER_FIELDS).orderBy(*newest_first())
+    return sorted_by(t["users"].select(*USER_FIELDS), newest_first())
 
 
 def group_members(t: Tables, ids: Iterable | DataFrame | None = None) -> DataFrame:
@@ -228,7 +227,7 @@ def list_groups(
         groups.join(nested, "id", "left")
         .select(*GROUP_FIELDS, F.coalesce("part", F.lit(1)).alias("part"),
                 F.coalesce("products", empty).alias("products"))
-        .orderBy(*newest_first("id", "part"))
+        .orderBy(*[s.order() for s in newest_first("id", "part")])
     )
 
 
@@ -262,20 +261,26 @@ def _detail(
     return headers.join(lines, "id", "left")
 
 
+def _in_each(rows: DataFrame, *order: str) -> DataFrame:
+    """Rows of one header together and in ``order``: the join leaves all rows of a header, which is unique, in one
+    partition, so they are sorted where they are, without a shuffle of the lines."""
+    return rows.sortWithinPartitions(*order)
+
+
 def invoice_detail(t: Tables, ids: Iterable | DataFrame | None = None) -> DataFrame:
-    """Header and client fields repeated on one row per item, items by creation time.
+    """Header and client fields repeated on one row per item; an invoice's rows follow each other by creation time.
 
     An invoice without items has one row with NULL item columns.
     """
     rows = _detail(t, "invoices", "invoice_items", "invoice_id", INVOICE_DETAIL,
                    ("quantity", "unit_price", "total_price"), ids)
-    return rows.orderBy("id", "item_created_at", "item_id")
+    return _in_each(rows, "id", "item_created_at", "item_id")
 
 
 def delivery_detail(t: Tables, ids: Iterable | DataFrame | None = None) -> DataFrame:
     rows = _detail(t, "deliveries", "delivery_items", "delivery_id", DELIVERY_DETAIL,
                    ("quantity", "unit"), ids)
-    return rows.orderBy("id", "item_created_at", "item_id")
+    return _in_each(rows, "id", "item_created_at", "item_id")
 
 
 def invoice_documents(
@@ -310,7 +315,7 @@ def _documents(
     return heads.join(nested, "id", "left").select(
         *header, F.coalesce("part", F.lit(1)).alias("part"),
         F.coalesce("items", empty).alias("items"),
-    ).orderBy("id", "part")
+    ).sortWithinPartitions("id", "part")
 
 
 def client_invoices(t: Tables, ids: Iterable | DataFrame | None = None) -> DataFrame:
