@@ -17,33 +17,64 @@ TURNS = "conv_id long, turn long, role string, text string, part string, loss st
 
 
 def nearest(rows, k=20):
-    """Exact, over the usable vectors."""
-    good = {}
-    for i, v, *_ in rows:
-        if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v):
-            good[i] = min(good.get(i, v), v)
-    size = max((len(v) for v in good.values()), key=[len(v) for v in good.values()].count)
-    good = {i: np.array(v) for i, v in good.items() if len(v) == size}
+    """Exact, over the usable vectors; every row counts."""
+    good = [(i, np.array(v)) for i, v, *_ in rows
+            if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v) and any(v)]
+    size = max((len(v) for _, v in good), key=[len(v) for _, v in good].count)
+    good = [(i, v) for i, v in good if len(v) == size]
     out = []
-    for q, v in good.items():
+    for n, (q, v) in enumerate(good):
         if q % 20 == 0:
-            best = sorted((-float((v * w).sum()), i) for i, w in good.items() if i != q)[:k]
-            out += [(q, n, i, -s) for n, (s, i) in enumerate(best, 1)]
+            best = sorted((-float((v * w).sum()), i) for m, (i, w) in enumerate(good) if m != n)[:k]
+            out += [(q, rank, i, -score) for rank, (score, i) in enumerate(best, 1)]
     return sorted(out)
 
 
-def test_neighbours_of_odd_vectors(spark, tmp_path):
+def odd_vectors():
     pick = np.random.default_rng(0)
     rows = [(i, pick.standard_normal(6).tolist(), "x", "y") for i in range(90)]
     same = [1.0, 0.5, 0.0, 0.0, 0.0, 0.0]
     rows += [(100 + i, same, "x", "y") for i in range(30)]
-    rows += [(200, None, "", ""), (220, [0.0] * 6, "", ""), (240, [1.0, None, 0.0, 0.0, 0.0, 0.0], "", ""), (260, [math.nan] * 6, "", ""),
-             (280, [math.inf, 0.0, 0.0, 0.0, 0.0, 0.0], "", ""), (300, [1.0, 2.0], "", ""), (None, same, "", ""), (40, rows[40][1], "x", "y")]
+    rows += [(40, rows[40][1], "x", "y"), (60, rows[3][1], "", ""), (41, rows[7][1], "", "")]
+    return rows + [
+        (200, None, "", ""), (220, [0.0] * 6, "", ""), (240, [1.0, None, 0.0, 0.0, 0.0, 0.0], "", ""), (260, [math.nan] * 6, "", ""),
+        (280, [math.inf, 0.0, 0.0, 0.0, 0.0, 0.0], "", ""), (300, [1.0, 2.0], "", ""), (None, same, "", "")]
+
+
+def same_rows(got, want):
+    assert [(g[0], g[1], g[2]) for g in got] == [w[:3] for w in want]
+    assert np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-12)
+
+
+def test_all_parts_probed_is_brute_force(spark):
+    rows = odd_vectors()
+    table = neighbours.pinned(neighbours.vectors_of(spark.createDataFrame(rows, VECTORS), "vec_id", "embedding"))
+    found = neighbours.search(table, neighbours.F.col("id") % 20 == 0, recall=2.0)
+    same_rows(sorted(tuple(r) for r in found.collect()), nearest(rows))
+
+
+def test_rows_that_share_an_id_all_stay(spark, tmp_path):
+    rows = [(20, [1.0, 0.0], "", ""), (1, [0.5, 0.1], "", ""), (1, [0.9, 0.1], "", "")]
     sf_dir = folder(spark, tmp_path, spark.createDataFrame(rows, VECTORS), "embeddings")
     got = sorted(tuple(r) for r in QUERIES["op1_neighbours"](spark, sf_dir).collect())
-    want = nearest(rows)
-    assert [g[:3] for g in got] == [w[:3] for w in want]
-    assert np.allclose([g[3] for g in got], [w[3] for w in want], atol=1e-12)
+    assert got == [(20, 1, 1, 0.9), (20, 2, 1, 0.5)]
+
+
+@pytest.mark.parametrize(("n", "wide"), [(123, 0), (500, 64), (2500, 24)])
+def test_the_query_routes_by_learned_parts_at_every_size(spark, tmp_path, n, wide):
+    """Vectors in random directions, the worst case for parts; whole lists, exact scores, recall over 0.9."""
+    pick = np.random.default_rng(n)
+    rows = [(i, pick.standard_normal(wide).tolist(), "", "") for i in range(n)] if wide else odd_vectors()
+    sf_dir = folder(spark, tmp_path, spark.createDataFrame(rows, VECTORS), "embeddings")
+    got, want = sorted(tuple(r) for r in QUERIES["op1_neighbours"](spark, sf_dir).collect()), nearest(rows)
+    assert neighbours.part_count(n) >= 2
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    good = {(q, i): s for q, _, i, s in want}
+    hit = [(q, i) for q, _, i, s in got if (q, i) in good]
+    assert len(hit) / len(want) >= 0.9
+    if wide:  # an id given twice has two lists
+        assert all(a[3] >= b[3] for a, b in zip(got, got[1:]) if a[0] == b[0])
+        assert all(abs(s - good[q, i]) < 1e-9 for q, _, i, s in got if (q, i) in good)
 
 
 def test_no_vectors(spark, tmp_path):

@@ -32,6 +32,8 @@ RECALL = 0.93
 BLOCK = 4096
 QUERY_BLOCK = 1 << 20
 SEED = 5
+#: One sample vector in so many is kept out of the training.
+HELD = 8
 
 
 def usable(vector: Column) -> Column:
@@ -41,14 +43,16 @@ def usable(vector: Column) -> Column:
 
 
 def vectors_of(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """(id, v array<double>) of the usable vectors of the most frequent length; an id given more
-    than once counts once, with its smallest vector."""
+    """(row, id, v array<double>) of the usable vectors of the most frequent length.
+
+    ``row`` names a row: those that share an id all stay. Inner products are only defined between vectors of one length.
+    The numbers hold for what is written from here; write it once before it is read twice.
+    """
     v = F.col(vector).cast("array<double>")
     rows = df.select(F.col(key).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
     length = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).first()
-    if length is None:
-        return rows
-    return rows.where(F.size("v") == length["n"]).groupBy("id").agg(F.min("v").alias("v"))
+    kept = rows if length is None else rows.where(F.size("v") == length["n"])
+    return kept.select(F.monotonically_increasing_id().alias("row"), "id", "v")
 
 
 def matrix(vectors: pd.Series) -> np.ndarray:
@@ -143,29 +147,49 @@ class Classifier:
         return np.argsort(-(h @ self.w[2] + self.w[3]), axis=1, kind="stable")
 
 
+def part_count(rows: int) -> int:
+    """Parts of about ROWS_PER_PART rows, two at least as soon as there are two rows a part, and at most one for each 32
+    vectors the classifier is fitted on."""
+    return 1 if rows < 4 else max(2, min(rows // ROWS_PER_PART, SAMPLE // 32))
+
+
 def fit(vectors: DataFrame, rows: int, recall: float = RECALL) -> tuple[Classifier | None, int, int]:
-    """The classifier, the number of parts and the number of parts to probe; one part needs no classifier."""
-    spark = vectors.sparkSession
-    parts = min(rows // ROWS_PER_PART, SAMPLE // 32)
+    """The classifier, the number of parts and the number of parts to probe; under four rows there is one part.
+
+    One vector in HELD of the sample is kept out of the training: the number of probes is what these need to
+    reach the wanted share of their neighbours.
+    """
+    spark, parts = vectors.sparkSession, part_count(rows)
     if parts < 2:
         return None, 1, 1
-    picked = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()
+    picked = vectors.orderBy(F.xxhash64("id"), "id", "v").limit(SAMPLE).toPandas()
     points, rng = matrix(picked["v"]), np.random.default_rng(SEED)
-    near = graph(spark, points, DEGREE)
+    degree = min(DEGREE, len(points) - 1)
+    near = graph(spark, points, degree)
     part = balanced_parts(near, parts, rng)
     labels = np.zeros((len(points), parts))
-    np.add.at(labels, (np.repeat(np.arange(len(points)), DEGREE), part[near].ravel()), 1.0 / (2 * DEGREE))
+    np.add.at(labels, (np.repeat(np.arange(len(points)), degree), part[near].ravel()), 1.0 / (2 * degree))
     labels[np.arange(len(points)), part] += 0.5
-    model = Classifier(points, labels, rng)
-    ranked = model.ranked(points)
-    place = np.argsort(ranked, axis=1)  # place[i, p]: when point i probes part p
-    when = place[np.arange(len(points))[:, None], ranked[near, 0]].ravel()
+    held = np.arange(len(points)) % HELD == HELD - 1
+    if not held.any():
+        held[-1] = True
+    model = Classifier(points[~held], labels[~held], rng)
+    # as in the search: a vector lies in the part it is given by the classifier
+    first = model.ranked(points)[:, 0]
+    place = np.argsort(model.ranked(points[held]), axis=1)  # place[i, p]: when held-out point i probes part p
+    when = place[np.arange(held.sum())[:, None], first[near[held]]].ravel()
     reached = np.cumsum(np.bincount(when, minlength=parts)) / len(when)
     return model, parts, int(np.searchsorted(reached, recall)) + 1
 
 
-def nearest(query: np.ndarray, query_id: np.ndarray, points: np.ndarray, ids: np.ndarray, k: int) -> list[tuple]:
-    """(query_id, ids, scores) of the ``k`` points with the largest inner product, ties to smaller ids.
+def enough(sizes: list[int], probes: int, k: int) -> int:
+    """At least ``probes`` parts, and so many that even the smallest ones hold ``k`` rows beside the query's own."""
+    held = np.cumsum(sorted(sizes))
+    return min(max(probes, int(np.searchsorted(held, k + 1)) + 1), len(sizes))
+
+
+def nearest(query: np.ndarray, query_row: np.ndarray, points: np.ndarray, row: np.ndarray, ids: np.ndarray, k: int) -> list[tuple]:
+    """(query_row, ids, scores) of the ``k`` other points with the largest inner product, ties to smaller ids.
 
     Products are first taken by matrix, then again row by row for what comes near the k-th, so that
     equal vectors get equal scores.
@@ -174,12 +198,12 @@ def nearest(query: np.ndarray, query_id: np.ndarray, points: np.ndarray, ids: np
     for at in range(0, len(query), 256):
         some = query[at:at + 256]
         rough = some @ points.T
-        rough[query_id[at:at + 256, None] == ids[None, :]] = -np.inf
+        rough[query_row[at:at + 256, None] == row[None, :]] = -np.inf
         size = min(k, len(ids))
         last = np.partition(rough, len(ids) - size, axis=1)[:, len(ids) - size]
-        for row, own, least, name in zip(rough, some, last, query_id[at:at + 256].tolist()):
+        for found, own, least, name in zip(rough, some, last, query_row[at:at + 256].tolist()):
             slack = 1e-9 * max(1.0, abs(least)) if np.isfinite(least) else 0.0
-            close = np.flatnonzero((row >= least - slack) & (row > -np.inf))
+            close = np.flatnonzero((found >= least - slack) & (found > -np.inf))
             score = (points[close] * own).sum(axis=1)
             order = np.lexsort((ids[close], -score))[:k]
             out.append((name, ids[close][order].tolist(), score[order].tolist()))
@@ -187,9 +211,9 @@ def nearest(query: np.ndarray, query_id: np.ndarray, points: np.ndarray, ids: np
 
 
 def search(vectors: DataFrame, queries: Column, k: int = K, recall: float = RECALL) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the ``k`` nearest of every row of ``vectors`` (id, v) that ``queries`` picks.
+    """(query_id, rank, vec_id, score) of the ``k`` nearest of every row of ``vectors`` (row, id, v) that ``queries`` picks.
 
-    A query is no candidate of its own; with fewer candidates all are given. Parts of more than BLOCK rows are
+    Only the query's own row is no candidate; with fewer candidates than ``k`` all are given. Parts of more than BLOCK rows are
     cut into blocks, and more queries than QUERY_BLOCK into as many turns, so that no task holds
     a whole hot part. An empty table gives an empty one. Broadcast: the classifier.
     """
@@ -198,36 +222,38 @@ def search(vectors: DataFrame, queries: Column, k: int = K, recall: float = RECA
     model, parts, probes = fit(vectors, rows, recall)
     shared = spark.sparkContext.broadcast(model)
 
-    @F.pandas_udf("array<int>")
-    def route(parts_of: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        model = shared.value
-        for v in parts_of:
-            found = model.ranked(matrix(v))[:, :probes] if model else np.zeros((len(v), 1))
-            yield pd.Series(list(found.astype(np.int32)))
-
-    routed = pinned(vectors.withColumn("parts", route("v")))
-    sizes = routed.groupBy(F.col("parts")[0].alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()
-    blocks = [1] * parts
-    for r in sizes:
-        blocks[r["part"]] = -(-r["n"] // BLOCK)
+    def routed(count: int):
+        @F.pandas_udf("array<int>")
+        def route(parts_of: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            model = shared.value
+            for v in parts_of:
+                found = model.ranked(matrix(v))[:, :count] if model else np.zeros((len(v), 1))
+                yield pd.Series(list(found.astype(np.int32)))
+
+        return route("v")
+
+    placed = pinned(vectors.withColumn("part", routed(1)[0]))
+    sizes = [0] * parts
+    for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect():
+        sizes[r["part"]] = r["n"]
+    blocks = [max(1, -(-n // BLOCK)) for n in sizes]
     turns = max(1, -(-asked // QUERY_BLOCK))
     of_part = F.array(*map(F.lit, blocks))
     candidates = (
-        routed.withColumn("part", F.col("parts")[0])
-        .withColumn("block", F.pmod(F.xxhash64("id"), of_part[F.col("part")]).cast("int"))
+        placed.withColumn("block", F.pmod(F.xxhash64("row"), of_part[F.col("part")]).cast("int"))
         .withColumn("turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
-        .select("part", "block", "turn", F.lit(0).alias("kind"), "id", "v")
+        .select("part", "block", "turn", F.lit(0).alias("kind"), "row", "id", "v")
     )
     probing = (
-        routed.where(queries).withColumn("part", F.explode("parts"))
+        placed.where(queries).select("row", "id", "v", F.explode(routed(enough(sizes, probes, k))).alias("part"))
         .withColumn("block", F.explode(F.sequence(F.lit(0), of_part[F.col("part")] - 1)))
-        .withColumn("turn", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(turns)).cast("int"))
-        .select("part", "block", "turn", F.lit(1).alias("kind"), "id", "v")
+        .withColumn("turn", F.pmod(F.xxhash64("row", F.lit(1)), F.lit(turns)).cast("int"))
+        .select("part", "block", "turn", F.lit(1).alias("kind"), "row", "id", "v")
     )
 
     def answer(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-        points, ids, cell = np.zeros((0, 0)), np.zeros(0, np.int64), None
+        points, row, ids, cell = np.zeros((0, 0)), np.zeros(0, np.int64), np.zeros(0, np.int64), None
         for batch in batches:
             out: list[tuple] = []
             for own, some in batch.groupby(["part", "block", "turn"], sort=False):
@@ -240,20 +266,20 @@ def search(vectors: DataFrame, queries: Column, k: int = K, recall: float = RECA
                 if len(ask) and held:
                     if not len(points):
                         whole = pd.concat(held)
-                        points, ids = matrix(whole["v"]), whole["id"].to_numpy()
-                    out += nearest(matrix(ask["v"]), ask["id"].to_numpy(), points, ids, k)
-            yield pd.DataFrame(out, columns=["query_id", "ids", "scores"])
+                        points, row, ids = matrix(whole["v"]), whole["row"].to_numpy(), whole["id"].to_numpy()
+                    out += nearest(matrix(ask["v"]), ask["row"].to_numpy(), points, row, ids, k)
+            yield pd.DataFrame(out, columns=["query_row", "ids", "scores"])
 
     cells = candidates.union(probing).repartition(max(shuffles(spark), sum(blocks) * turns), "part", "block", "turn")
     found = cells.sortWithinPartitions("part", "block", "turn", "kind").mapInPandas(
-        answer, "query_id long, ids array<long>, scores array<double>"
+        answer, "query_row long, ids array<long>, scores array<double>"
     )
 
     def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         query, ids, scores = None, np.zeros(0, np.int64), np.zeros(0)
 
         def rows() -> pd.DataFrame:
-            return pd.DataFrame({"query_id": query, "rank": np.arange(1, len(ids) + 1, dtype=np.int32), "vec_id": ids, "score": scores})
+            return pd.DataFrame({"query_row": query, "rank": np.arange(1, len(ids) + 1, dtype=np.int32), "vec_id": ids, "score": scores})
 
         for batch in batches:
             done = []
@@ -270,8 +296,10 @@ def search(vectors: DataFrame, queries: Column, k: int = K, recall: float = RECA
         if query is not None:
             yield rows()
 
-    lists = found.repartition("query_id").sortWithinPartitions("query_id")
-    return lists.mapInPandas(merge, "query_id long, rank int, vec_id long, score double")
+    lists = found.repartition("query_row").sortWithinPartitions("query_row")
+    best = lists.mapInPandas(merge, "query_row long, rank int, vec_id long, score double")
+    names = placed.where(queries).select(F.col("row").alias("query_row"), F.col("id").alias("query_id"))
+    return best.join(names, "query_row").select("query_id", "rank", "vec_id", "score")
 
 
 def op1_neighbours(spark, sf_dir: str) -> DataFrame:
