@@ -64,6 +64,23 @@ def test_without_a_setting_the_warehouse_is_shared():
     assert session.shared_folder(Spark()) == "hdfs://store/warehouse"
 
 
+def test_a_local_warehouse_is_not_shared_on_a_cluster():
+    class Conf(dict):
+        get = dict.get
+
+    class Context:
+        def getCheckpointDir(self):
+            return None
+
+    class Spark:
+        conf, sparkContext = Conf({"spark.sql.warehouse.dir": "file:/home/warehouse", "spark.master": "yarn"}), Context()
+
+    with pytest.raises(ValueError):
+        session.shared_folder(Spark())
+    Spark.conf["spark.master"] = "local[4]"
+    assert session.shared_folder(Spark()) == "file:/home/warehouse"
+
+
 def test_a_scope_removes_its_folders(spark):
     shared = pathlib.Path(session.shared_folder(spark))
     before = set(shared.iterdir())

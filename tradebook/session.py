@@ -43,12 +43,17 @@ def size_shuffles(spark: SparkSession, *inputs: DataFrame, per_task: int = 128 <
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors can reach: ``spark.checkpoint.dir``, else the catalog's warehouse."""
-    return (
-        spark.conf.get("spark.checkpoint.dir", None)
-        or spark.sparkContext.getCheckpointDir()
-        or spark.conf.get("spark.sql.warehouse.dir")
-    )
+    """The folder all executors can reach: ``spark.checkpoint.dir``, else the catalog's warehouse.
+
+    A warehouse in a ``file:`` folder is only shared where there is one machine; on a cluster that is an error, not a guess.
+    """
+    given = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if given:
+        return given
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if warehouse.startswith("file:") and not (spark.conf.get("spark.master", None) or "local").startswith("local"):
+        raise ValueError("set spark.checkpoint.dir: the warehouse is a local folder, which executors do not share")
+    return warehouse
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
