@@ -251,13 +251,17 @@ def test_null_keys_do_not_collide(spark):
 
 
 def test_items_inside_requests(spark):
+    c1, p1, p2 = (f"0f8fad5b-d9cb-469f-a165-7086728950{n}e" for n in "1ab")
     requests = spark.createDataFrame(
-        [(1, "N1", "2024-01-01", "2024-01-02", "c1", "20", [("p1", "0", "5"), ("p2", "2", "x")]), (2, "N2", "2024-01-01", "bad", "c1", "20", [])],
+        [(1, "N1", "2024-01-01", "2024-01-02", c1, "20", [(p1, "0", "5"), (p2, "2", "x")]), (2, "N2", "2024-01-01", "bad", c1, "20", [])],
         "request_id int, number string, date string, due_date string, client_id string, vat_rate string, "
         "items array<struct<product_id: string, quantity: string, unit_price: string>>")
     got = quality.validate_invoices(requests.drop("items"), quality.unnest_items(requests))
     assert rows(got, "rule", "row_id") == [
         ("due_date_form", "2"), ("items_quantity_form", "1:1"), ("items_required", "2"), ("items_unit_price_form", "1:2")]
+    odd = requests.withColumn("client_id", F.lit("c1")).filter("request_id = 1")
+    got = quality.validate_invoices(odd.drop("items"), quality.unnest_items(odd))
+    assert ("client_id_form", "1") in rows(got, "rule", "row_id")
 
 
 def test_reconcile(spark):
