@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 import re
 
 from pyspark.sql import functions as F
@@ -13,7 +12,7 @@ from registry.warehouse import BALANCE_SQL, lines_sql
 from tradebook.session import scratch_path
 from tradebook.sources.model import ensure_columns
 from tradebook.streaming.activity import (
-    activity_stream, activity_windows, file_stream, rate_stream, request_rate, windows_stream,
+    activity_stream, activity_windows, file_stream, kept_counts, rate_stream, request_rate, windows_stream,
 )
 from tradebook.streaming.confirmations import stock_stream
 
@@ -35,19 +34,23 @@ def log_stream(d: Data):
     return ensure_columns(rows, "activity_logs")
 
 
-def _kept_up(d: Data, start, count, name: str):
-    """What a counting stream has under its folder once all files are worked off."""
-    store, out, checkpoint = (scratch_path(d.spark, f"{name}-{part}") for part in ("log", "out", "checkpoint"))
-    start(log_stream(d), store, out, checkpoint).awaitTermination()
-    schema = count(d.activity_logs.limit(0)).schema
-    return d.spark.read.schema(schema).parquet(out).select(*schema.names)
+def _streamed_windows(d: Data):
+    """What the counting stream holds once all files are worked off."""
+    store, out, checkpoint = (scratch_path(d.spark, f"windows-{part}") for part in ("log", "out", "checkpoint"))
+    windows_stream(log_stream(d), store, out, checkpoint).awaitTermination()
+    return kept_counts(d.spark, out, activity_windows(d.activity_logs).schema)
 
 
-register(
-    "activity_windows_stream", lambda d: _kept_up(d, windows_stream, activity_windows, "windows"), _WINDOWS)
-register(
-    "request_rate_stream",
-    lambda d: _kept_up(d, functools.partial(rate_stream, limit=1), functools.partial(request_rate, limit=1), "rates"), _RATE)
+register("activity_windows_stream", _streamed_windows, _WINDOWS)
+
+
+def _streamed_rates(d: Data):
+    out, checkpoint = (scratch_path(d.spark, f"rates-{part}") for part in ("out", "checkpoint"))
+    rate_stream(log_stream(d), out, checkpoint).awaitTermination()
+    return kept_counts(d.spark, out, request_rate(d.activity_logs).schema).filter("requests > 1")
+
+
+register("request_rate_stream", _streamed_rates, _RATE)
 
 
 def _stored_log(d: Data):

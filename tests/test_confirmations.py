@@ -9,7 +9,7 @@ from decimal import Decimal
 
 from small import frame, rows, seed
 
-from tradebook.streaming import activity, confirmations
+from tradebook.streaming import activity, confirmations, runs
 
 DDL = "request_id string, id string, status string"
 
@@ -65,19 +65,19 @@ def test_batches_equal_the_loop_and_may_run_twice(spark, tmp_path):
             confirmations.apply_batch(spark.createDataFrame(part, DDL), version, t, state)
         assert quantity(spark, state, version) == want[version]
         kept = {p.name for p in pathlib.Path(state, "ledger").iterdir()}
-        assert kept >= {f"{a}-{z}" for a, z in confirmations.runs(version + 1)}
+        assert kept >= {f"{a}-{z}" for a, z in runs.runs(version + 1)}
         assert len(kept) <= 2 * (version + 1).bit_length()
-    merged = confirmations.read_runs(spark, state, confirmations.runs(8))
-    assert confirmations.runs(8) == [(0, 8)] and merged.groupBy("kind", "key").count().filter("count > 1").count() == 0
+    merged = confirmations.read_ledger(spark, state, runs.runs(8))
+    assert runs.runs(8) == [(0, 8)] and merged.groupBy("kind", "key").count().filter("count > 1").count() == 0
 
 
 def test_runs_are_the_digits_of_the_version():
     for version in range(200):
-        held = confirmations.runs(version)
+        held = runs.runs(version)
         assert [v for a, z in held for v in range(a, z)] == list(range(version))
         assert len(held) == version.bit_count()
-        run = confirmations.written_run(version)
-        assert confirmations.runs(version + 1) == [r for r in held if r[0] < run[0]] + [run]
+        run = runs.written_run(version)
+        assert runs.runs(version + 1) == [r for r in held if r[0] < run[0]] + [run]
 
 
 def test_the_ledger_and_the_invoices_are_read_by_range(spark, tmp_path):

@@ -1,8 +1,8 @@
 """The activity log as a stream: deduplicated sink, daily counts, request rates.
 
-Nothing depends on a watermark. A micro-batch stores its rows by day, and whatever counts days
-recounts the days the batch touched from the stored rows and overwrites them. So late rows count,
-every window is there when the stream stops, and a batch that is run again changes nothing.
+Nothing depends on a watermark. A micro-batch adds the partial counts of its own rows, per window and key, to ``runs`` of such
+counts; readers add them up. So late rows count however old they are, every window is there when the stream
+stops, no day is counted again, and a batch that is run again changes nothing.
 """
 
 from __future__ import annotations
@@ -15,8 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import DateType, LongType, StructType
 
-DAY_SECONDS = 24 * 60 * 60
-UNIT_SECONDS = {"second": 1, "minute": 60, "hour": 60 * 60, "day": DAY_SECONDS}
+from tradebook.streaming.runs import carried, drop_merged, newest, read_runs, write_run
 
 
 def file_stream(
@@ -55,13 +54,6 @@ def _flat(counts: DataFrame, keys: Sequence[str], measure: str) -> DataFrame:
         F.col("window.end").cast("timestamp_ntz").alias("window_end"), *keys, measure)
 
 
-def check_window(window: str) -> None:
-    """Windows recounted by day must not cross days."""
-    number, unit = window.split()
-    if DAY_SECONDS % (int(number) * UNIT_SECONDS[unit.rstrip("s")]):
-        raise ValueError(f"a window of {window} does not divide a day")
-
-
 def _of_days(days: Sequence[dt.date | None]) -> Column:
     known = F.col("day").isin([d for d in days if d is not None])
     return known | F.col("day").isNull() if None in days else known
@@ -73,35 +65,56 @@ def stored(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return spark.read.schema(full).parquet(path)
 
 
-def _overwrite(rows: DataFrame, path: str, *parts: str) -> None:
+def _store(rows: DataFrame, version: int, path: str) -> None:
     """Replace only the partitions that ``rows`` has."""
-    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*parts).parquet(path)
+    rows.withColumn("batch", F.lit(version).cast("long")).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(path)
 
 
-def store_batch(batch: DataFrame, version: int, path: str, distinct: bool = True) -> list[dt.date | None]:
-    """Store a micro-batch under ``path``, a folder per day and batch; returns its days.
+def new_rows(batch: DataFrame, version: int, path: str) -> DataFrame:
+    """Rows of a micro-batch, each id once, that no earlier batch stored under ``path``, with their day.
 
-    ``distinct`` leaves out rows whose id is there already; equal ids have equal times, so only the batch's
-    own days are looked at. A batch replaces what an earlier try of itself wrote.
+    Equal ids have equal times, so of the stored rows only the ids of the batch's own days are read.
     """
-    rows = batch.withColumn("day", F.to_date("created_at"))
+    rows = batch.withColumn("day", F.to_date("created_at")).dropDuplicates(["id"])
+    if version == 0:
+        return rows
     days = [r["day"] for r in rows.select("day").distinct().collect()]
-    if distinct:
-        rows = rows.dropDuplicates(["id"])
-        if version > 0:
-            before = stored(batch.sparkSession, path, batch.schema).filter(_of_days(days) & (F.col("batch") < version))
-            rows = rows.join(before.select("id"), "id", "left_anti").select(*rows.columns)
-    _overwrite(rows.withColumn("batch", F.lit(version).cast("long")), path, "day", "batch")
-    return days
+    before = stored(batch.sparkSession, path, batch.schema).filter(_of_days(days) & (F.col("batch") < version))
+    return rows.join(before.select("id"), "id", "left_anti").select(*rows.columns)
+
+
+def store_batch(batch: DataFrame, version: int, path: str) -> None:
+    """Store the new rows of a micro-batch under ``path``, a folder per day and batch.
+
+    A batch replaces what an earlier try of itself wrote.
+    """
+    _store(new_rows(batch, version, path), version, path)
+
+
+def merged_counts(counts: DataFrame, version: int, out: str) -> DataFrame:
+    """The counts of micro-batch ``version`` added to those of the runs that its own run takes in.
+
+    Counts have windows and keys first and the number last. Nothing else is read, neither log rows nor other runs.
+    """
+    *group, measure = counts.columns
+    below = read_runs(counts.sparkSession, out, carried(version), counts.schema)
+    return counts.unionByName(below).groupBy(*group).agg(F.sum(measure).alias(measure))
+
+
+def add_counts(counts: DataFrame, version: int, out: str) -> None:
+    """Write the run of ``version`` under ``out``, sorted by window."""
+    drop_merged(counts.sparkSession, out, version)
+    write_run(merged_counts(counts, version, out), out, version, *counts.columns[:-1])
 
 
-def recount(
-    spark: SparkSession, path: str, schema: StructType, days: Sequence[dt.date | None],
-    count: Callable[[DataFrame], DataFrame], out: str,
-) -> None:
-    """Count the stored rows of ``days`` again and replace these days under ``out``."""
-    rows = stored(spark, path, schema).filter(_of_days(days))
-    _overwrite(count(rows).withColumn("day", F.to_date("window_start")), out, "day")
+def kept_counts(spark: SparkSession, out: str, schema: StructType) -> DataFrame:
+    """The counts that a stream holds under ``out``: its runs added up; ``schema`` is that of the batch form.
+
+    Runs are sorted by ``window_start``, so a filter on it after this skips files and row groups.
+    """
+    *group, measure = schema.names
+    return read_runs(spark, out, newest(spark, out), schema).groupBy(*group).agg(F.sum(measure).alias(measure))
 
 
 def _each_batch(df: DataFrame, checkpoint: str, work: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -124,25 +137,26 @@ def windows_stream(
     df: DataFrame, path: str, out: str, checkpoint: str, window: str = "1 day",
     keys: Sequence[str] = ("entity_type", "user_id"),
 ) -> StreamingQuery:
-    """Keep ``activity_windows`` under ``out`` up to date; the log itself is stored under ``path``."""
-    check_window(window)
-
+    """Keep ``activity_windows`` under ``out``, to be read by ``kept_counts``; the log itself is stored under ``path``."""
     def work(batch: DataFrame, version: int) -> None:
-        days = store_batch(batch, version, path)
-        recount(batch.sparkSession, path, batch.schema, days, lambda rows: activity_windows(rows, window, keys), out)
+        rows = new_rows(batch, version, path).persist()
+        try:
+            add_counts(activity_windows(rows, window, keys), version, out)
+            _store(rows, version, path)
+        finally:
+            rows.unpersist()
 
     return _each_batch(df, checkpoint, work)
 
 
 def rate_stream(
-    df: DataFrame, path: str, out: str, checkpoint: str, key: str = "ip_address",
-    window: str = "15 minutes", limit: int = 100,
+    df: DataFrame, out: str, checkpoint: str, key: str = "ip_address", window: str = "15 minutes"
 ) -> StreamingQuery:
-    """Keep ``request_rate`` under ``out`` up to date; every row counts, repeated ones too."""
-    check_window(window)
+    """Keep the number of requests per window and key under ``out``, to be read by ``kept_counts`` and cut by its limit.
 
+    Every row counts, repeated ones too, so no log is stored.
+    """
     def work(batch: DataFrame, version: int) -> None:
-        days = store_batch(batch, version, path, distinct=False)
-        recount(batch.sparkSession, path, batch.schema, days, lambda rows: request_rate(rows, key, window, limit), out)
+        add_counts(request_rate(batch, key, window, limit=0), version, out)
 
     return _each_batch(df, checkpoint, work)

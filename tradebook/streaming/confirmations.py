@@ -1,9 +1,7 @@
 """Stock kept up to date as status requests arrive.
 
 What earlier micro-batches did is kept in a ledger: the requests that were applied, and the last status of every invoice
-they named. The ledger is a set of runs sorted by key. The runs before micro-batch v cover the
-versions 0 to v - 1 like the binary digits of v; a batch merges its own rows with the runs its carry reaches, so there are never
-more runs than digits, and each row is rewritten as often at most. Which runs a batch reads and writes follows from its version.
+they named. The ledger is a set of ``runs`` sorted by key.
 """
 
 from __future__ import annotations
@@ -17,13 +15,11 @@ from pyspark.sql.streaming import StreamingQuery
 from tradebook.operators.changes import compose
 from tradebook.operators.documents import confirmations, status_steps
 from tradebook.operators.stock import stock_balance
-from tradebook.session import remove_path
+from tradebook.streaming.runs import Run, carried, drop_merged, read_runs, runs, write_run
 
 Tables = Mapping[str, DataFrame]
 
 LEDGER = "kind string, key string, status string, version bigint"
-#: Rows of a file of a run.
-ROWS_PER_FILE = 1 << 20
 
 
 def balances(spark: SparkSession, state: str, version: int) -> DataFrame:
@@ -31,29 +27,8 @@ def balances(spark: SparkSession, state: str, version: int) -> DataFrame:
     return spark.read.parquet(f"{state}/balance/version={version}")
 
 
-def runs(version: int) -> list[tuple[int, int]]:
-    """(first, behind the last version) of the runs that hold everything before ``version``, the longest first."""
-    out, start = [], 0
-    for digit in reversed(range(version.bit_length())):
-        if version >> digit & 1:
-            out.append((start, start + (1 << digit)))
-            start += 1 << digit
-    return out
-
-
-def written_run(version: int) -> tuple[int, int]:
-    """The run that micro-batch ``version`` writes: the one that ends with it."""
-    return runs(version + 1)[-1]
-
-
-def run_path(state: str, run: tuple[int, int]) -> str:
-    return f"{state}/ledger/{run[0]}-{run[1]}"
-
-
-def read_runs(spark: SparkSession, state: str, some: list[tuple[int, int]]) -> DataFrame:
-    if not some:
-        return spark.createDataFrame([], LEDGER)
-    return spark.read.schema(LEDGER).parquet(*[run_path(state, run) for run in some])
+def read_ledger(spark: SparkSession, state: str, some: list[Run]) -> DataFrame:
+    return read_runs(spark, f"{state}/ledger", some, LEDGER)
 
 
 def _between(column: str, low: object, high: object) -> Column:
@@ -64,7 +39,7 @@ def _between(column: str, low: object, high: object) -> Column:
 def _named(spark: SparkSession, state: str, version: int, kind: str, keys: DataFrame) -> DataFrame:
     """The newest ledger row (key, status) of each of ``keys`` before ``version``."""
     low, high = keys.agg(F.min("key"), F.max("key")).first()
-    rows = read_runs(spark, state, runs(version)).filter((F.col("kind") == kind) & _between("key", low, high))
+    rows = read_ledger(spark, state, runs(version)).filter((F.col("kind") == kind) & _between("key", low, high))
     return rows.join(keys, "key", "left_semi").groupBy("key").agg(F.max_by("status", "version").alias("status"))
 
 
@@ -83,12 +58,9 @@ def _current(tables: Tables, ids: DataFrame, state: str, version: int) -> DataFr
 
 def _store(own: DataFrame, version: int, state: str) -> None:
     """Write the run of ``version``: its own rows merged with the runs before it that the carry reaches."""
-    run = written_run(version)
-    below = [r for r in runs(version) if r[0] >= run[0]]
-    rows = own.unionByName(read_runs(own.sparkSession, state, below)).groupBy("kind", "key").agg(
+    rows = own.unionByName(read_ledger(own.sparkSession, state, carried(version))).groupBy("kind", "key").agg(
         F.max_by("status", "version").alias("status"), F.max("version").alias("version"))
-    rows.select("kind", "key", "status", "version").sort("kind", "key").write.mode("overwrite").option(
-        "maxRecordsPerFile", ROWS_PER_FILE).parquet(run_path(state, run))
+    write_run(rows.select("kind", "key", "status", "version"), f"{state}/ledger", version, "kind", "key")
 
 
 def apply_batch(batch: DataFrame, version: int, tables: Tables, state: str) -> None:
@@ -99,9 +71,7 @@ def apply_batch(batch: DataFrame, version: int, tables: Tables, state: str) -> N
     own, so running it again after a failure gives the same state.
     """
     spark = batch.sparkSession
-    if version:
-        for run in set(runs(version - 1)) - set(runs(version)):  # merged by the batch before, which is committed
-            remove_path(spark, run_path(state, run))
+    drop_merged(spark, f"{state}/ledger", version)
     asked = batch.select("request_id", "id", "status").filter(
         F.col("status").isin("draft", "confirmed")).dropDuplicates(["request_id"]).withColumn("key", F.col("request_id").cast("string"))
     asked.persist()
