@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tradebook.functions.expressions import col, period_start
+from tradebook.operators.postings import Postings, among, candidates
 
 #: Rows that a top-k may hold for a page; bounds that one pass counts up to, and rows they are chosen from.
 SHALLOW = 1_000
@@ -25,16 +26,25 @@ PERMISSIONS = (
 )
 
 
-def search_any(df: DataFrame, cols: Sequence[Column | str], term: str | None) -> DataFrame:
+def like_pattern(term: str) -> str:
+    literal = re.sub(r"\\(.)", lambda m: m[0] if m[1] in "\\%_" else m[1], term, flags=re.DOTALL)
+    return f"%{literal}%"
+
+
+def search_any(
+    df: DataFrame, cols: Sequence[Column | str], term: str | None, index: Postings | None = None, key: str = "id"
+) -> DataFrame:
     """Rows where any column contains ``term``, ignoring case; an empty term keeps every row.
 
     ``%`` and ``_`` in the term are wildcards. A backslash before any other character only means
-    that character.
+    that character. With an ``index`` over the columns only the rows it names are looked at; the result is the same.
     """
     if not term:
         return df
-    literal = re.sub(r"\\(.)", lambda m: m[0] if m[1] in "\\%_" else m[1], term, flags=re.DOTALL)
-    pattern = f"%{literal}%"
+    pattern = like_pattern(term)
+    found = candidates(index, cols, pattern) if index is not None else None
+    if found is not None:
+        df = among(df, *found, key)
     return df.filter(functools.reduce(operator.or_, [col(c).ilike(pattern) for c in cols]))
 
 

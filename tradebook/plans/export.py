@@ -15,7 +15,7 @@ from tradebook.operators.ordered import nest
 from tradebook.operators.search import (
     active_only, between_dates, newest_first, relabel, search_any, where_all,
 )
-from tradebook.plans.reports import list_logs, logs_found, named_logs
+from tradebook.plans.reports import Indexes, list_logs, logs_found, named_logs
 
 Tables = Mapping[str, DataFrame]
 NAMES = {"name": "client_name", "legal_name": "client_legal_name"}
@@ -83,8 +83,8 @@ def export_deliveries(
     })
 
 
-def export_clients(t: Tables, search: str | None = None) -> DataFrame:
-    rows = search_any(t["clients"], ["name", "legal_name", "mb", "pib"], search)
+def export_clients(t: Tables, search: str | None = None, indexes: Indexes = {}) -> DataFrame:
+    rows = search_any(t["clients"], ["name", "legal_name", "mb", "pib"], search, indexes.get("clients"))
     return relabel(rows.orderBy("name", "id"), {
         "Name": "name", "Legal Name": "legal_name", "MB": "mb", "PIB": "pib", "Address": "address",
         "City": "city", "Municipality": "municipality", "Contact Person": "contact_person",
@@ -96,9 +96,10 @@ def export_clients(t: Tables, search: str | None = None) -> DataFrame:
 
 
 def export_products(
-    t: Tables, search: str | None = None, category: str | None = None, only_active: bool = False
+    t: Tables, search: str | None = None, category: str | None = None, only_active: bool = False, indexes: Indexes = {},
 ) -> DataFrame:
-    rows = where_all(search_any(t["products"], ["name", "code"], search), category=category or None)
+    found = search_any(t["products"], ["name", "code"], search, indexes.get("products"))
+    rows = where_all(found, category=category or None)
     return relabel(active_only(rows, only_active).orderBy("name", "id"), {
         "Code": "code", "Name": "name", "Price": "price", "Weight (g)": "weight",
         "Category": "category", "Description": "description", "Status": active_label("is_active"),

@@ -12,11 +12,20 @@ from tradebook.operators.joins import (
     group_products, logged_users, with_client, with_counts, with_product, with_user,
 )
 from tradebook.operators.ordered import nest
+from tradebook.operators.postings import FEW, Postings, among, candidates
 from tradebook.operators.search import (
-    Sort, active_only, after_key, between_dates, by_ids, newest_first, non_blank, page_of, search_any, sorted_by, where_all,
+    Sort, active_only, after_key, between_dates, by_ids, like_pattern, newest_first, non_blank, page_of, search_any, sorted_by,
+    where_all,
 )
 
 Tables = Mapping[str, DataFrame]
+# Postings by table, for searches; a table without any is scanned.
+Indexes = Mapping[str, Postings]
+# The columns each table is searched in.
+SEARCHED = {
+    "invoices": ("number",), "deliveries": ("number",), "clients": ("name", "legal_name", "mb", "pib"),
+    "products": ("name", "code"), "activity_logs": ("action",),
+}
 # Sort value and id of the last row a reader has seen.
 Cursor = tuple[object, object]
 
@@ -60,13 +69,29 @@ def by_name(collation: str | None) -> list[Sort]:
     return [Sort(F.col("name") if collation is None else F.collate("name", collation)), Sort(F.col("id"))]
 
 
+def _documents_near(headers: DataFrame, pattern: str, numbers: Postings, clients: Postings) -> DataFrame:
+    """A superset of the documents whose number or client's name meets ``pattern``, by the postings of both."""
+    by_number, by_client = candidates(numbers, ["number"], pattern), candidates(clients, ["name"], pattern)
+    if by_number is None or by_client is None:
+        return headers
+    (ids, n), (owners, m) = by_number, by_client
+    if max(n, m) <= FEW:
+        named = [F.col(c).isin([r[0] for r in found.collect()]) for c, found in (("id", ids), ("client_id", owners))]
+        return headers.filter(named[0] | named[1])
+    owned = among(headers.select("id", "client_id"), owners, m, "client_id").select(F.col("id").alias("key"))
+    return headers.join(ids.unionByName(owned).distinct().withColumnRenamed("key", "id"), "id", "left_semi")
+
+
 def documents_found(
     headers: DataFrame, clients: DataFrame, search: str | None = None,
     status: str | None = None, client_id: object | None = None,
+    numbers: Postings | None = None, names: Postings | None = None,
 ) -> DataFrame:
     """Invoices or deliveries with client names that meet the list filters; also the base of the
-    page count."""
+    page count. ``numbers`` and ``names``: postings of the headers and of the clients."""
     picked = where_all(headers, status=status, client_id=client_id)
+    if search and numbers is not None and names is not None:
+        picked = _documents_near(picked, like_pattern(search), numbers, names)
     named = with_client(picked, clients, {"name": "client_name", "legal_name": "client_legal_name"})
     return search_any(named, ["number", "client_name"], search)
 
@@ -77,7 +102,7 @@ def _after(df: DataFrame, after: Cursor | None, column: str = "created_at", desc
 
 def _document_page(
     t: Tables, table: str, items: str, key: str, fields: Iterable[str], search: str | None,
-    status: str | None, client_id: object | None, page: int, limit: int, after: Cursor | None,
+    status: str | None, client_id: object | None, page: int, limit: int, after: Cursor | None, indexes: Indexes,
 ) -> DataFrame:
     """Take the page first, then count lines of its at most 100 documents only.
 
@@ -85,7 +110,8 @@ def _document_page(
     join with clients neither drops nor adds one.
     """
     if search:
-        found = _after(documents_found(t[table], t["clients"], search, status, client_id), after)
+        near = indexes.get(table), indexes.get("clients")
+        found = _after(documents_found(t[table], t["clients"], search, status, client_id, *near), after)
         rows = page_of(found, newest_first(), page, limit)
     else:
         heads = _after(where_all(t[table], status=status, client_id=client_id), after)
@@ -98,31 +124,31 @@ def _document_page(
 
 def list_invoices(
     t: Tables, search: str | None = None, status: str | None = None,
-    client_id: object | None = None, page: int = 1, limit: int = 50, after: Cursor | None = None,
+    client_id: object | None = None, page: int = 1, limit: int = 50, after: Cursor | None = None, indexes: Indexes = {},
 ) -> DataFrame:
     """``after``: (created_at, id) of the last row seen; the page then counts from there."""
     return _document_page(t, "invoices", "invoice_items", "invoice_id", INVOICE_LIST,
-                          search, status, client_id, page, limit, after)
+                          search, status, client_id, page, limit, after, indexes)
 
 
 def list_deliveries(
     t: Tables, search: str | None = None, status: str | None = None,
-    client_id: object | None = None, page: int = 1, limit: int = 50, after: Cursor | None = None,
+    client_id: object | None = None, page: int = 1, limit: int = 50, after: Cursor | None = None, indexes: Indexes = {},
 ) -> DataFrame:
     return _document_page(t, "deliveries", "delivery_items", "delivery_id", DELIVERY_LIST,
-                          search, status, client_id, page, limit, after)
+                          search, status, client_id, page, limit, after, indexes)
 
 
-def clients_found(t: Tables, search: str | None = None) -> DataFrame:
-    return search_any(t["clients"].select(*CLIENT_FIELDS), ["name", "mb", "pib"], search)
+def clients_found(t: Tables, search: str | None = None, indexes: Indexes = {}) -> DataFrame:
+    return search_any(t["clients"].select(*CLIENT_FIELDS), ["name", "mb", "pib"], search, indexes.get("clients"))
 
 
 def list_clients(
     t: Tables, search: str | None = None, page: int = 1, limit: int = 50, collation: str | None = None,
-    after: Cursor | None = None,
+    after: Cursor | None = None, indexes: Indexes = {},
 ) -> DataFrame:
     """``after``: (name, id) of the last row seen, in the order without a collation."""
-    return page_of(_after(clients_found(t, search), after, "name", False), by_name(collation), page, limit)
+    return page_of(_after(clients_found(t, search, indexes), after, "name", False), by_name(collation), page, limit)
 
 
 def client_detail(t: Tables, ids: Iterable | DataFrame) -> DataFrame:
@@ -130,17 +156,17 @@ def client_detail(t: Tables, ids: Iterable | DataFrame) -> DataFrame:
 
 
 def products_found(
-    t: Tables, search: str | None = None, category: str | None = None, only_active: bool = False
+    t: Tables, search: str | None = None, category: str | None = None, only_active: bool = False, indexes: Indexes = {},
 ) -> DataFrame:
-    found = search_any(t["products"].select(*PRODUCT_FIELDS), ["name", "code"], search)
+    found = search_any(t["products"].select(*PRODUCT_FIELDS), ["name", "code"], search, indexes.get("products"))
     return active_only(where_all(found, category=category or None), only_active)
 
 
 def list_products(
     t: Tables, search: str | None = None, category: str | None = None, only_active: bool = False,
-    page: int = 1, limit: int = 50, collation: str | None = None, after: Cursor | None = None,
+    page: int = 1, limit: int = 50, collation: str | None = None, after: Cursor | None = None, indexes: Indexes = {},
 ) -> DataFrame:
-    found = products_found(t, search, category, only_active)
+    found = products_found(t, search, category, only_active, indexes)
     return page_of(_after(found, after, "name", False), by_name(collation), page, limit)
 
 
@@ -156,11 +182,14 @@ def product_categories(t: Tables) -> DataFrame:
 def logs_found(
     t: Tables, user_id: object | None = None, entity_type: str | None = None,
     action: str | None = None, start: dt.datetime | None = None, end: dt.datetime | None = None,
-    search: str | None = None,
+    search: str | None = None, indexes: Indexes = {},
 ) -> DataFrame:
-    """Log rows meeting the filters. User names are joined here only when the search reads them."""
+    """Log rows meeting the filters. User names are joined here only when the search reads them.
+
+    ``indexes`` serve ``action``; ``search`` also looks at user names, which most rows share, and scans.
+    """
     logs = where_all(t["activity_logs"], user_id=user_id, entity_type=entity_type)
-    logs = between_dates(search_any(logs, ["action"], action), "created_at", start, end)
+    logs = between_dates(search_any(logs, ["action"], action, indexes.get("activity_logs")), "created_at", start, end)
     if not search:
         return logs
     return search_any(with_user(logs, t["users"]), ["action", "username"], search)
@@ -175,13 +204,13 @@ def list_logs(
     t: Tables, user_id: object | None = None, entity_type: str | None = None,
     action: str | None = None, start: dt.datetime | None = None, end: dt.datetime | None = None,
     search: str | None = None, page: int = 1, limit: int = 50, parsed: bool = False,
-    most: int = 100, after: Cursor | None = None,
+    most: int = 100, after: Cursor | None = None, indexes: Indexes = {},
 ) -> DataFrame:
     """Newest rows with user names. ``parsed`` turns the JSON details into a variant value.
 
     The user join keeps every row, so without a search the page is cut before it.
     """
-    found = _after(logs_found(t, user_id, entity_type, action, start, end, search), after)
+    found = _after(logs_found(t, user_id, entity_type, action, start, end, search, indexes), after)
     rows = named_logs(page_of(found, newest_first(), page, limit, most), t["users"])
     if parsed:
         rows = rows.withColumn("details", F.try_parse_json("details"))
