@@ -9,6 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tradebook.operators.bloom import narrowed
 from tradebook.operators.claims import clashes
 
 
@@ -63,12 +64,14 @@ def taken(requests: DataFrame, base: DataFrame, keys: Sequence[str], own: str |
     """Ids of requests one of whose keys already exists in ``base``; NULL never collides.
 
     One equi-join per key, then a union: a single join on ``a = x OR b = y`` would compare every
-    pair. With ``own`` the row named by the request itself does not count.
+    pair. Of a large ``base`` only rows that the keys of a small batch may meet are shuffled. With ``own`` the row
+    named by the request itself does not count.
     """
     hits = []
     for key in keys:
         left = requests.select("request_id", F.col(key).alias("_k"), *([own] if own else []))
-        right = base.select(F.col(key).alias("_k"), F.col("id").alias("_holder")).filter("_k IS NOT NULL")
+        right = narrowed(
+            base.select(F.col(key).alias("_k"), F.col("id").alias("_holder")).filter("_k IS NOT NULL"), "_k", left.select("_k"))
         if own:
             found = left.join(right, "_k").filter(F.col(own) != F.col("_holder"))
         else:
