@@ -85,6 +85,17 @@ def test_appended_and_stale_rows(spark, tmp_path):
     assert rows(search.search_any(old.limit(0), ["name"], "beta", postings.open_postings(spark, none))) == []
 
 
+def test_one_partition_of_rows_is_dealt_out(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(postings, "PER_TASK", 50)
+    df = spark.createDataFrame([(i, f"same{i:04d}") for i in range(400)] + [(None, "same"), (7, None)], "id long, name string")
+    path = str(tmp_path / "p")
+    postings.store_postings(df.coalesce(1), ["name"], path)
+    index = postings.open_postings(spark, path)
+    assert index.rows.filter("gram = 'sam'").select("_metadata.file_path").distinct().count() > 4
+    assert rows(index.counts.filter("gram IN ('sam', 'e03')").select("gram", "n"), "gram") == [("e03", 100), ("sam", 401)]
+    assert rows(search.search_any(df, ["name"], "same039", index)) == rows(search.search_any(df, ["name"], "same039"))
+
+
 @pytest.mark.parametrize("few", [0, 1_000])
 def test_documents_by_number_or_client(spark, tmp_path, monkeypatch, few):
     monkeypatch.setattr(reports, "FEW", few)
