@@ -82,3 +82,18 @@ def test_nest_parts_are_numbered_from_one(skewed):
     _, df = skewed
     out = ordered.nest(df, ["k"], ["n"], [F.col("n")], "all", 500)
     assert rows(out.filter("k = 'hot'"), "part")[0] == (1,)
+
+
+def test_nest_of_small_keys_is_one_shuffle_without_slices(skewed, monkeypatch):
+    data, df = skewed
+    monkeypatch.setattr(ordered, "slices", None)
+    out = ordered.nest(df, ["k"], ["n"], [F.col("n")], "all", 10_000)
+    assert out._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    assert {r["k"]: [e["n"] for e in r["all"]] for r in out.collect()} == {k: [r[1] for r in g] for k, g in by_key(data).items()}
+
+
+def test_nest_cuts_lists_whatever_the_counted_rows_say(skewed):
+    _, df = skewed
+    whole = rows(ordered.nest(df, ["k"], ["n"], [F.col("n")], "all", 100), "k", "part")
+    assert rows(ordered.nest(df, ["k"], ["n"], [F.col("n")], "all", 100, counted=df.limit(0)), "k", "part") == whole
+    assert rows(ordered.nest(df, ["k"], ["n"], [F.col("n")], "all", 100, counted=df.union(df)), "k", "part") == whole

@@ -122,7 +122,7 @@ def _updates(walk: DataFrame, keys: Sequence[str], order: Sequence[str], chunk:
         F.col("quantity").alias("quantity_used"), F.col("weight_used"),
         F.col("old_stock"), F.col("new_stock"),
     ]
-    return nest(walk, keys, order, fields, "updates", chunk)
+    return nest(walk, keys, order, fields, "updates", chunk, by=["request_id"])
 
 
 def stock_updates(walk: DataFrame, chunk: int = 10_000) -> DataFrame:
