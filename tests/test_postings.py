@@ -92,7 +92,7 @@ def test_one_partition_of_rows_is_dealt_out(spark, tmp_path, monkeypatch):
     postings.store_postings(df.coalesce(1), ["name"], path)
     index = postings.open_postings(spark, path)
     assert index.rows.filter("gram = 'sam'").select("_metadata.file_path").distinct().count() > 4
-    assert rows(index.counts.filter("gram IN ('sam', 'e03')").select("gram", "n"), "gram") == [("e03", 100), ("sam", 401)]
+    assert rows(index.counts.filter("gram IN ('sam', 'e03')"), "gram", "n") == [("e03", 100), ("sam", 401)]
     assert rows(search.search_any(df, ["name"], "same039", index)) == rows(search.search_any(df, ["name"], "same039"))
 
 
