@@ -18,6 +18,7 @@ from tradebook.functions.expressions import (
     USERNAME, is_boolean, is_date, is_email, is_integer, is_number, is_url, is_uuid, line_total,
     total_with_vat, trimmed, trimmed_length, vat_of,
 )
+from tradebook.session import pinned
 
 Tables = Mapping[str, DataFrame]
 
@@ -167,16 +168,31 @@ def check_unique(t: Tables) -> DataFrame:
     return _union(parts)
 
 
+def unknown_keys(keys: DataFrame, known: DataFrame) -> DataFrame:
+    """The distinct values of the one column of ``keys`` that ``known``, of one column too, does not have; no NULL.
+
+    Only key values are shuffled. Those few that are unknown, as a rule, reach all rows that name them by a broadcast.
+    """
+    name = keys.columns[0]
+    return keys.dropna().distinct().join(known.toDF(name), name, "left_anti")
+
+
 def check_references(t: Tables) -> DataFrame:
-    """Rows whose foreign key names no parent row; NULL passes."""
+    """Rows whose foreign key names no parent row; NULL passes.
+
+    The missing keys are written first, so that their number is known when the rows are joined with them.
+    """
+    used = [(name, column, parent) for name, column, parent in REFERENCES if name in t and parent in t]
+    missing = pinned(_union([
+        unknown_keys(t[name].select(F.col(column).alias("_k")), t[parent].select("id")).select(
+            F.lit(i).alias("_at"), F.col("_k").cast("string").alias("_k"))
+        for i, (name, column, parent) in enumerate(used)]))
     parts = []
-    for name, column, parent in REFERENCES:
-        if name in t and parent in t:
-            child = t[name].select("id", F.col(column).alias("_k")).filter("_k IS NOT NULL")
-            ids = t[parent].select(F.col("id").alias("_k"))
-            parts.append(child.join(ids, "_k", "left_anti").select(
-                F.lit(name).alias("table"), F.lit(f"{column}_exists").alias("rule"),
-                F.col("id").cast("string").alias("row_id"), F.col("_k").cast("string").alias("value")))
+    for i, (name, column, _) in enumerate(used):
+        child = t[name].select("id", F.col(column).cast("string").alias("_k")).filter("_k IS NOT NULL")
+        parts.append(child.join(missing.filter(F.col("_at") == i).select("_k"), "_k", "left_semi").select(
+            F.lit(name).alias("table"), F.lit(f"{column}_exists").alias("rule"),
+            F.col("id").cast("string").alias("row_id"), F.col("_k").alias("value")))
     return _union(parts)
 
 
