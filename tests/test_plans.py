@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from registry.views import Data
 from tradebook import session
-from tradebook.operators import joins, search, stock
+from tradebook.operators import documents, joins, quality, search, stock
 from tradebook.plans import reports, stats
 from tradebook.sources import layout
 
@@ -135,3 +135,31 @@ def test_shuffle_partitions_grow_with_the_input_only(spark):
     assert session.size_shuffles(spark, lines, per_task=4096) > 20
     assert int(spark.conf.get("spark.sql.shuffle.partitions")) > 20
     spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+def test_rows_reach_their_unknown_keys_without_a_shuffle(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "50000")
+    try:
+        keys = spark.range(20_000)
+        logs = spark.createDataFrame([(1, 5), (2, -1), (3, None), (4, -1)], "id long, user_id long")
+        found = quality.check_references({"activity_logs": logs, "users": keys})
+        assert "SortMergeJoin" not in physical(found) and "Exchange hashpartitioning" not in physical(found)
+        assert sorted(tuple(r) for r in found.collect()) == [
+            ("activity_logs", "user_id_exists", "2", "-1"), ("activity_logs", "user_id_exists", "4", "-1")]
+        lines = spark.createDataFrame(
+            [(1, 5, "1", "2"), (2, -1, "1", "2"), (3, None, "1", "2")], "request_id long, product_id long, quantity string, unit_price string")
+        facts = documents._line_facts(lines, keys, True)
+        assert "SortMergeJoin" not in physical(facts)
+        assert {r["request_id"]: r["_stray"] for r in facts.collect()} == {1: False, 2: True, 3: True}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_scans_and_shuffles_are_bounded_by_task(spark):
+    d = Data(spark, SF)
+    assert 0 < int(spark.conf.get("spark.sql.files.maxPartitionBytes")) <= session.SPLIT
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1m")
+    session.configure(spark)
+    assert int(spark.conf.get("spark.sql.files.maxPartitionBytes")) == 1 << 20
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert d.region.count() == 5
