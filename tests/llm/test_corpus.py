@@ -226,6 +226,28 @@ def test_bpe_is_the_librarys_and_decodes(spark, sf_dir, monkeypatch):
     assert collected(spark, "op6_byte_bpe", sf_dir) == sorted(want, key=key)
 
 
+def test_cuts_at_single_spaces_beside_wider_white_space():
+    rng, some = random.Random(6), ["  ", " ", " ", "\n", "\t", "\r", "\u00a0", "\x1c", "\u2003", "a", "b'", "s", "1", "7", "-", "\u00e9"]
+    given = ["".join(rng.choices(some, k=rng.randrange(14))) for _ in range(3000)]
+    assert sum(bool(bytebpe.UNSAFE.search(t)) for t in given) > 1000
+    chunk = bytebpe.Chunk(given)
+    words, flat, counts = chunk.words()
+    starts = bytebpe.offsets(counts)
+    for text, ((begin, known), steps) in zip(given, chunk.coded(), strict=True):
+        parts = [begin, *bytebpe.from_first_use(steps.astype("<u4"), known)]
+        assert [words[i].decode() for p in parts for i in flat[starts[p]:starts[p + 1]]] == bytebpe.pattern().findall(text)
+    assert bytebpe.from_first_use(bytebpe.by_first_use(flat)).tolist() == flat.tolist()
+
+
+def test_a_stretch_is_searched_once_and_not_by_the_second_pass(monkeypatch):
+    looked = []
+    monkeypatch.setattr(bytebpe, "words_of", lambda text, before="": looked.append(before + text) or [before + text])
+    chunk = bytebpe.Chunk(["if x1:\n    return x1 if x1 else y2", "a1\n    return x1", ""])
+    assert len(list(chunk.coded())) == 3 and not looked
+    chunk.words()
+    assert sorted(looked) == ["", " x1", " x1:\n   ", " y2", "a1\n   "]
+
+
 def test_chunks_of_equal_rows(spark):
     docs = documents(spark, [(1, "same words here", "en", None)] * 6).repartition(6)
     got = bytebpe.encode_documents(docs, public_tokenizers.path(bytebpe.RANKS)).collect()

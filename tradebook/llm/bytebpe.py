@@ -1,9 +1,10 @@
 """Byte-level BPE by a global shuffle of distinct words, and decoding by the token-byte table.
 
-Texts are split into words by the tokenizer's pattern. Consecutive documents of a partition make a chunk with its own
-word list; a text becomes the positions of its words in that list. The lists are shuffled by word, so that each distinct word
-meets in one task, which encodes it once, and the ids go back to the chunks, where the texts are put together by
-position. Hot words travel once a chunk, not once an occurrence. Lists travel packed, as one row for each chunk and word bucket.
+Texts are split into words by the tokenizer's pattern. Consecutive documents of a partition make a chunk; a text becomes the
+numbers of its stretches between spaces, and the chunk has a list of its distinct words and one of its stretches as words. The
+word lists are shuffled by word, so that each distinct word meets in one task, which encodes it once, and the ids go back to
+the chunks, where the texts are put together by number. Hot words travel once a chunk, not once an occurrence. Lists travel
+packed, as one row for each chunk and word bucket. The documents are read twice, but only the first pass looks for words.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import public_tokenizers
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 import xxhash
@@ -31,8 +34,9 @@ from tradebook.llm.common import small_batches, spread
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: Code points of a chunk, or a single longer text.
 CHUNK = 6_000_000
-#: A space before a word always begins a word of the pattern, unless more white space is around it.
+#: A space before a word always begins a word of the pattern, unless more white space is around it; other spaces are cut.
 UNSAFE = re.compile(r"\s (?!\S)")
+CUT = re.compile(r"(?<!\s) | (?=\S)")
 #: Marks that make a word of their own behind letters.
 MARKS = ",.;:!?"
 
@@ -96,90 +100,84 @@ def offsets(sizes: np.ndarray) -> np.ndarray:
 
 
 def words_of(text: str, before: str = "") -> list[str]:
-    """The matches of the pattern in ``before + text``; plain words, with or without marks, need no search."""
-    if text.isalpha():
-        return [before + text]
+    """The matches of the pattern in ``before + text``; a plain word with marks needs no search."""
     core = text.rstrip(MARKS)
     if core != text and core.isalpha():
         return [before + core, text[len(core):]]
     return pattern().findall(before + text)
 
 
-class Numbers(dict):
-    """Numbers its keys from 0 in the order of first use."""
-
-    def __missing__(self, key: str) -> int:
-        self[key] = number = len(self)
-        return number
-
-
-class Stretches:
-    """Word numbers of stretches of text in one flat array, and the numbers of all distinct words."""
-
-    def __init__(self) -> None:
-        self.words = Numbers()
-        self.flat, self.starts = array("q"), array("q", [0])
-
-    def new(self, text: str, before: str = "") -> int:
-        self.flat.extend([self.words[w] for w in words_of(text, before)])
-        self.starts.append(len(self.flat))
-        return len(self.starts) - 2
-
-
-class Parts(dict):
-    """Numbers stretches of text; the words of a new one go to ``held``.
+class Chunk:
+    """Each text as the numbers of its stretches between spaces where a cut is safe; equal stretches have one number, by first use.
 
-    Nothing here points back at its owner: a chunk goes as soon as it is no longer named, not at a later collection.
+    The stretch that begins a text is numbered apart, behind the others: it has no space before it.
     """
 
-    def __init__(self, held: Stretches, before: str) -> None:
-        super().__init__()
-        self.held, self.before = held, before
-
-    def __missing__(self, part: str) -> int:
-        self[part] = number = self.held.new(part, self.before)
-        return number
-
-
-class Chunk:
-    """The distinct words of some texts, and each text as stretches between spaces where a cut is safe; a stretch is looked up once."""
-
-    def __init__(self) -> None:
-        self.held = Stretches()
-        self.words = self.held.words
-        self.first, self.rest = Parts(self.held, ""), Parts(self.held, " ")
-        self.texts: list[np.ndarray] = []
-        self.size = 0
-
-    def add(self, text: str) -> None:
-        if UNSAFE.search(text):
-            parts = [self.held.new(text)]
-        else:
-            first, *rest = text.split(" ")
-            parts = [self.first[first], *map(self.rest.__getitem__, rest)]
-        self.texts.append(np.array(parts, np.int32))
-        self.size += len(text)
-
-    def coded(self) -> Iterator[np.ndarray]:
-        """Word numbers of each text."""
-        flat, starts = np.frombuffer(self.held.flat, np.int64), np.frombuffer(self.held.starts, np.int64)
-        for parts in self.texts:
-            yield ragged(flat, starts, parts)
+    def __init__(self, texts: list[str]) -> None:
+        unsafe = {i: CUT.split(t) for i, t in enumerate(texts) if UNSAFE.search(t)}
+        pieces = pc.split_pattern(pa.array([" " if i in unsafe else t for i, t in enumerate(texts)], pa.large_string()), " ")
+        if unsafe:
+            cut = pa.array([unsafe.get(i) for i in range(len(texts))], pa.large_list(pa.large_string()))
+            pieces = pc.coalesce(cut, pieces.cast(cut.type))
+        starts = offsets(pc.list_value_length(pieces).to_numpy())
+        begins = np.zeros(starts[-1], bool)
+        begins[starts[:-1]] = True
+        flat = pieces.flatten()
+        first, rest = flat.filter(pa.array(begins)).dictionary_encode(), flat.filter(pa.array(~begins)).dictionary_encode()
+        self.first, self.rest = first.dictionary, rest.dictionary
+        self.begins, numbers = first.indices.to_numpy() + len(self.rest), rest.indices.to_numpy()
+        self.parts = np.split(numbers, (starts - np.arange(len(starts)))[1:-1])
+
+    def coded(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each text the number of its first stretch, the count of those that earlier texts have, and the others by first use."""
+        known = 0
+        for begin, parts in zip(self.begins.tolist(), self.parts):
+            yield np.array([begin, known]), by_first_use(parts, known)
+            known = max(known, int(parts.max(initial=-1)) + 1)
+
+    def words(self) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        """The distinct words, the word numbers of all stretches in one array, and how many each stretch has."""
+        found, counts = [], []
+        for before, parts in ((" ", self.rest), ("", self.first)):
+            for part in parts.to_numpy(zero_copy_only=False).tolist():
+                if part.isalpha():  # no search, as for most
+                    found.append(before + part)
+                    counts.append(1)
+                else:
+                    own = words_of(part, before)
+                    found += own
+                    counts.append(len(own))
+        coded = pa.array(found, pa.large_string()).dictionary_encode()
+        raw = coded.dictionary.cast(pa.large_binary()).to_numpy(zero_copy_only=False).tolist()
+        return raw, coded.indices.to_numpy().astype(np.int64), np.array(counts)
+
+
+def by_first_use(numbers: np.ndarray, known: int = 0) -> np.ndarray:
+    """0 for the next number that was not used yet, after ``known`` ones, else the number plus 1; zeros compress."""
+    new = numbers >= np.maximum.accumulate(np.append(known, numbers[:-1] + 1))
+    return np.where(new, 0, numbers + 1)
+
+
+def from_first_use(steps: np.ndarray, known: int = 0) -> np.ndarray:
+    """The numbers that ``by_first_use`` was given."""
+    new = steps == 0
+    return np.where(new, known + np.cumsum(new), steps.astype(np.int64)) - 1
 
 
 def chunks(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list, Chunk]]:
     """(name, doc_ids, chunk); the name is a hash of the rows, so equal names mean equal word lists."""
-    chunk, ids, name = Chunk(), [], xxhash.xxh3_64()
+    texts, ids, size, name = [], [], 0, xxhash.xxh3_64()
     for batch in batches:
         for doc_id, text in zip(batch["doc_id"].astype("Int64"), batch["text"]):
-            chunk.add(text or "")
+            texts.append(text or "")
             ids.append(doc_id)
-            name.update(f"{doc_id} {len(text or '')} {text or ''}".encode())
-            if chunk.size >= CHUNK:
-                yield name.intdigest() - (1 << 63), ids, chunk
-                chunk, ids, name = Chunk(), [], xxhash.xxh3_64()
+            size += len(texts[-1])
+            name.update(f"{doc_id} {len(texts[-1])} {texts[-1]}".encode())
+            if size >= CHUNK:
+                yield name.intdigest() - (1 << 63), ids, Chunk(texts)
+                texts, ids, size, name = [], [], 0, xxhash.xxh3_64()
     if ids:
-        yield name.intdigest() - (1 << 63), ids, chunk
+        yield name.intdigest() - (1 << 63), ids, Chunk(texts)
 
 
 ROWS = "chunk long, bucket int, doc_id long, value binary"
@@ -190,20 +188,23 @@ def frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def word_lists(docs: DataFrame, buckets: int) -> DataFrame:
-    """One row for each chunk and bucket: word numbers, sizes and bytes of the words."""
+    """One row for each chunk and bucket: word numbers, sizes and bytes of the words; and one of the chunk's stretches as words.
+
+    The rows of stretches have buckets of their own, as many as the words have.
+    """
     def lists(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for name, _, chunk in chunks(batches):
-            raw = [w.encode() for w in chunk.words]
+            raw, flat, counts = chunk.words()
             bucket = np.array([zlib.crc32(w) % buckets for w in raw], np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            out = []
+            out = [(name, buckets + name % buckets, None, squeezed(by_first_use(flat), counts))]
             for b in range(buckets):
                 own = order[cuts[b]:cuts[b + 1]]
                 if len(own):
-                    words = [raw[i] for i in own.tolist()]
-                    held = squeezed(np.diff(own, prepend=0), np.array([len(w) for w in words]))
-                    text = packer()[0].compress(b"".join(words))
+                    listed = [raw[i] for i in own.tolist()]
+                    held = squeezed(np.diff(own, prepend=0), np.array([len(w) for w in listed]))
+                    text = packer()[0].compress(b"".join(listed))
                     out.append((name, b, None, len(held).to_bytes(4, "little") + held + text))
             yield frame(out)
 
@@ -211,13 +212,16 @@ def word_lists(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def encoded_lists(lists: DataFrame, path: str, buckets: int) -> DataFrame:
-    """``lists`` with ids in place of words; a bucket is in one task, which encodes each word once."""
+    """``lists`` with ids in place of words; a bucket is in one task, which encodes each word once. Stretches stay."""
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, bytes] = {}
         merged = whole(path).encode_ordinary
         for batch in batches:
             out = []
             for chunk, bucket, _, value in batch.itertuples(index=False, name=None):
+                if bucket >= buckets:
+                    out.append((chunk, bucket, None, value))
+                    continue
                 at = 4 + int.from_bytes(value[:4], "little")
                 steps, sizes = unsqueezed(value[4:at], 2)
                 text = packer()[1].decompress(value[at:])
@@ -235,14 +239,27 @@ def encoded_lists(lists: DataFrame, path: str, buckets: int) -> DataFrame:
 
 
 def coded_texts(docs: DataFrame) -> DataFrame:
-    """Every text as the numbers of its words in its chunk's list; a bucket number behind all lists."""
+    """Every text as the numbers of its chunk's stretches, no words are looked for; a bucket number behind all lists."""
     def code(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for name, ids, chunk in chunks(batches):
-            yield frame([(name, 1 << 30, doc, squeezed(n)) for doc, n in zip(ids, chunk.coded())])
+            yield frame([(name, 1 << 30, doc, squeezed(*numbers)) for doc, numbers in zip(ids, chunk.coded())])
 
     return docs.mapInPandas(code, ROWS)
 
 
+def ids_of_stretches(lists: list[list[np.ndarray]], words: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of all stretches in one array and where each begins, by the encoded lists of a chunk."""
+    if not lists:  # no text of the chunk has a word
+        return np.zeros(0, "<u4"), offsets(counts)
+    numbers = np.concatenate([np.cumsum(steps, dtype=np.int64) for steps, _, _ in lists])
+    sizes = np.concatenate([n for _, n, _ in lists])
+    order = np.argsort(numbers)
+    own = ragged(np.concatenate([ids for _, _, ids in lists]), offsets(sizes), order)
+    of_words = offsets(sizes[order])
+    ends = np.append(0, np.cumsum(np.diff(of_words)[words]))
+    return ragged(own, of_words, words), ends[offsets(counts)]
+
+
 def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids binary) of every row of ``docs`` (doc_id, text): little-endian unsigned 32-bit ids.
 
@@ -261,20 +278,19 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
             for name, bucket, doc_id, value in batch.itertuples(index=False, name=None):
                 if name != chunk:
                     chunk, last, held, flat, starts = name, -1, [], np.zeros(0, "<u4"), np.zeros(1, np.int64)
-                if bucket < 1 << 30:
+                if bucket < buckets:
                     if bucket != last:  # chunks of equal rows have equal lists
                         held.append(unsqueezed(value, 3))
-                    last = bucket
-                    continue
-                if held:
-                    numbers = np.concatenate([np.cumsum(steps, dtype=np.int64) for steps, _, _ in held])
-                    sizes = np.concatenate([counts for _, counts, _ in held])
-                    own = offsets(sizes)
-                    order = np.argsort(numbers)
-                    flat = ragged(np.concatenate([ids for _, _, ids in held]), own, order)
-                    starts, held = offsets(sizes[order]), []
-                words = unsqueezed(value, 1)[0].astype(np.int64)
-                out.append((doc_id, ragged(flat, starts, words).astype("<u4").tobytes()))
+                elif bucket < 1 << 30:
+                    if bucket != last:
+                        steps, counts = unsqueezed(value, 2)
+                        flat, starts = ids_of_stretches(held, from_first_use(steps), counts)
+                        held = []
+                else:
+                    (begin, known), steps = unsqueezed(value, 2)
+                    parts = np.append(int(begin), from_first_use(steps, int(known)))
+                    out.append((doc_id, ragged(flat, starts, parts).astype("<u4").tobytes()))
+                last = bucket
             yield pd.DataFrame(out, columns=["doc_id", "ids"]).astype({"doc_id": "Int64"})
 
     rows = encoded_lists(word_lists(narrow, buckets), path, buckets).unionByName(coded_texts(narrow))
