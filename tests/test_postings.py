@@ -69,6 +69,17 @@ def test_only_the_folders_of_few_grams_are_read(spark, made, tmp_path, monkeypat
     spark.sql("DROP DATABASE searched CASCADE")
 
 
+def test_no_struct_is_made_for_each_posting(spark):
+    df = spark.createDataFrame([("a", "Abcab", "ab"), ("b", None, "cABc"), (None, "aaaa", None)], "id string, name string, code string")
+    made = postings.postings(df, ["name", "code"])
+    assert rows(made, "gram", "field", "key") == [
+        ("aaa", "name", None), ("abc", "code", "b"), ("abc", "name", "a"), ("bca", "name", "a"), ("cab", "code", "b"), ("cab", "name", "a")]
+    assert made.schema.simpleString() == "struct<slot:int,gram:string,field:string,key:string>"
+    # One lambda for the pieces of each column, none that puts a field beside every gram.
+    optimized = made._jdf.queryExecution().optimizedPlan().toString()
+    assert optimized.count("lambdafunction(") == 2
+
+
 def test_appended_and_stale_rows(spark, tmp_path):
     path, ddl = str(tmp_path / "p"), "id long, name string"
     old = spark.createDataFrame([(1, "alpha"), (2, "beta"), (3, None), (4, "")], ddl)
